@@ -18,6 +18,9 @@ LD_ATTRIBUTE = (
     r"(?:\"application/ld\+json\"|'application/ld\+json'|application/ld\+json(?:\s|$))"
 )
 
+# how JSON values that count as missing are printed
+FALSY = ("null", '""', "false", "0", "0.0", "-0.0", "[]", "{}")
+
 
 def field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f'$["{name}"]', "variant")
@@ -43,17 +46,12 @@ def as_text(value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """Present and not null, '', 0, false, [] or {}."""
-    plain = F.try_variant_get(value, "$", "string")
-    k = kind(value)
-    return F.coalesce(
-        F.when(k == "STRING", plain != "")
-        .when(k == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(k == "ARRAY", plain != "[]")
-        .when(k == "OBJECT", plain != "{}")
-        .when(k == "VOID", F.lit(False))
-        .otherwise(F.try_variant_get(value, "$", "double") != 0.0),
-        F.lit(False),
-    )
+    return F.coalesce(~F.to_json(value).isin(*FALSY), F.lit(False))
+
+
+def truthy_but_not_text(value: Column) -> Column:
+    json = F.to_json(value)
+    return F.coalesce(~json.isin(*FALSY) & ~F.startswith(json, F.lit('"')), F.lit(False))
 
 
 def first_truthy(*values: Column) -> Column:
@@ -63,8 +61,7 @@ def first_truthy(*values: Column) -> Column:
 def elements(value: Column) -> Column:
     """Elements of a JSON array; empty for every other type."""
     return F.coalesce(
-        F.when(kind(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>")),
-        F.array().cast("array<variant>"),
+        F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>")
     )
 
 

@@ -23,9 +23,12 @@ from skuloom.functions.text import (
 )
 from skuloom.schemas import PRODUCT_COLUMNS
 
-# variant fields that have to be text when they are given
+# fields that have to be text when they are given
 _VARIANT_TEXT = ("name", "manufacturer_name")
 _LD_TEXT = ("name", "description")
+_VARIANTS_TYPE = (
+    "array<struct<ordinal:int,value:variant,description:variant,stock:variant,asked:variant>>"
+)
 
 
 def attach_pages(listings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -47,17 +50,19 @@ def latest_pages(pages: DataFrame, *order: Column) -> DataFrame:
     )
 
 
-def _not_text(value: Column) -> Column:
-    return lj.truthy(value) & (lj.kind(value) != "STRING")
-
+def _chosen(entry: Column) -> Column:
+    """A variant with its fallbacks resolved."""
+    value = entry["value"]
 
-def _variant_description(variant: Column) -> Column:
-    return lj.first_truthy(lj.field(variant, "description"), lj.field(variant, "short_description"))
+    def first(*names: str) -> Column:
+        return lj.first_truthy(*[lj.field(value, name) for name in names])
 
-
-def _variant_stock(variant: Column) -> Column:
-    return lj.first_truthy(
-        lj.field(variant, "stock_availability_label"), lj.field(variant, "stock_availability")
+    return F.struct(
+        entry["ordinal"].alias("ordinal"),
+        value.alias("value"),
+        first("description", "short_description").alias("description"),
+        first("stock_availability_label", "stock_availability").alias("stock"),
+        first("product_price", "price").alias("asked"),
     )
 
 
@@ -80,8 +85,8 @@ def _parse(df: DataFrame) -> DataFrame:
                 "bad_map": F.col("map_text").isNotNull()
                 & lj.parse_whole(F.col("map_text")).isNull(),
                 "variants": F.coalesce(
-                    lj.variant_entries(F.col("map_text")),
-                    F.array().cast("array<struct<ordinal:int,key:string,value:variant>>"),
+                    F.transform(lj.variant_entries(F.col("map_text")), _chosen),
+                    F.array().cast(_VARIANTS_TYPE),
                 ),
             }
         )
@@ -104,7 +109,7 @@ def _page_values(df: DataFrame) -> DataFrame:
             "hit_sku": fields.first_sku(hit["sku"]),
             "texts": F.concat(
                 F.array(lj.text(lj.field(ld, "description"))),
-                F.transform("variants", lambda v: lj.text(_variant_description(v["value"]))),
+                F.transform("variants", lambda v: lj.text(v["description"])),
             ),
         }
     ).drop("gallery", "crumbs")
@@ -117,12 +122,7 @@ def _with_prices(df: DataFrame) -> DataFrame:
         lj.field(F.col("offer"), "lowPrice"),
         F.col("hit.price"),
     )
-    own = F.transform(
-        "variants",
-        lambda v: lj.first_truthy(
-            lj.field(v["value"], "product_price"), lj.field(v["value"], "price")
-        ),
-    )
+    own = F.transform("variants", lambda v: v["asked"])
     return (
         df.withColumn("asked", F.when(F.size("variants") > 0, own).otherwise(F.array(parent)))
         .withColumn("nested", nested_prices(F.col("asked")))
@@ -139,20 +139,19 @@ def _with_prices(df: DataFrame) -> DataFrame:
 
 def _page_error(df: DataFrame) -> DataFrame:
     """Why a page yields no rows; null for a good one."""
-    values = F.transform("variants", lambda v: v["value"])
     bad_price = F.get(
         F.filter(F.transform("prices", lambda p: p["bad"]), lambda b: b.isNotNull()), F.lit(0)
     )
-    not_object = F.exists(values, lambda v: F.coalesce(lj.kind(v) != "OBJECT", F.lit(True)))
+    not_object = F.exists(
+        "variants", lambda v: F.coalesce(lj.kind(v["value"]) != "OBJECT", F.lit(True))
+    )
     variant_not_text = F.exists(
-        values,
-        lambda v: _any(
-            *[_not_text(lj.field(v, name)) for name in _VARIANT_TEXT],
-            _not_text(_variant_description(v)),
-            _not_text(_variant_stock(v)),
+        "variants",
+        lambda v: _any_not_text(
+            *[lj.field(v["value"], name) for name in _VARIANT_TEXT], v["description"], v["stock"]
         ),
     )
-    ld_not_text = _any(*[_not_text(lj.field(F.col("ld"), name)) for name in _LD_TEXT])
+    ld_not_text = _any_not_text(*[lj.field(F.col("ld"), name) for name in _LD_TEXT])
     return df.withColumn(
         "page_error",
         F.when(F.col("no_page"), F.lit("no document for this URL"))
@@ -165,10 +164,10 @@ def _page_error(df: DataFrame) -> DataFrame:
     ).drop("no_page", "bad_map")
 
 
-def _any(*conditions: Column) -> Column:
+def _any_not_text(*values: Column) -> Column:
     result = F.lit(False)
-    for condition in conditions:
-        result = result | F.coalesce(condition, F.lit(False))
+    for value in values:
+        result = result | lj.truthy_but_not_text(value)
     return result
 
 
@@ -183,6 +182,7 @@ def _explode(df: DataFrame) -> DataFrame:
             lambda v, i: F.struct(
                 v["ordinal"].alias("ordinal"),
                 v["value"].alias("variant"),
+                v["stock"].alias("own_stock"),
                 F.get("plain", i + 1).alias("own_text"),
                 F.get("prices", i)["amount"].alias("price"),
             ),
@@ -192,6 +192,7 @@ def _explode(df: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(0).alias("ordinal"),
                 nothing.cast("variant").alias("variant"),
+                nothing.cast("variant").alias("own_stock"),
                 nothing.cast("string").alias("own_text"),
                 F.get("prices", F.lit(0))["amount"].alias("price"),
             )
@@ -264,7 +265,7 @@ def _project(df: DataFrame, source: str) -> DataFrame:
         "currency": fields.currency(F.col("offer"), hit["price"]),
         "unit_pack_size": size,
         "availability": either(
-            blank_to_null(squeeze(lj.text(_variant_stock(v)))), fields.availability(stock)
+            blank_to_null(squeeze(lj.text(F.col("own_stock")))), fields.availability(stock)
         ),
         "description": F.col("page_text"),
         "unit_pack_size_source": F.when(size.isNotNull(), F.lit(fv.PACK_SOURCE_RULE)),
