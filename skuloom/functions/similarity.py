@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,15 +37,29 @@ def same_brand(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False))
 
 
-def score(shared: Column, union: Column, leaf: Column, brand: Column) -> Column:
-    """Weighted tag overlap, leaf and brand; four places, rounded on the exact
-    binary value (``round`` would first go through the shortest decimal)."""
-    total = (
+def raw_score(shared: Column, union: Column, leaf: Column, brand: Column) -> Column:
+    """Weighted tag overlap, leaf and brand, before rounding."""
+    return (
         F.lit(fv.TAG_WEIGHT) * F.when(union > 0, shared / union).otherwise(F.lit(0.0))
         + F.lit(fv.LEAF_WEIGHT) * leaf.cast("double")
         + F.lit(fv.BRAND_WEIGHT) * brand.cast("double")
     )
-    return F.call_function("format_number", total, F.lit("0.0000")).cast("double")
+
+
+def rounded(raw: Column) -> Column:
+    """Four places, rounded on the exact binary value (``round`` would first go
+    through the shortest decimal)."""
+    return F.call_function("format_number", raw, F.lit("0.0000")).cast("double")
+
+
+def reaches(raw: Column, threshold: float) -> Column:
+    """``rounded(raw) >= threshold`` as one comparison of doubles.
+
+    ``threshold`` has at most four places. Rounding flips at half a unit below
+    it; the double nearest to that point decides for itself.
+    """
+    flip = float(Decimal(str(threshold)) - Decimal("0.00005"))
+    return raw >= F.lit(flip) if round(flip, 4) >= threshold else raw > F.lit(flip)
 
 
 def eligible(sku_a: Column, url_a: Column, sku_b: Column, url_b: Column) -> Column:

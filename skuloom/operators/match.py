@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_CEILING, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,12 @@ _STOPS = (0.7, 0.55)
 # Index rows of one join key that a single task compares with.
 _CHUNK = 2_000
 
+# 64-bit sketch of a tag set; sets differ in at least as many tags as their
+# sketches differ in bits.
+_BITMAP = (
+    "aggregate(tags, 0L, (bits, tag) -> bits | shiftleft(1L, cast(pmod(xxhash64(tag), 64) as int)))"
+)
+
 _NO_TAG_LEVELS = (
     # score of a pair without a shared tag, and what such a pair has in common
     (0.35, ("leaf", "brand")),
@@ -108,7 +115,11 @@ class _Search:
 
     def __init__(self, products: DataFrame, k: int, min_score: float):
         self.k = k
-        self.min_score = min_score
+        # scores have four places
+        self.min_score = float(
+            Decimal(str(min_score)).quantize(Decimal("0.0001"), rounding=ROUND_CEILING)
+        )
+        self.tasks = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.per_url = k + 1
         self.total = 2 * k + 2
         self.base = _with_feature(products).filter(F.col("fid").isNotNull()).select(
@@ -137,6 +148,7 @@ class _Search:
             .groupBy("fid")
             .agg(F.sort_array(F.collect_list(F.struct("n", "tag"))).alias("ranked"))
             .select("fid", F.col("ranked.tag").alias("tags"))
+            .withColumn("bits", F.expr(_BITMAP))
         )
         return listed.drop("tags").join(ranked, "fid")
 
@@ -178,7 +190,7 @@ class _Search:
         index = self._signatures(self.features, low).select(
             *key, F.col("fid").alias("g_fid"), F.col("tags").alias("g_tags"),
             F.col("leaf").alias("g_leaf"), F.col("brand_key").alias("g_brand"),
-            F.col("pos").alias("g_pos"), "items",
+            F.col("pos").alias("g_pos"), F.col("bits").alias("g_bits"), "items",
         )
         # Hot keys: the index side is cut into chunks, probes visit every chunk.
         hot = (
@@ -192,53 +204,69 @@ class _Search:
             "chunk", F.pmod(F.hash("g_fid"), F.coalesce("chunks", one))
         ).drop("chunks")
         sought = (
-            self._signatures(probes.select("fid", "tags", "leaf", "brand_key"), low)
+            self._signatures(probes.drop("items"), low)
             .join(hot, key, "left")
             .withColumn(
                 "chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", one) - 1))
             )
             .drop("chunks")
         )
-        pairs = sought.join(index, [*key, "chunk"])
+        # The work of a pair join is not in proportion to its bytes: keep all tasks.
+        place = [*key, "chunk"]
+        pairs = sought.repartition(self.tasks, *place).join(
+            index.repartition(self.tasks, *place), place
+        )
         n, m = F.size("tags"), F.size("g_tags")
         leaf = sim.same_leaf(F.col("leaf"), F.col("g_leaf"))
         brand = sim.same_brand(F.col("brand_key"), F.col("g_brand"))
         lane = (
             F.when(leaf & brand, 1).when(leaf, 2).when(brand, 3).otherwise(F.lit(4))
         )
-        bound = F.element_at(
-            F.array(*[F.lit(x.bound(low)) for x in _LANES]), F.col("lane")
-        )
-        # At the first shared tag, no more than the shorter remainder can follow.
-        most = F.least(n - F.col("pos"), m - F.col("g_pos")) + 1
-        slack = F.lit(1e-9)
-        pairs = pairs.filter(
-            (F.col("fid") != F.col("g_fid"))
-            & (lane == F.col("lane"))
-            & (most >= bound * (n + m - most) - slack)
-            & ~F.arrays_overlap(
-                F.slice("tags", F.lit(1), F.col("pos") - 1),
-                F.slice("g_tags", F.lit(1), F.col("g_pos") - 1),
-            )
-        ).withColumn("shared", sim.shared_tags(F.col("tags"), F.col("g_tags")))
-        common = F.size("shared")
+        bound = F.lit(_LANES[-1].bound(low))
+        for x in _LANES[:-1]:
+            bound = F.when(F.col("lane") == x.number, x.bound(low)).otherwise(bound)
+        # Upper bounds of the shared tags: from the sketches, and from the place of
+        # the first shared tag.
+        differing = F.bit_count(F.col("bits").bitwiseXOR(F.col("g_bits")))
+        most_by_bits = (n + m - differing) / 2
+        most_by_place = F.least(n - F.col("pos"), m - F.col("g_pos")) + 1
+        shared = F.array_intersect("tags", "g_tags")
+        common = F.size(shared)
+        raw = sim.raw_score(common, n + m - common, leaf, brand)
         return (
-            pairs.withColumn("score", sim.score(common, n + m - common, leaf, brand))
-            .filter((F.col("score") >= low) & (F.col("score") < high))
-            .select("fid", "score", "shared", F.explode("items").alias("item"))
+            pairs.filter(
+                (most_by_bits >= bound * (n + m - most_by_bits) - F.lit(1e-9))
+                & (most_by_place >= bound * (n + m - most_by_place) - F.lit(1e-9))
+                & (lane == F.col("lane"))
+                & (F.col("fid") != F.col("g_fid"))
+                & ~F.arrays_overlap(
+                    F.slice("tags", F.lit(1), F.col("pos") - 1),
+                    F.slice("g_tags", F.lit(1), F.col("g_pos") - 1),
+                )
+                & sim.reaches(raw, low)
+                & ~sim.reaches(raw, high)
+            )
+            .select(
+                "fid",
+                sim.rounded(raw).alias("score"),
+                shared.alias("shared"),
+                F.explode("items").alias("item"),
+            )
             .transform(_candidate_rows)
         )
 
     def _own_candidates(self, probes: DataFrame, low: float, high: float) -> DataFrame:
         """Other products of the same feature."""
-        own = sim.score(
+        own = sim.raw_score(
             F.lit(1.0), F.lit(1.0), F.col("leaf") != "", F.col("brand_key").isNotNull()
         )
         return (
-            probes.withColumn("score", own)
-            .filter((F.col("score") >= low) & (F.col("score") < high))
+            probes.filter(sim.reaches(own, low) & ~sim.reaches(own, high))
             .select(
-                "fid", "score", F.array_sort("tags").alias("shared"), F.explode("items").alias("item")
+                "fid",
+                sim.rounded(own).alias("score"),
+                F.col("tags").alias("shared"),
+                F.explode("items").alias("item"),
             )
             .transform(_candidate_rows)
         )
@@ -326,10 +354,10 @@ class _Search:
         leaf = sim.same_leaf(F.col("leaf"), F.col("g_leaf"))
         brand = sim.same_brand(F.col("brand_key"), F.col("g_brand"))
         common = F.size(F.array_intersect("tags", "g_tags"))
-        union = F.size("tags") + F.size("g_tags") - common
+        raw = sim.raw_score(common, F.size("tags") + F.size("g_tags") - common, leaf, brand)
         on_seen = (
             visits.join(on_page, match)
-            .filter(sim.score(common, union, leaf, brand) == level)
+            .filter(~sim.reaches(raw, level + _STEP))
             .select("fid", F.lit(level).alias("score"), no_tags.alias("shared"), "item")
             .transform(_candidate_rows)
         )
@@ -451,7 +479,7 @@ def similar_products(
             x["product_name"].alias("product_name"),
             x["product_url"].alias("product_url"),
             x["score"].alias("score"),
-            sim.reason(x["shared"]).alias("reason"),
+            sim.reason(F.array_sort(x["shared"])).alias("reason"),
             F.lit(fv.ALTERNATIVE_SOURCE).alias("source"),
             F.lit(fv.ALTERNATIVE_METHOD).alias("method"),
         ),
