@@ -46,10 +46,14 @@ def raw_score(shared: Column, union: Column, leaf: Column, brand: Column) -> Col
     )
 
 
+def rounded_to(value: Column, places: int) -> Column:
+    """Rounded on the exact binary value (``round`` would first go through the
+    shortest decimal)."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places)).cast("double")
+
+
 def rounded(raw: Column) -> Column:
-    """Four places, rounded on the exact binary value (``round`` would first go
-    through the shortest decimal)."""
-    return F.call_function("format_number", raw, F.lit("0.0000")).cast("double")
+    return rounded_to(raw, 4)
 
 
 def reaches(raw: Column, threshold: float) -> Column:

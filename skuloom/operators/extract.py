@@ -214,7 +214,7 @@ def _explode(df: DataFrame) -> DataFrame:
     )
 
 
-def _project(df: DataFrame, source: str) -> DataFrame:
+def _project(df: DataFrame, source: str, keep: tuple[str, ...]) -> DataFrame:
     """Column rules of variant rows and of page rows."""
     v, ld, hit = F.col("variant"), F.col("ld"), F.col("hit")
     is_variant = v.isNotNull()
@@ -279,7 +279,7 @@ def _project(df: DataFrame, source: str) -> DataFrame:
         "scraped_at": F.col("scraped_at"),
     }
     return df.select(
-        "page_error", "ordinal", *[values[name].alias(name) for name in PRODUCT_COLUMNS]
+        *keep, "page_error", "ordinal", *[values[name].alias(name) for name in PRODUCT_COLUMNS]
     )
 
 
@@ -290,19 +290,24 @@ def _entry(key: str, value: Column) -> Column:
 
 
 def extract_products(
-    paired: DataFrame, *, source: str = "catalog", scraped_at: Column | None = None
+    paired: DataFrame,
+    *,
+    source: str = "catalog",
+    scraped_at: Column | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """SKU rows of paired listings and pages.
 
     ``paired`` has ``product_url``, ``html``, the listing struct ``hit`` and its
     ``category_path``. The result has the product columns plus ``ordinal`` (the
     place on the page) and ``page_error``: a failed page is one row with the
-    reason, split off with ``good_rows`` and ``page_failures``.
+    reason, split off with ``good_rows`` and ``page_failures``. The input columns
+    named in ``keep`` are passed through.
     """
     stamp = F.current_timestamp() if scraped_at is None else scraped_at
     return (
         paired.select(
-            "product_url", "hit", "category_path", "html", stamp.cast("timestamp").alias("scraped_at")
+            *keep, "product_url", "hit", "category_path", "html", stamp.cast("timestamp").alias("scraped_at")
         )
         .transform(_parse)
         .transform(_page_values)
@@ -311,7 +316,7 @@ def extract_products(
         .transform(_with_prices)
         .transform(_page_error)
         .transform(_explode)
-        .transform(_project, source)
+        .transform(_project, source, keep)
     )
 
 
