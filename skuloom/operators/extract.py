@@ -293,7 +293,7 @@ def extract_products(
     paired: DataFrame,
     *,
     source: str = "catalog",
-    scraped_at: Column | None = None,
+    scraped_at: str | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """SKU rows of paired listings and pages.
@@ -304,7 +304,7 @@ def extract_products(
     reason, split off with ``good_rows`` and ``page_failures``. The input columns
     named in ``keep`` are passed through.
     """
-    stamp = F.current_timestamp() if scraped_at is None else scraped_at
+    stamp = F.current_timestamp() if scraped_at is None else F.lit(scraped_at)
     return (
         paired.select(
             *keep, "product_url", "hit", "category_path", "html", stamp.cast("timestamp").alias("scraped_at")

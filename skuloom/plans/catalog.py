@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom import fixed_values as fv
@@ -49,7 +49,7 @@ def families_to_visit(
 
 
 def extract_with_retries(
-    families: DataFrame, pages: DataFrame, *, source: str, scraped_at: Column | None
+    families: DataFrame, pages: DataFrame, *, source: str, scraped_at: str | None
 ) -> DataFrame:
     """Extract every URL from its first listing; where that fails, from the next.
 
@@ -133,7 +133,7 @@ def run(
     mode: str = "auto",
     limit_per_category: int | None = None,
     source: str = "catalog",
-    scraped_at: Column | None = None,
+    scraped_at: str | None = None,
     max_alternatives: int = fv.MAX_ALTERNATIVES,
     min_score: float = fv.MIN_SCORE,
 ) -> DataFrame:

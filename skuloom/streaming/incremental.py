@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,7 +52,7 @@ def process_new_pages(
     *,
     model_responses: DataFrame | None = None,
     source: str = "catalog",
-    scraped_at: Column | None = None,
+    scraped_at: str | None = None,
 ) -> StreamingQuery:
     """Extract and store the pages that arrived; the export is a separate job.
 

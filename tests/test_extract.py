@@ -32,7 +32,7 @@ def paired(spark, *rows):
 
 
 def rows(spark, *pairs):
-    out = ex.extract_products(paired(spark, *pairs), scraped_at=F.lit("2024-01-01 00:00:00"))
+    out = ex.extract_products(paired(spark, *pairs), scraped_at="2024-01-01 00:00:00")
     return {(r.product_url, r.ordinal): r for r in out.collect()}
 
 
