@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from skuloom import fixed_values as fv
 from skuloom.functions import loose_json as lj
 from skuloom.functions import text as tx
-from skuloom.functions.fields import availability, first_sku, identifier, page_images
+from skuloom.functions.fields import availability, first_sku, identifier, image_list, page_images
 from skuloom.functions.prices import nested_prices, scalar_price
 from skuloom.operators import extract as ex
 from skuloom.operators import validate as va
+from skuloom.sources import readers
 from workload.registry import query, table
 from workload.standins import FAMILY_SQL, extracted, product_pages
 
@@ -110,16 +111,21 @@ def u4(spark, sf_dir):
     return good(spark, sf_dir).select("sku", "product_url")
 
 
+ALL_ROWS = "(SELECT f FROM variant UNION ALL SELECT f FROM single)"
+
+
+@query("p9_constant_columns", FAMILY_SQL + f"SELECT 'shop.test' AS source, count(*) AS product_rows FROM {ALL_ROWS}")
+def p9(spark, sf_dir):
+    return good(spark, sf_dir).groupBy("source").agg(F.count("*").alias("product_rows"))
+
+
 @query(
-    "p9_d1_constants_and_timestamp",
-    FAMILY_SQL
-    + """
-SELECT 'shop.test' AS source, '2024-01-02T03:04:05Z' AS scraped_at, count(*) AS product_rows
-FROM (SELECT f FROM variant UNION ALL SELECT f FROM single)""",
+    "d1_timestamp",
+    FAMILY_SQL + f"SELECT '2024-01-02T03:04:05Z' AS scraped_at, count(*) AS product_rows FROM {ALL_ROWS}",
 )
-def p9(spark, sf_dir):
+def d1(spark, sf_dir):
     stamp = F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ssXXX")
-    return good(spark, sf_dir).groupBy("source", stamp.alias("scraped_at")).agg(
+    return good(spark, sf_dir).groupBy(stamp.alias("scraped_at")).agg(
         F.count("*").alias("product_rows")
     )
 
@@ -136,17 +142,27 @@ def x11(spark, sf_dir):
 
 
 @query(
-    "x13_x14_brand_and_currency",
+    "x13_brand",
     FAMILY_SQL
     + """
-SELECT brand, currency, count(*) AS product_rows FROM (
-    SELECT CASE WHEN k % 3 <> 0 THEN p_brand ELSE h_brand END AS brand,
-           CASE WHEN f % 10 = 3 THEN 'USD' ELSE 'EUR' END AS currency FROM variant
-    UNION ALL SELECT h_brand, CASE WHEN f % 10 = 3 THEN 'USD' ELSE 'EUR' END FROM single)
+SELECT brand, count(*) AS product_rows FROM (
+    SELECT CASE WHEN k % 3 <> 0 THEN p_brand ELSE h_brand END AS brand FROM variant
+    UNION ALL SELECT h_brand FROM single)
 GROUP BY ALL""",
 )
 def x13(spark, sf_dir):
-    return good(spark, sf_dir).groupBy("brand", "currency").agg(F.count("*").alias("product_rows"))
+    return good(spark, sf_dir).groupBy("brand").agg(F.count("*").alias("product_rows"))
+
+
+@query(
+    "x14_currency",
+    FAMILY_SQL
+    + f"""
+SELECT CASE WHEN f % 10 = 3 THEN 'USD' ELSE 'EUR' END AS currency, count(*) AS product_rows FROM {ALL_ROWS}
+GROUP BY ALL""",
+)
+def x14(spark, sf_dir):
+    return good(spark, sf_dir).groupBy("currency").agg(F.count("*").alias("product_rows"))
 
 
 @query(
@@ -470,12 +486,41 @@ def x16(spark, sf_dir):
 
 
 @query(
-    "a5_u3_x17_image_lists",
+    "a5_distinct_images",
+    "SELECT p_partkey, 'b' || p_size || '|a' || CASE WHEN p_size <> 7 THEN '|b7' ELSE '' END AS images FROM part",
+)
+def a5(spark, sf_dir):
+    own = F.concat(F.lit("b"), F.col("p_size").cast("string"))
+    given = F.array(own, F.lit(None), F.lit("a"), own, F.lit(""), F.lit("x/PlaceHolder.png"), F.lit("b7"))
+    return table(spark, sf_dir, "part").select("p_partkey", joined(image_list(given)).alias("images"))
+
+
+@query(
+    "u3_images_in_priority_order",
+    "SELECT p_partkey, 'b' || p_size || '|t-' || p_type || '|n-' || p_name AS images FROM part",
+)
+def u3(spark, sf_dir):
+    own = F.concat(F.lit("b"), F.col("p_size").cast("string"))
+    images = image_list(
+        F.array(own), F.array(F.concat(F.lit("t-"), "p_type"), own), F.array(F.concat(F.lit("n-"), "p_name"))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", joined(images).alias("images"))
+
+
+@query(
+    "x17_page_images",
     """
 SELECT p_partkey, 'b' || p_size || '|a' || CASE WHEN p_size <> 7 THEN '|b7' ELSE '' END AS images FROM part""",
 )
-def a5(spark, sf_dir):
+def x17(spark, sf_dir):
     own = F.concat(F.lit("b"), F.col("p_size").cast("string"))
     ld_image = F.parse_json(F.concat(F.lit('["'), own, F.lit('", null, 5, "a", "x/PlaceHolder.png", ""]')))
     images = page_images(ld_image, F.array(F.lit("a"), own), F.lit("b7"))
     return table(spark, sf_dir, "part").select("p_partkey", joined(images).alias("images"))
+
+
+@query("s3_page_documents", "SELECT url, length(html) AS characters FROM pages")
+def s3(spark, sf_dir):
+    return readers.read_pages(spark, f"{sf_dir}/pages.parquet").select(
+        "url", F.length("html").cast("bigint").alias("characters")
+    )
