@@ -119,7 +119,8 @@ class _Search:
         self.min_score = float(
             Decimal(str(min_score)).quantize(Decimal("0.0001"), rounding=ROUND_CEILING)
         )
-        self.tasks = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # several tasks per shuffle partition: join keys differ a lot in work
+        self.tasks = 4 * int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.per_url = k + 1
         self.total = 2 * k + 2
         self.base = _with_feature(products).filter(F.col("fid").isNotNull()).select(
@@ -155,8 +156,12 @@ class _Search:
     # -- candidates with shared tags ------------------------------------------
 
     def _signatures(self, features: DataFrame, low: float) -> DataFrame:
-        """One row per lane and prefix tag of a feature."""
+        """One row per lane and prefix tag of a feature.
+
+        ``other_leaf`` and ``other_brand`` are what the partner must not have.
+        """
         size = F.size("tags")
+        own_leaf = F.nullif(F.col("leaf"), F.lit(""))
         parts = []
         for lane in _LANES:
             bound = lane.bound(low)
@@ -174,6 +179,12 @@ class _Search:
                     brand.alias("lane_brand"),
                     tag.alias("tag"),
                     (i + 1).alias("pos"),
+                    # twice the shared tags a pair needs, per tag of both sets
+                    F.lit(2 * bound / (1 + bound)).alias("ratio"),
+                    (F.lit(None).cast("string") if lane.leaf else own_leaf).alias("other_leaf"),
+                    (F.lit(None).cast("string") if lane.brand else F.col("brand_key")).alias(
+                        "other_brand"
+                    ),
                 ),
             )
             usable = F.lit(True)
@@ -182,7 +193,8 @@ class _Search:
             if lane.brand:
                 usable = usable & F.col("brand_key").isNotNull()
             parts.append(F.when(usable, keys).otherwise(F.slice(keys, 1, 0)))
-        return features.withColumn("key", F.explode(F.concat(*parts))).select("*", "key.*").drop("key")
+        keyed = features.withColumn("key", F.explode(F.concat(*parts)))
+        return keyed.select("*", "key.*", size.alias("n")).drop("key")
 
     def _tag_candidates(self, probes: DataFrame, low: float, high: float) -> DataFrame:
         """Candidates of the probes that share a tag and score in [low, high)."""
@@ -190,7 +202,7 @@ class _Search:
         index = self._signatures(self.features, low).select(
             *key, F.col("fid").alias("g_fid"), F.col("tags").alias("g_tags"),
             F.col("leaf").alias("g_leaf"), F.col("brand_key").alias("g_brand"),
-            F.col("pos").alias("g_pos"), F.col("bits").alias("g_bits"), "items",
+            F.col("pos").alias("g_pos"), F.col("bits").alias("g_bits"), F.col("n").alias("g_n"), "items",
         )
         # Hot keys: the index side is cut into chunks, probes visit every chunk.
         hot = (
@@ -216,42 +228,39 @@ class _Search:
         pairs = sought.repartition(self.tasks, *place).join(
             index.repartition(self.tasks, *place), place
         )
-        n, m = F.size("tags"), F.size("g_tags")
-        leaf = sim.same_leaf(F.col("leaf"), F.col("g_leaf"))
-        brand = sim.same_brand(F.col("brand_key"), F.col("g_brand"))
-        lane = (
-            F.when(leaf & brand, 1).when(leaf, 2).when(brand, 3).otherwise(F.lit(4))
-        )
-        bound = F.lit(_LANES[-1].bound(low))
-        for x in _LANES[:-1]:
-            bound = F.when(F.col("lane") == x.number, x.bound(low)).otherwise(bound)
-        # Upper bounds of the shared tags: from the sketches, and from the place of
-        # the first shared tag.
+        # The join condition is evaluated for every pair of a key, so it is kept
+        # small enough for the JIT compiler: upper bounds of the shared tags from
+        # the sketches and from the place of the first shared tag, then the lane.
+        tags_of_both = F.col("n") + F.col("g_n")
+        twice_needed = F.col("ratio") * tags_of_both - F.lit(1e-6)
         differing = F.bit_count(F.col("bits").bitwiseXOR(F.col("g_bits")))
-        most_by_bits = (n + m - differing) / 2
-        most_by_place = F.least(n - F.col("pos"), m - F.col("g_pos")) + 1
-        shared = F.array_intersect("tags", "g_tags")
-        common = F.size(shared)
-        raw = sim.raw_score(common, n + m - common, leaf, brand)
-        return (
-            pairs.filter(
-                (most_by_bits >= bound * (n + m - most_by_bits) - F.lit(1e-9))
-                & (most_by_place >= bound * (n + m - most_by_place) - F.lit(1e-9))
-                & (lane == F.col("lane"))
-                & (F.col("fid") != F.col("g_fid"))
-                & ~F.arrays_overlap(
-                    F.slice("tags", F.lit(1), F.col("pos") - 1),
-                    F.slice("g_tags", F.lit(1), F.col("g_pos") - 1),
-                )
-                & sim.reaches(raw, low)
-                & ~sim.reaches(raw, high)
-            )
-            .select(
-                "fid",
-                sim.rounded(raw).alias("score"),
-                shared.alias("shared"),
-                F.explode("items").alias("item"),
+        rest = F.least(F.col("n") - F.col("pos"), F.col("g_n") - F.col("g_pos"))
+        pairs = pairs.filter(
+            (tags_of_both - differing >= twice_needed)
+            & (2 * (rest + 1) >= twice_needed)
+            & F.coalesce(F.col("other_leaf") != F.col("g_leaf"), F.lit(True))
+            & F.coalesce(F.col("other_brand") != F.col("g_brand"), F.lit(True))
+            & (F.col("fid") != F.col("g_fid"))
+            & ~F.arrays_overlap(
+                F.slice("tags", F.lit(1), F.col("pos") - 1),
+                F.slice("g_tags", F.lit(1), F.col("g_pos") - 1),
             )
+        )
+        common = F.size("shared")
+        raw = sim.raw_score(
+            common,
+            tags_of_both - common,
+            F.col("lane").isin([x.number for x in _LANES if x.leaf]),
+            F.col("lane").isin([x.number for x in _LANES if x.brand]),
+        )
+        in_band = sim.reaches(F.col("raw"), low) & ~sim.reaches(F.col("raw"), high)
+        # Exploding nothing drops a pair after the join, without widening the
+        # join condition as a filter would.
+        return (
+            pairs.withColumn("shared", F.array_intersect("tags", "g_tags"))
+            .withColumn("raw", raw)
+            .select("fid", "raw", "shared", F.explode(F.when(in_band, F.col("items"))).alias("item"))
+            .withColumn("score", sim.rounded(F.col("raw")))
             .transform(_candidate_rows)
         )
 

@@ -136,3 +136,11 @@ def test_arguments_are_checked(spark):
     with pytest.raises(ValueError):
         similar_products(empty, min_score=1.1)
     assert similar_products(empty).count() == 0
+
+
+def test_hot_keys_are_chunked_without_loss(spark, monkeypatch):
+    from skuloom.operators import match
+
+    monkeypatch.setattr(match, "_CHUNK", 4)
+    products = catalog(8, 100, 0.2)
+    assert matched(spark, products, 3, 0.45) == brute_force(products, 3, 0.45)

@@ -35,10 +35,13 @@ def _ld(struct: Column) -> Column:
 
 def family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families with their (at most four) parts in key order."""
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part").withColumn("f", F.expr("p_partkey div 4"))
+    # The pages are heavy work from few bytes: keep every task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
-        part.groupBy(F.expr("p_partkey div 4").alias("f"))
-        .agg(F.sort_array(F.collect_list(F.struct(*part.columns))).alias("parts"))
+        part.repartition(tasks, "f")
+        .groupBy("f")
+        .agg(F.sort_array(F.collect_list(F.struct(*part.drop("f").columns))).alias("parts"))
         .withColumn("h", F.get("parts", F.lit(0)))
     )
 
