@@ -23,9 +23,10 @@ def missing_fields() -> Column:
 
 
 def check_required(rows: DataFrame) -> DataFrame:
-    """Normalise the required fields and add ``missing``."""
+    """Normalise the required fields; add ``missing`` and the untouched URL ``page``."""
     return rows.withColumns(
         {
+            "page": F.col("product_url"),
             "sku": squeeze(F.col("sku")),
             "product_name": squeeze(F.col("product_name")),
             "product_url": squeeze_ends(F.coalesce("product_url", F.lit(""))),
@@ -36,16 +37,15 @@ def check_required(rows: DataFrame) -> DataFrame:
 def accepted(checked: DataFrame) -> DataFrame:
     """Complete rows, one per SKU and page: the first valid one.
 
-    The rank-one filter is applied inside every map task as well, and rows that
-    come from a join on the URL are already placed for this window.
+    Rows that come from a join on the URL are already placed for this window, so
+    they are not shuffled again; others are cut to rank one before the shuffle.
     """
-    first = Window.partitionBy("product_url", "sku").orderBy("ordinal")
+    first = Window.partitionBy("page", "sku").orderBy("ordinal")
     return (
         checked.filter(F.size("missing") == 0)
-        .drop("missing")
         .withColumn("__rank", F.row_number().over(first))
         .filter(F.col("__rank") == 1)
-        .drop("__rank")
+        .drop("__rank", "missing", "page")
     )
 
 
