@@ -119,8 +119,12 @@ class _Search:
         self.min_score = float(
             Decimal(str(min_score)).quantize(Decimal("0.0001"), rounding=ROUND_CEILING)
         )
-        # several tasks per shuffle partition: join keys differ a lot in work
-        self.tasks = 4 * int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # join keys differ a lot in work: several tasks per core
+        spark = products.sparkSession
+        self.tasks = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            4 * spark.sparkContext.defaultParallelism,
+        )
         self.per_url = k + 1
         self.total = 2 * k + 2
         self.base = _with_feature(products).filter(F.col("fid").isNotNull()).select(

@@ -37,7 +37,7 @@ def family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families with their (at most four) parts in key order."""
     part = table(spark, sf_dir, "part").withColumn("f", F.expr("p_partkey div 4"))
     # The pages are heavy work from few bytes: keep every task.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = spark.sparkContext.defaultParallelism
     return (
         part.repartition(tasks, "f")
         .groupBy("f")
