@@ -25,7 +25,6 @@ from skuloom.schemas import PRODUCT_COLUMNS
 
 # fields that have to be text when they are given
 _VARIANT_TEXT = ("name", "manufacturer_name")
-_LD_TEXT = ("name", "description")
 _VARIANTS_TYPE = (
     "array<struct<ordinal:int,value:variant,description:variant,stock:variant,asked:variant>>"
 )
@@ -151,7 +150,13 @@ def _page_error(df: DataFrame) -> DataFrame:
             *[lj.field(v["value"], name) for name in _VARIANT_TEXT], v["description"], v["stock"]
         ),
     )
-    ld_not_text = _any_not_text(*[lj.field(F.col("ld"), name) for name in _LD_TEXT])
+    # the page's name is only looked at where a variant has none
+    needs_name = (F.size("variants") == 0) | F.exists(
+        "variants", lambda v: ~lj.truthy(lj.field(v["value"], "name"))
+    )
+    ld_not_text = lj.truthy_but_not_text(lj.field(F.col("ld"), "description")) | (
+        needs_name & lj.truthy_but_not_text(lj.field(F.col("ld"), "name"))
+    )
     return df.withColumn(
         "page_error",
         F.when(F.col("no_page"), F.lit("no document for this URL"))

@@ -104,6 +104,8 @@ def test_one_bad_variant_fails_the_whole_page(spark):
         "price": page(GLOVE_LD, variants={"a": good, "b": {**good, "product_price": "$1.2.3"}}),
         "nested": page(GLOVE_LD, variants=variant(product_price={"USD": {"price": "$1.2.3"}})),
         "text": page(GLOVE_LD, variants=variant(name=["x"])),
+        "ld-text": page({**GLOVE_LD, "description": 5}, variants=GLOVE_VARIANTS),
+        "ld-name": page({**GLOVE_LD, "name": 5}, variants=variant(name="")),
         "missing": None,
     }
     found = rows(spark, *[(u, h, LISTING, "A") for u, h in cases.items()])
@@ -128,6 +130,7 @@ def test_shapes_that_do_not_fail_a_page(spark):
         "zero": page(GLOVE_LD, variants=variant(product_price=0, price="0")),
         "html-price": page(GLOVE_LD, variants=variant(product_price='<i data-price-amount="7.5">$9</i>')),
         "thousands": page(GLOVE_LD, variants=variant(product_price="only $1,234.50 now")),
+        "ld-name-unused": page({**GLOVE_LD, "name": 5}, variants=GLOVE_VARIANTS),
         "bool": page(GLOVE_LD, variants=variant(product_price=True)),
     }
     found = rows(spark, *[(u, h, {}, "A") for u, h in cases.items()])

@@ -289,7 +289,7 @@ def x1(spark, sf_dir):
 )
 def x2(spark, sf_dir):
     document = F.concat(
-        F.lit("<script>var a = {}; window.algoliaConfig =\n"), "props", F.lit(";\nvar b = 2;</script>")
+        F.lit(f"<script>var a = {{}}; {fv.CATEGORY_MARKER}\n"), "props", F.lit(";\nvar b = 2;</script>")
     )
     value = lj.assigned_value(document, fv.CATEGORY_MARKER)
     return table(spark, sf_dir, "events").select(

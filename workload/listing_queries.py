@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skuloom import fixed_values as fv
 from skuloom.operators import listings as li
 from skuloom.session import scratch_path
 from skuloom.sources import readers
@@ -135,7 +136,7 @@ def category_pages(spark, sf_dir):
     """A page per priority; the fourth is no category page, the fifth has bad JSON."""
     digit = F.left("category_url", F.lit(1))
     html = F.concat(
-        F.lit('<script>\nwindow.algoliaConfig = {"isCategoryPage": '),
+        F.lit(f'<script>\n{fv.CATEGORY_MARKER} {{"isCategoryPage": '),
         F.when(digit == "4", "false").otherwise("true"),
         F.lit(', "request": {"categoryId": '), digit,
         F.lit(', "level": 1, "path": "Orders /// '), "category_url",

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom import schemas
 from skuloom.operators import extract as ex
 from workload.registry import table
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skuloom import fixed_values as fv
 from skuloom.operators import quality as qu
 from skuloom.operators.dedup import latest_per_key, run_summary
 from skuloom.operators.validate import check_required, rejected
@@ -12,7 +13,7 @@ from skuloom.session import scratch_path
 from skuloom.sources import readers, state
 from skuloom.sources.export import SIDE_COLUMNS, export_view, nested_as_json, write_csv, write_json
 from skuloom.streaming.incremental import process_available
-from workload.enrich_queries import enriched, products
+from workload.enrich_queries import products
 from workload.extract_queries import named_parts
 from workload.listing_queries import configs, families
 from workload.registry import query, table
@@ -167,7 +168,7 @@ def catalog_run(spark, sf_dir):
         F.lit(0).alias("category_ord"), F.lit("All").alias("name"), F.lit("all").alias("url")
     )
     front = (
-        '<script>window.algoliaConfig = {"isCategoryPage": true, "request": '
+        f'<script>{fv.CATEGORY_MARKER} {{"isCategoryPage": true, "request": '
         '{"categoryId": 1, "level": 1, "path": "All"}};</script>'
     )
     responses = (
