@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from skuloom.llm import compression, decontaminate, mixing
+from pyspark.sql import functions as F
+
+from skuloom.llm import (
+    compression,
+    decontaminate,
+    html_main,
+    langid,
+    mixing,
+    pii,
+    ppm,
+    quality_model,
+    token_rollups,
+)
+from skuloom.session import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,12 +45,62 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.rate(table(spark, sf_dir, "documents"))
 
 
+@query("op3_consensus_host_paths")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_evidence_fusion_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_partial_matching")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op6_hashed_ngram_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_weak_supervision_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 @query("op8_benchmark_decontamination", decontaminate.SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return scanned.drop("spans")
 
 
+@query("op9_delta_token_rollups")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: every document with two tokenizers; the even ids revised
+    (one word less) and each seventh deleted; the first batch once more, as after a failure."""
+    counted = token_rollups.count_tokens(
+        table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "text", "bpe"
+    )
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    rows = materialize(counted.withColumn("words", n_words).drop("text"), "token-counts")
+    both = lambda df, sign: token_rollups.changes(
+        df, sign, F.lit("bpe-50k/1"), F.col("bpe")
+    ).unionByName(token_rollups.changes(df, sign, F.lit("words/1"), F.col("words")))
+    first = both(rows, 1)
+    gone = F.col("doc_id") % 7 == 0
+    revised = rows.where((F.col("doc_id") % 2 == 0) & ~gone)
+    # a revised document is counted without its first word
+    after = revised.withColumns({c: F.greatest(F.col(c) - 1, F.lit(0)) for c in ("bpe", "words")})
+    second = both(rows.where(gone), -1).unionByName(both(revised, -1)).unionByName(both(after, 1))
+    root = scratch_path(spark, "token-rollups")
+    token_rollups.commit(spark, root, 1, first)
+    token_rollups.commit(spark, root, 2, second)
+    token_rollups.commit(spark, root, 1, first)
+    return token_rollups.totals(spark, root)
+
+
 @query("op10_weighted_fair_mix", mixing.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
