@@ -13,6 +13,7 @@ from skuloom.llm import (
     html_main,
     langid,
     mixing,
+    neardup,
     pii,
     ppm,
     quality_model,
@@ -45,6 +46,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.rate(table(spark, sf_dir, "documents"))
 
 
+@query("op2_chosen_path_near_duplicates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op3_consensus_host_paths")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
