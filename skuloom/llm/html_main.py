@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ NOISE_WORDS = frozenset(
     "pagination pager skip hidden".split()
 )
 MAIN_WORDS = frozenset("article content main post entry story body text page".split())
+# labels of a path, counted from its container; deeper ones are not told apart
+PATH_LABELS = 16
 # candidate paths a page votes for, and paths of a host tried on a page; both only order what
 # is tried first, a page without any of them uses its own best container
 VOTES, TRIED = 3, 5
@@ -47,15 +50,20 @@ _WORDS = re.compile(r"[a-z]+")
 class Container:
     """An open or closed container: its path, whether it is noise, and its blocks' numbers."""
 
-    __slots__ = ("depth", "first", "last", "links", "noise", "parent", "path", "prior", "size", "tag")
+    __slots__ = ("first", "last", "links", "noise", "parent", "labels", "prior", "prose", "size", "tag")
 
     def __init__(self, tag: str, parent: Container | None, label: str, noise: bool, prior: float, block: int):
         self.tag, self.parent, self.noise, self.prior = tag, parent, noise, prior
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.depth = parent.depth + 1 if parent else 0
+        self.labels = (*parent.labels, label)[-PATH_LABELS:] if parent else ("",)
+        # inside an article or the main part
+        self.prose = parent is not None and (parent.prose or parent.tag in ("article", "main"))
         self.first, self.last = block, block
         self.size = self.links = 0.0
 
+    @property
+    def path(self) -> str:
+        return "/".join(self.labels)
+
 
 def _attributes(text: str) -> dict[str, str]:
     if "=" not in text and "hidden" not in text:
@@ -96,7 +104,6 @@ class Page:
     def __init__(self, text: str):
         self.blocks: list[tuple[str, Container]] = []
         self.root = Container("", None, "", False, 0.0, 0)
-        self.root.path = ""
         self.containers = [self.root]
         self._read(text)
 
@@ -104,6 +111,7 @@ class Page:
         stack, pieces, hidden, links = [self.root], [], [], 0
         raw_end: dict[str, int] = {}
         noise_inline: list[str] = []
+        open_tags: Counter[str] = Counter()
         last_tag = text.rfind(">")
 
         def flush() -> None:
@@ -154,10 +162,13 @@ class Page:
                         noise_inline.pop()
                 elif tag == "a":
                     links = max(0, links - 1)
-                elif tag in CONTAINERS and any(c.tag == tag for c in stack[1:]):
-                    while stack[-1].tag != tag:
-                        self._close(stack.pop())
-                    self._close(stack.pop())
+                elif open_tags[tag]:
+                    while True:
+                        closed = stack.pop()
+                        self._close(closed)
+                        open_tags[closed.tag] -= 1
+                        if closed.tag == tag:
+                            break
                 continue
             if hidden:
                 if tag == hidden[-1] and not rest.endswith("/"):
@@ -185,12 +196,13 @@ class Page:
                 links += 1
             if tag in CONTAINERS:
                 attributes = _attributes(rest)
-                inside = any(c.tag in ("article", "main") for c in stack)
+                inside = stack[-1].prose or stack[-1].tag in ("article", "main")
                 noise = stack[-1].noise or _is_noise(tag, attributes, inside)
                 prior = 1.0 + 0.5 * (tag in ("article", "main")) + 0.25 * any(w in MAIN_WORDS for w in _cues(attributes))
                 child = Container(tag, stack[-1], _label(tag, attributes), noise, prior, len(self.blocks))
                 self.containers.append(child)
                 stack.append(child)
+                open_tags[tag] += 1
             elif rest and tag not in ("br", "hr", "img", "input", "meta", "link", "wbr"):
                 attributes = _attributes(rest)
                 if attributes and _is_noise(tag, attributes, True):
@@ -208,17 +220,16 @@ class Page:
         A block counts fully, less its links, for its container and by falling shares for the
         containers around it, so that the innermost one around all the prose wins.
         """
-        points: dict[int, float] = {}
-        for c in self.containers:
-            worth = 0.0 if c.noise else c.size - c.links
-            share, up = 1.0, c
-            while worth > 0 and up is not None:
-                points[id(up)] = points.get(id(up), 0.0) + worth * share
-                share, up = share * (0.8 if share == 1.0 else 0.9), up.parent
+        risen: dict[int, float] = {}
         found: dict[str, float] = {}
-        for c in self.containers:
-            if not c.noise and points.get(id(c), 0) > 0:
-                found[c.path] = max(found.get(c.path, 0.0), points[id(c)] * (c.prior or 1.0))
+        for c in reversed(self.containers):  # inner ones before outer ones
+            worth = 0.0 if c.noise else c.size - c.links
+            below = risen.get(id(c), 0.0)
+            if c.parent is not None:
+                risen[id(c.parent)] = risen.get(id(c.parent), 0.0) + 0.8 * worth + 0.9 * below
+            if not c.noise and worth + below > 0:
+                path = c.path
+                found[path] = max(found.get(path, 0.0), (worth + below) * (c.prior or 1.0))
         return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
     def text(self, path: str) -> str:

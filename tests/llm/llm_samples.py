@@ -34,7 +34,7 @@ TEXTS = [
     (6, "x" * 200_000, "en", "c"),
     (7, "ÉCOLE école Straße ñandú 数据 😀 word", "fr", "c"),
     (8, "one\ntwo\none\n\n\ntwo two", "en", "a"),
-    (9, "a@b.co 1.2.3.4 4111111111111111 +1 (555) 010-9999", "en", "a"),
+    (9, "a@b.co, 1.2.3.4, 4111111111111111, +1 (555) 010-9999", "en", "a"),
 ]
 
 
