@@ -5,11 +5,13 @@ Documents become sets of word shingles; equal sets form one class. A class is sk
 of a node whose token it holds and whose coin, a hash of node and token, falls below
 1 / (similarity * SLOTS): classes at the threshold share one child per level on average, others
 fewer. Small nodes are compared exhaustively on the sketches; large ones are branched again.
-Candidates are confirmed on the full sets.
+Sketches that come near the threshold put classes into one family.
 
-Groups of mutual copies would fill large nodes with pairs. So members of a node are first tried
-against one hub each, the confirmed links are joined to components, and only pairs across
-components are looked at after that; none of the pairs left out could change a component.
+Families are confirmed on the full sets, exhaustively, in tasks of bounded size. A large family
+is first tried against hubs, one pair for each member; what these links join needs no further
+comparison among itself, and blocks of the family are compared only across such components. So
+copies of one text cost one comparison each, and no pair that could join two components is
+left out.
 """
 
 from __future__ import annotations
@@ -26,17 +28,21 @@ from pyspark.sql import types as T
 from skuloom.llm.common import append_result, flat, lower_words, pick, position_of, positions
 from skuloom.session import materialize
 
-SLOTS = 256
+SLOTS = 128
 TREES = 16
 # members of a node that are compared exhaustively; larger nodes are branched
-SMALL_NODE = 256
-# levels of branching; nodes that are still large are compared in blocks of SMALL_NODE
+SMALL_NODE = 1024
+# levels of branching; nodes that are still large are compared in pairs of blocks
 LEVELS = 5
+# members of a family compared on full sets in one task; larger families go by pairs of blocks
+FAMILY = 256
+# shingles whose presence is held as a matrix at once
+COLUMNS = 4096
 # standard deviations that an estimate may lie below the threshold
 MARGIN = 4.0
 # members of a hub that are confirmed in one task
 HUB_MEMBERS = 512
-SET_PIECE = 1 << 14
+SET_PIECE = 2048
 
 _RNG = np.random.default_rng(20)
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,11 +89,8 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     """The least value of each of ``SLOTS`` hash functions over the set."""
     least = np.full(SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(shingles), SET_PIECE):
-        part = shingles[start : start + SET_PIECE]
-        for slot in range(SLOTS):
-            value = (part * _MULTIPLIERS[slot] + _OFFSETS[slot]).min()
-            if value < least[slot]:
-                least[slot] = value
+        part = shingles[None, start : start + SET_PIECE] * _MULTIPLIERS[:, None] + _OFFSETS[:, None]
+        np.minimum(least, part.min(axis=1), out=least)
     return least
 
 
@@ -161,26 +164,37 @@ def _passing(matches: np.ndarray, left: np.ndarray, right: np.ndarray, similarit
     return (matches >= least_matches(similarity)) & (small >= similarity * large - 1e-9)
 
 
-def hubs(sketches: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[list[tuple[int, int, int]], bool]:
-    """(member, hub, matches) for members of a node, and whether other pairs pass as well.
+def _spread(passing: np.ndarray) -> np.ndarray:
+    """Least member of each member's component."""
+    label = np.arange(len(passing))
+    while True:
+        least = np.minimum(label, np.where(passing, label[None, :], len(label)).min(axis=1))
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            return label
+        label = least
+
+
+def joined(sketches: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int, int]]:
+    """Edges (member, hub, matches) that join the members of a node as all passing pairs do.
 
     A member's hub is the first member that it probably links with; failing that, its best.
+    Edges that only keep a component together have no matches.
     """
     matches = _matches(sketches, sketches)
     passing = _passing(matches, sizes, sizes, similarity)
     np.fill_diagonal(passing, False)
+    inside = np.flatnonzero(passing.any(axis=1))
+    if not len(inside):
+        return []
     strong = passing & (matches >= similarity * SLOTS)
-    edges = set()
-    for i in np.flatnonzero(passing.any(axis=1)):
-        if strong[i].any():
-            hub = int(np.argmax(strong[i]))
-            if hub > i:
-                continue  # the others of the group come to this one
-        else:
-            hub = int(np.argmax(np.where(passing[i], matches[i], -1)))
-        edges.add((int(i), hub, int(matches[i, hub])))
-    linked = {(min(i, h), max(i, h)) for i, h, _ in edges}
-    return sorted(edges), int(np.triu(passing).sum()) > len(linked)
+    hub = np.where(strong.any(axis=1), strong.argmax(axis=1), np.where(passing, matches, -1).argmax(axis=1))
+    edges = [(int(i), int(hub[i]), int(matches[i, hub[i]])) for i in inside]
+    drawn = np.zeros_like(passing)
+    drawn[inside, hub[inside]] = drawn[hub[inside], inside] = True
+    wanted, have = _spread(passing), _spread(drawn)
+    edges += [(int(i), int(wanted[i]), 0) for i in inside if have[i] == i and wanted[i] != i]
+    return edges
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -205,8 +219,8 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
 
 
-EDGE = pa.schema([("node", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("matches", pa.int32())])
-EDGE_DDL = "node long, a binary, b binary, matches int"
+EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("matches", pa.int32())])
+EDGE_DDL = "a binary, b binary, matches int"
 
 
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -220,8 +234,7 @@ def _together(members: DataFrame, *keys: str) -> DataFrame:
 
 
 def node_edges(members: DataFrame, similarity: float) -> DataFrame:
-    """Hub edges (node, a: member, b: hub, matches) of members (node, key, n, sketch) of small
-    nodes; a row without a and b marks a node in which other pairs pass as well."""
+    """Edges (a: member, b: hub, matches) of members (node, key, n, sketch) of small nodes."""
 
     def run(batches):
         for table in _runs(batches):
@@ -235,48 +248,16 @@ def node_edges(members: DataFrame, similarity: float) -> DataFrame:
                 same = (sketch[two] == sketch[two + 1]).sum(axis=1)
                 small, large = np.minimum(sizes[two], sizes[two + 1]), np.maximum(sizes[two], sizes[two + 1])
                 good = (same >= least_matches(similarity)) & (small >= similarity * large - 1e-9)
-                out += [(int(node[i]), keys[i + 1], keys[i], int(m)) for i, m in zip(two[good], same[good])]
+                out += [(keys[i + 1], keys[i], int(m)) for i, m in zip(two[good], same[good])]
             for start, end in zip(starts, ends):
                 if end - start > 2:
-                    edges, more = hubs(sketch[start:end], sizes[start:end], similarity)
-                    out += [(int(node[start]), keys[start + i], keys[start + h], m) for i, h, m in edges]
-                    if more:
-                        out.append((int(node[start]), None, None, 0))
+                    edges = joined(sketch[start:end], sizes[start:end], similarity)
+                    out += [(keys[start + i], keys[start + h], m) for i, h, m in edges]
             yield _batch(EDGE, out)
 
     return _together(members.select("node", "key", "n", "sketch"), "node").mapInArrow(run, EDGE_DDL)
 
 
-def cross_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """Passing pairs (a, b) with a < b of different labels, from members (node, key, n, sketch,
-    label, side) of small nodes; with sides 0 and 1 in a node, only pairs between the sides."""
-
-    def run(batches):
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-        for table in _runs(batches):
-            node = table.column(0).to_numpy()
-            keys, sizes, sketch = table.column(1).to_pylist(), table.column(2).to_numpy(), _matrix(table.column(3))
-            labels = table.column(4).to_pylist()
-            number = {name: i for i, name in enumerate(dict.fromkeys(labels))}
-            label = np.array([number[x] for x in labels])
-            side = table.column(5).to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            for start, end in zip(starts, np.append(starts[1:], len(node))):
-                # rows of members that are alone in their label come first: labels differ anyway
-                at = slice(start, end)
-                matches = _matches(sketch[at], sketch[at])
-                passing = _passing(matches, sizes[at], sizes[at], similarity)
-                passing &= label[at][:, None] != label[at][None, :]
-                if side[at].any():
-                    passing &= side[at][:, None] != side[at][None, :]
-                i, j = np.nonzero(np.triu(passing))
-                pairs = [sorted((keys[start + x], keys[start + y])) for x, y in zip(i, j)]
-                yield _batch(schema, pairs)
-
-    ordered = _together(members.select("node", "key", "n", "sketch", "label", "side"), "node")
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
-
-
 # ---- confirming on full sets -------------------------------------------------------------
 
 
@@ -299,6 +280,7 @@ def full_sets(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame
     wanted = classes.select(F.col("id").alias("w_id"), F.col("digest").alias("w_digest"))
     rows = documents.select("id", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
     rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")), "left_semi")
+    rows = rows.dropDuplicates(["id", "digest"])
     return flat(append_result(rows, ["text"], make, schema, "found").select("found"), "found")
 
 
@@ -384,8 +366,8 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _branched(members: DataFrame, similarity: float) -> DataFrame:
-    """The children of members (node, key, n, sketch, label), with the same columns."""
-    names = ["node", "key", "n", "sketch", "label"]
+    """The children of members (node, key, n, sketch), with the same columns."""
+    names = ["node", "key", "n", "sketch"]
     chance = 1 / (similarity * SLOTS)
 
     def run(batches):
@@ -401,24 +383,168 @@ def _branched(members: DataFrame, similarity: float) -> DataFrame:
     return members.select(*names).mapInArrow(run, members.select(*names).schema)
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """(node, size, labels differ) of members (node, label)."""
-    return members.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), (F.min("label") < F.max("label")).alias("mixed")
-    )
+def _node_blocks(members: DataFrame) -> DataFrame:
+    """Members of large nodes dealt to all pairs of blocks, as small nodes."""
+    half = SMALL_NODE // 2
+    sizes = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks"))
+    placed = members.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    return paired.select(pair.alias("node"), "key", "n", "sketch")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members of large nodes dealt to pairs of blocks, as nodes of two sides (or one block)."""
-    sizes = members.groupBy("node").agg(F.ceil(F.count(F.lit(1)) * 2 / SMALL_NODE).cast("int").alias("blocks"))
-    placed = members.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = placed.withColumn("other", partner)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    return paired.select(
-        F.xxhash64("node", low, high).alias("node"), "key", "n", "sketch", "label",
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-    )
+def _hub_edges(large: DataFrame, similarity: float) -> DataFrame:
+    """Edges of members (node, key, n, sketch) of large nodes to one hub of the node."""
+    hub = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "key", "n", "sketch")).alias("h"))
+    tried = large.join(hub, "node").where(F.col("key") != F.col("h.key"))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                same = (_matrix(part.column(2)) == _matrix(part.column(5))).sum(axis=1)
+                mine, theirs = part.column(1).to_numpy(), part.column(4).to_numpy()
+                good = (same >= least_matches(similarity)) & (
+                    np.minimum(mine, theirs) >= similarity * np.maximum(mine, theirs) - 1e-9
+                )
+                key, hub_key = part.column(0).to_pylist(), part.column(3).to_pylist()
+                yield _batch(EDGE, [(key[i], hub_key[i], int(same[i])) for i in np.flatnonzero(good)])
+
+    return tried.select("key", "n", "sketch", "h.key", "h.n", "h.sketch").toDF(
+        "key", "n", "sketch", "h_key", "h_n", "h_sketch"
+    ).mapInArrow(run, EDGE_DDL)
+
+
+def candidate_edges(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(edges, families): edges (a, b, matches) that join what the trees bring together, and the
+    component (key, label) of every key in them."""
+    entered = classes.select("key", F.explode("nodes").alias("node"))
+    sizes = entered.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    columns = ["node", "key", "n", "sketch"]
+    members = entered.join(sizes, "node").join(classes.select("key", "n", "sketch"), "key").select(*columns, "size")
+    members = materialize(members, "near-nodes")
+    small, large = members.where(F.col("size") <= SMALL_NODE), members.where(F.col("size") > SMALL_NODE)
+    edges = materialize(node_edges(small, similarity).unionByName(_hub_edges(large, similarity)), "near-edges")
+    families = components(edges)
+    for level in range(1, LEVELS + 1):
+        # only nodes that hold more than one family can bring anything new
+        several = _labelled(large, families).groupBy("node").agg((F.min("label") < F.max("label")).alias("mixed"))
+        large = materialize(large.join(several.where("mixed"), "node", "left_semi").select(*columns), "near-nodes")
+        if large.isEmpty():
+            break
+        if level == LEVELS:
+            more = node_edges(_node_blocks(large), similarity)
+        else:
+            children = materialize(_branched(large, similarity), "near-nodes")
+            sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+            children = children.join(sizes, "node")
+            large = children.where(F.col("size") > SMALL_NODE)
+            small = children.where(F.col("size") <= SMALL_NODE)
+            more = node_edges(small, similarity).unionByName(_hub_edges(large, similarity))
+        edges = edges.unionByName(materialize(more, "near-edges"))
+        known = families.select(F.col("key").alias("a"), F.col("label").alias("b"), F.lit(0).alias("matches"))
+        families = components(known.unionByName(edges))
+        if level == LEVELS:
+            break
+    return edges, families
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets.
+
+    Shingles of one set only add nothing; the others are counted as products of presence.
+    """
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, member = every[order], member[order]
+    first = np.concatenate([[True], every[1:] != every[:-1]])
+    number = np.cumsum(first) - 1
+    shared = np.bincount(number)[number] > 1
+    member, first = member[shared], first[shared]
+    number = np.cumsum(first) - 1
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    edges = np.searchsorted(number, np.arange(0, number[-1] + 1 + COLUMNS, COLUMNS)) if len(number) else [0]
+    for k, (start, end) in enumerate(zip(edges[:-1], edges[1:])):
+        present = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        present[member[start:end], number[start:end] - k * COLUMNS] = 1
+        out += present @ present.T
+    return out.astype(np.int64)
+
+
+def family_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members (task, key, label, shingles): for every task, enough of them to
+    join what its linked pairs of different labels join."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        for table in _runs(batches):
+            task = table.column(0).to_numpy()
+            keys, labels, raw = (table.column(i).to_pylist() for i in (1, 2, 3))
+            starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+            for start, end in zip(starts, np.append(starts[1:], len(task))):
+                at = range(start, end)
+                sets = [np.frombuffer(raw[i], dtype=np.uint64) for i in at]
+                sizes = np.array([len(s) for s in sets])
+                both = common(sets)
+                linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+                number = {x: i for i, x in enumerate(dict.fromkeys(labels[i] for i in at))}
+                label = np.array([number[labels[i]] for i in at])
+                linked &= label[:, None] != label[None, :]
+                yield _batch(schema, _forest(linked, label, [keys[i] for i in at]))
+
+    ordered = members.select("task", "key", "label", "shingles").repartition("task").sortWithinPartitions("task", "key")
+    return ordered.mapInArrow(run, "a binary, b binary")
+
+
+def _forest(linked: np.ndarray, label: np.ndarray, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Pairs that join the labels as all linked pairs do."""
+    parent = list(range(int(label.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        for j in np.flatnonzero(linked[i, : i]):
+            a, b = root(int(label[i])), root(int(label[j]))
+            if a != b:
+                parent[a] = b
+                out.append((keys[i], keys[j]))
+    return out
+
+
+def _family_blocks(members: DataFrame) -> DataFrame:
+    """Members (family, key, label) of large families dealt to tasks that compare two blocks.
+
+    A component that fills blocks of its own is not compared with itself; all others share
+    blocks. Every pair of different labels meets in one task.
+    """
+    half = FAMILY // 2
+    sized = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    sized = sized.withColumn("core", F.when(F.col("n") >= half, F.col("label")))
+    parts = sized.groupBy("family", "core").agg(F.ceil(F.sum("n") / half).cast("int").alias("parts"))
+    named = sized.join(
+        parts.select(F.col("family").alias("p_family"), F.col("core").alias("p_core"), "parts"),
+        (F.col("family") == F.col("p_family")) & F.col("core").eqNullSafe(F.col("p_core")),
+    ).select(F.col("family").alias("f"), F.col("label").alias("l"), "core", "parts")
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    block = F.xxhash64("family", F.coalesce("core", F.lit(b"")), part)
+    placed = members.join(named, (F.col("family") == F.col("f")) & (F.col("label") == F.col("l"))).select(
+        "family", "key", "label", "core", block.alias("block")
+    )
+    numbers = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    blocks = parts.select("family", "core", numbers.alias("part")).select(
+        "family", "core", F.xxhash64("family", F.coalesce("core", F.lit(b"")), "part").alias("block")
+    )
+    other = blocks.select(F.col("family").alias("o_family"), F.col("core").alias("o_core"), F.col("block").alias("o_block"))
+    own = F.col("core").isNotNull() & F.col("core").eqNullSafe(F.col("o_core"))
+    paired = placed.join(other, (F.col("family") == F.col("o_family")) & ~own)
+    task = F.xxhash64("family", F.least("block", "o_block"), F.greatest("block", "o_block"))
+    return paired.select(task.alias("task"), "key", "label")
 
 
 def link(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -434,85 +560,36 @@ def link(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
         F.first("nodes").alias("nodes"),
     ).select("key", "one.id", "one.digest", "n", "sketch", "nodes")
     classes = materialize(classes, "near-classes")
-    entered = classes.select("key", F.explode("nodes").alias("node"))
-    sizes = entered.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sketches = classes.select("key", "n", "sketch")
-    members = materialize(entered.join(sizes, "node").join(sketches, "key").select("node", "key", "n", "sketch", "size"), "near-nodes")
+    edges, families = candidate_edges(classes, similarity)
+    families = families.select("key", F.col("label").alias("family"))
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    families = materialize(families.join(sizes, "family"), "near-families")
+    wanted = classes.join(families.select("key"), "key", "left_semi").select("id", "digest")
+    sets = materialize(full_sets(documents, wanted, width), "near-sets")
+    with_sets = lambda tasks: tasks.join(sets, "key")
+    few = families.where(F.col("size") <= FAMILY).select(
+        F.xxhash64("family").alias("task"), "key", F.col("key").alias("label")
+    )
+    links = materialize(family_links(with_sets(few), percent), "near-links")
+    many = families.where(F.col("size") > FAMILY).select("family", "key")
+    if not many.isEmpty():
+        links = links.unionByName(_large_families(many, edges, sets, similarity, percent))
+    return rows, components(links)
 
-    small, large = members.where(F.col("size") <= SMALL_NODE), members.where(F.col("size") > SMALL_NODE)
-    found = node_edges(small, similarity)
-    # the hub of a large node is one member, by a hash so that hubs differ between nodes
-    hub = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "key"), "key", "n", "sketch")).alias("h"))
-    tried = large.join(hub, "node").where(F.col("key") != F.col("h.key"))
-    edges = materialize(found.unionByName(_hub_edges(tried, similarity)), "near-edges")
-    candidates = edges.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("matches").alias("matches"))
 
+def _large_families(many: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float, percent: int) -> DataFrame:
+    """Links (a, b) that join the members (family, key) of large families."""
     # one hub for each member: the first that it probably links with, or its best
+    candidates = edges.where("matches > 0").join(many.select(F.col("key").alias("a")), "a", "left_semi")
     weak = F.col("matches") < similarity * SLOTS
     order = F.struct(weak.alias("weak"), F.when(weak, -F.col("matches")).otherwise(0).alias("worse"), "b")
     first = candidates.groupBy("a").agg(F.min(order).alias("o")).select("a", "o.b")
-    touched = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key")))
-    more = edges.where("a IS NULL").select("node").distinct()
-    open_small = small.join(more, "node", "left_semi")
-    touched = touched.unionByName(open_small.select("key")).unionByName(large.select("key")).distinct()
-    sets = materialize(full_sets(documents, classes.join(touched, "key", "left_semi"), width).dropDuplicates(["key"]), "near-sets")
-    tested = materialize(confirm(first, sets, percent), "near-tested")
-    labels = components(tested.where("linked"))
-
-    # what is left: pairs across components, from the edges, the open small and the large nodes
-    rest = [
-        _labelled(candidates.select(F.col("a").alias("key"), "b"), labels)
-        .select(F.col("key").alias("a"), F.col("b").alias("key"), F.col("label").alias("la"))
-        .transform(lambda d: _labelled(d, labels))
-        .where("la <> label")
-        .select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-    ]
-    wide = _labelled(large.select("node", "key", "n", "sketch"), labels)
-    columns = ["node", "key", "n", "sketch", "label"]
-    for level in range(LEVELS + 1):
-        wide = materialize(wide.join(_sized(wide).where("size > 1 AND mixed"), "node").select(*columns, "size"), "near-nodes")
-        if wide.isEmpty():
-            break
-        if level:
-            rest.append(cross_pairs(wide.where(F.col("size") <= SMALL_NODE).withColumn("side", F.lit(0)), similarity))
-            wide = wide.where(F.col("size") > SMALL_NODE)
-        if level == LEVELS:
-            rest.append(cross_pairs(_blocks(wide), similarity))
-        else:
-            wide = _branched(wide, similarity)
-    mixed_small = _labelled(open_small.select("node", "key", "n", "sketch"), labels)
-    mixed_small = mixed_small.join(_sized(mixed_small).where("mixed").select("node"), "node", "left_semi")
-    rest.append(cross_pairs(mixed_small.withColumn("side", F.lit(0)), similarity))
-    pairs = rest[0]
-    for other in rest[1:]:
-        pairs = pairs.unionByName(other)
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "near-pairs")
-    late = materialize(confirm(pairs, sets, percent).where("linked"), "near-tested")
-    if not late.isEmpty():
-        known = labels.select(F.col("key").alias("a"), F.col("label").alias("b"))
-        labels = components(known.unionByName(late.select("a", "b")))
-    return rows, labels
-
-
-def _hub_edges(tried: DataFrame, similarity: float) -> DataFrame:
-    """Edges of members (node, key, n, sketch, h) of large nodes to the node's hub h."""
-
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                left, right = _matrix(part.column(3)), _matrix(part.column(6))
-                same = (left == right).sum(axis=1)
-                mine, theirs = part.column(2).to_numpy(), part.column(5).to_numpy()
-                good = (same >= least_matches(similarity)) & (
-                    np.minimum(mine, theirs) >= similarity * np.maximum(mine, theirs) - 1e-9
-                )
-                node, key, hub = (part.column(i).to_pylist() for i in (0, 1, 4))
-                yield _batch(EDGE, [(node[i], key[i], hub[i], int(same[i])) for i in np.flatnonzero(good)])
-
-    plain = tried.select("node", "key", "n", "sketch", F.col("h.key").alias("h_key"), F.col("h.n").alias("h_n"), F.col("h.sketch").alias("h_sketch"))
-    return plain.mapInArrow(run, EDGE_DDL)
+    tested = materialize(confirm(first, sets, percent).where("linked").select("a", "b"), "near-tested")
+    placed = _labelled(many, components(tested))
+    several = placed.groupBy("family").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed")
+    placed = materialize(placed.join(several.select("family"), "family", "left_semi"), "near-placed")
+    tasks = _family_blocks(placed)
+    return tested.unionByName(materialize(family_links(tasks.join(sets, "key"), percent), "near-links"))
 
 
 def groups(

@@ -1,6 +1,8 @@
 import random
 
 import llm_samples as samples
+import numpy as np
+import pytest
 from skuloom.llm import neardup
 
 
@@ -69,15 +71,28 @@ def test_equals_brute_force(spark):
     check(spark, corpus(1))
 
 
-def test_large_nodes_are_branched_and_blocked(spark, monkeypatch):
-    """With tiny nodes everything goes through hubs, branching and blocks."""
-    monkeypatch.setattr(neardup, "SMALL_NODE", 4)
-    monkeypatch.setattr(neardup, "LEVELS", 2)
+@pytest.mark.parametrize("small,levels,family_size", [(4, 2, 1000), (4, 3, 8), (1000, 2, 8), (8, 1, 16)])
+def test_large_nodes_and_families(spark, monkeypatch, small, levels, family_size):
+    """With small limits everything goes through hubs, branching and blocks."""
+    monkeypatch.setattr(neardup, "SMALL_NODE", small)
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    monkeypatch.setattr(neardup, "FAMILY", family_size)
     rng = random.Random(5)
-    texts = family(rng, 150, 40, 8) + family(rng, 100, 30, 12)
+    texts = family(rng, 150, 40, 8) + family(rng, 100, 30, 12) + family(rng, 300, 20, 3)
     check(spark, list(enumerate(texts)))
 
 
+def test_intersections_by_presence(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in (1, 5, 30, 30, 60, 80)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = neardup.common(sets)
+    for i in range(len(sets)):
+        for j in range(i):
+            assert got[i, j] == want[i][j]
+
+
 def test_chain_reaches_its_least_member(spark):
     """Neighbours are linked, the ends are not."""
     words = [f"c{i}" for i in range(400)]
