@@ -155,6 +155,9 @@ def _priors(rows: DataFrame, languages: list[str]) -> DataFrame:
 
 def _fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     """``rows`` (text_log, n_trigrams, declared, suffix, host, ..) with language, posterior, kept."""
+    if not languages:  # nothing declares a language, so none is known
+        unknown = rows.withColumn("language", F.lit(UNKNOWN)).withColumn("posterior", F.lit(0.0))
+        return unknown.withColumn("kept", F.lit(False))
     best = F.array_position("text_log", F.array_max("text_log")) - 1
     rows = rows.withColumn("best", F.when(F.col("n_trigrams") > 0, best.cast("int")))
     # only texts with a clear winner teach the other evidence

@@ -169,7 +169,7 @@ def train(
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], type=pa.binary())], names=["weights"])
 
     one = found.select("id", "label", "text").coalesce(1).mapInArrow(run, "weights binary").first()
-    return np.frombuffer(one[0], dtype=np.float32)
+    return np.zeros(buckets + 1, dtype=np.float32) if one is None else np.frombuffer(one[0], dtype=np.float32)
 
 
 SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

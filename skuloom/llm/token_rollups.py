@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skuloom.llm.common import append_result, pick
+from skuloom.llm.common import append_result, pick, position_of, positions
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch_id long"
@@ -42,8 +42,9 @@ def count_tokens(documents: DataFrame, text_column: str, result: str, path: str
         return lambda texts: {"n": [len(encoding.encode_ordinary(t or "")) for t in texts]}
 
     schema = T.StructType([T.StructField("n", T.LongType())])
-    counted = append_result(documents, [text_column], make, schema, "_count_")
-    return counted.select(*documents.columns, F.col("_count_.n").alias(result))
+    plain = positions(documents)
+    counted = append_result(plain, [f"c{position_of(documents, text_column)}"], make, schema, "_count_")
+    return counted.select(*plain.columns, "_count_.n").toDF(*documents.columns, result)
 
 
 def changes(rows: DataFrame, sign: int, tokenizer: Column, n_tokens: Column) -> DataFrame:

@@ -56,9 +56,9 @@ def test_unfinished_batches_are_not_read(spark):
 def test_token_counts(spark):
     counted = token_rollups.count_tokens(samples.hostile(spark), "text", "n")
     encoding = token_rollups.bpe(token_rollups.TOKENIZER_FILE)
-    for r in counted.select("text", "n").collect():
-        assert r["n"] == len(encoding.encode_ordinary(r["text"] or ""))
-        assert encoding.decode(encoding.encode_ordinary(r["text"] or "")) == (r["text"] or "")
+    for text, n in [(r[1], r[-1]) for r in counted.collect()]:
+        assert n == len(encoding.encode_ordinary(text or ""))
+        assert encoding.decode(encoding.encode_ordinary(text or "")) == (text or "")
     assert token_rollups.count_tokens(samples.empty(spark), "text", "n").collect() == []
 
 
