@@ -31,11 +31,11 @@ from skuloom.session import materialize
 SLOTS = 128
 TREES = 16
 # members of a node that are compared exhaustively; larger nodes are branched
-SMALL_NODE = 1024
+SMALL_NODE = 4096
 # levels of branching; nodes that are still large are compared in pairs of blocks
 LEVELS = 5
 # members of a family compared on full sets in one task; larger families go by pairs of blocks
-FAMILY = 256
+FAMILY = 512
 # shingles whose presence is held as a matrix at once
 COLUMNS = 4096
 # standard deviations that an estimate may lie below the threshold
@@ -325,36 +325,35 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, label) of the keys in links (a, b): the least key of each connected component.
 
-    Each round every key takes its least neighbour as parent, parents are followed twice, and
-    the links are drawn between the parents; the number of keys at least halves.
+    Each round every key takes its least neighbour (or itself) as parent, parents are followed
+    once more, and the links are drawn between the parents. Every key that still has links
+    meets a smaller one or is met, so the number of keys at least halves; links to one hub
+    take one round. Parents are found with partial sums, so a hub is no burden.
     """
-    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = None
-    while not edges.isEmpty():
+    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    steps = []
+    while True:
+        edges = materialize(edges.distinct(), "links")
+        if edges.isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.min("b").alias("least")).select(
-            F.col("a").alias("key"), F.least("a", "least").alias("label")
-        )
-        parent = materialize(parent, "parents")
-        for _ in range(2):
-            up = parent.select(F.col("key").alias("label"), F.col("label").alias("next"))
-            parent = parent.join(up, "label", "left").select("key", F.coalesce("next", "label").alias("label"))
-        parent = materialize(parent, "parents")
-        step = parent.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        labels = parent if labels is None else labels.join(step, "label", "left").select(
-            "key", F.coalesce("next", "label").alias("label")
-        )
-        labels = materialize(labels, "labels")
-        left, right = parent.select(F.col("key").alias("a"), F.col("label").alias("la")), parent.select(
-            F.col("key").alias("b"), F.col("label").alias("lb")
-        )
-        drawn = edges.join(left, "a").join(right, "b").where("la <> lb")
-        edges = materialize(
-            drawn.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links"
-        )
-    if labels is None:
+        least = both.groupBy("a").agg(F.min("b").alias("least"))
+        parent = least.select(F.col("a").alias("key"), F.least("a", "least").alias("label"))
+        up = parent.select(F.col("key").alias("label"), F.col("label").alias("next"))
+        parent = parent.join(up, "label").select("key", F.col("next").alias("label"))
+        steps.append(materialize(parent, "parents"))
+        drawn = edges
+        for end in ("a", "b"):
+            named = steps[-1].select(F.col("key").alias(end), F.col("label").alias("to"))
+            drawn = drawn.join(named, end).drop(end).withColumnRenamed("to", end)
+        edges = drawn.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if not steps:
         return edges.select(F.col("a").alias("key"), F.col("b").alias("label"))
-    return labels
+    labels = steps[0]
+    for step in steps[1:]:
+        up = step.select(F.col("key").alias("label"), F.col("label").alias("next"))
+        labels = labels.join(up, "label", "left").select("key", F.coalesce("next", "label").alias("label"))
+    return materialize(labels, "labels") if len(steps) > 1 else labels
 
 
 # ---- the join ----------------------------------------------------------------------------
@@ -393,60 +392,71 @@ def _node_blocks(members: DataFrame) -> DataFrame:
     return paired.select(pair.alias("node"), "key", "n", "sketch")
 
 
-def _hub_edges(large: DataFrame, similarity: float) -> DataFrame:
-    """Edges of members (node, key, n, sketch) of large nodes to one hub of the node."""
+def _tried(large: DataFrame, similarity: float) -> DataFrame:
+    """Members (node, key, n, sketch) of large nodes but for each node's hub, with ``hub`` and
+    ``matches`` (-1 where the pair does not pass)."""
     hub = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "key", "n", "sketch")).alias("h"))
-    tried = large.join(hub, "node").where(F.col("key") != F.col("h.key"))
+    pairs = large.join(hub, "node").where(F.col("key") != F.col("h.key"))
+    out = T.StructType([*large.select("node", "key", "n", "sketch").schema.fields, T.StructField("hub", T.BinaryType()), T.StructField("matches", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                same = (_matrix(part.column(2)) == _matrix(part.column(5))).sum(axis=1)
-                mine, theirs = part.column(1).to_numpy(), part.column(4).to_numpy()
+                same = (_matrix(part.column(3)) == _matrix(part.column(6))).sum(axis=1)
+                mine, theirs = part.column(2).to_numpy(), part.column(5).to_numpy()
                 good = (same >= least_matches(similarity)) & (
                     np.minimum(mine, theirs) >= similarity * np.maximum(mine, theirs) - 1e-9
                 )
-                key, hub_key = part.column(0).to_pylist(), part.column(3).to_pylist()
-                yield _batch(EDGE, [(key[i], hub_key[i], int(same[i])) for i in np.flatnonzero(good)])
+                matches = pa.array(np.where(good, same, -1).astype(np.int32))
+                columns = [*(part.column(i) for i in range(5)), matches]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    plain = pairs.select("node", "key", "n", "sketch", "h.key", "h.n", "h.sketch")
+    return plain.toDF("node", "key", "n", "sketch", "hub", "h_n", "h_sketch").mapInArrow(run, out)
+
 
-    return tried.select("key", "n", "sketch", "h.key", "h.n", "h.sketch").toDF(
-        "key", "n", "sketch", "h_key", "h_n", "h_sketch"
-    ).mapInArrow(run, EDGE_DDL)
+def _large_nodes(large: DataFrame, similarity: float) -> list[DataFrame]:
+    """Edges of members (node, key, n, sketch) of large nodes.
+
+    All members are compared with a hub. Those that pass it are joined already; the others are
+    compared with all members, in parts, if they are few, or the node is branched.
+    """
+    found, half, columns = [], SMALL_NODE // 2, ["node", "key", "n", "sketch"]
+    for level in range(LEVELS):
+        tried = materialize(_tried(large, similarity), "near-nodes")
+        found.append(tried.where("matches >= 0").select(F.col("key").alias("a"), F.col("hub").alias("b"), "matches"))
+        sizes = tried.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("matches") < 0).alias("others"))
+        rest = tried.join(sizes.where("others > 0"), "node")
+        parts = F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("others")) / half)).cast("int")
+        own = F.when(F.col("matches") < 0, F.sequence(F.lit(0), parts - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64("key"), parts).cast("int"))
+        )
+        few = rest.where(F.col("others") <= half).withColumn("part", F.explode(own))
+        few = few.select(F.xxhash64("node", "part").alias("node"), "key", "n", "sketch")
+        children = materialize(_branched(rest.where(F.col("others") > half), similarity), "near-nodes")
+        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        children = children.join(sizes, "node")
+        small = children.where(F.col("size") <= SMALL_NODE).select(*columns)
+        found.append(materialize(node_edges(few.unionByName(small), similarity), "near-edges"))
+        large = materialize(children.where(F.col("size") > SMALL_NODE).select(*columns), "near-nodes")
+        if large.isEmpty():
+            return found
+    return [*found, materialize(node_edges(_node_blocks(large), similarity), "near-edges")]
 
 
-def candidate_edges(classes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(edges, families): edges (a, b, matches) that join what the trees bring together, and the
-    component (key, label) of every key in them."""
+def candidate_edges(classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b, matches) that join what the trees bring together."""
     entered = classes.select("key", F.explode("nodes").alias("node"))
     sizes = entered.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    columns = ["node", "key", "n", "sketch"]
-    members = entered.join(sizes, "node").join(classes.select("key", "n", "sketch"), "key").select(*columns, "size")
-    members = materialize(members, "near-nodes")
-    small, large = members.where(F.col("size") <= SMALL_NODE), members.where(F.col("size") > SMALL_NODE)
-    edges = materialize(node_edges(small, similarity).unionByName(_hub_edges(large, similarity)), "near-edges")
-    families = components(edges)
-    for level in range(1, LEVELS + 1):
-        # only nodes that hold more than one family can bring anything new
-        several = _labelled(large, families).groupBy("node").agg((F.min("label") < F.max("label")).alias("mixed"))
-        large = materialize(large.join(several.where("mixed"), "node", "left_semi").select(*columns), "near-nodes")
-        if large.isEmpty():
-            break
-        if level == LEVELS:
-            more = node_edges(_node_blocks(large), similarity)
-        else:
-            children = materialize(_branched(large, similarity), "near-nodes")
-            sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-            children = children.join(sizes, "node")
-            large = children.where(F.col("size") > SMALL_NODE)
-            small = children.where(F.col("size") <= SMALL_NODE)
-            more = node_edges(small, similarity).unionByName(_hub_edges(large, similarity))
-        edges = edges.unionByName(materialize(more, "near-edges"))
-        known = families.select(F.col("key").alias("a"), F.col("label").alias("b"), F.lit(0).alias("matches"))
-        families = components(known.unionByName(edges))
-        if level == LEVELS:
-            break
-    return edges, families
+    members = entered.join(sizes, "node").join(classes.select("key", "n", "sketch"), "key")
+    members = materialize(members.select("node", "key", "n", "sketch", "size"), "near-nodes")
+    edges = materialize(node_edges(members.where(F.col("size") <= SMALL_NODE), similarity), "near-edges")
+    large = members.where(F.col("size") > SMALL_NODE).drop("size")
+    if not large.isEmpty():
+        for more in _large_nodes(large, similarity):
+            edges = edges.unionByName(more)
+    return edges
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -560,8 +570,8 @@ def link(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
         F.first("nodes").alias("nodes"),
     ).select("key", "one.id", "one.digest", "n", "sketch", "nodes")
     classes = materialize(classes, "near-classes")
-    edges, families = candidate_edges(classes, similarity)
-    families = families.select("key", F.col("label").alias("family"))
+    edges = candidate_edges(classes, similarity)
+    families = components(edges).select("key", F.col("label").alias("family"))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     families = materialize(families.join(sizes, "family"), "near-families")
     wanted = classes.join(families.select("key"), "key", "left_semi").select("id", "digest")
