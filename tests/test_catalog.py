@@ -3,7 +3,7 @@ import glob
 import json
 
 import pytest
-from page_samples import GLOVE_CRUMBS, GLOVE_LD, GLOVE_VARIANTS, page
+from page_samples import LAMP_CRUMBS, LAMP_LD, LAMP_VARIANTS, page
 from pyspark.sql import functions as F
 from test_listings import category_page, response, responses
 
@@ -17,10 +17,10 @@ STAMP = "2024-05-01 10:00:00"
 
 def family(i, **changes):
     variants = {
-        f"{i}{s}": {**GLOVE_VARIANTS["77"], "sku": f"{i}{s}", "name": f"Glove {i} {s}", **changes}
+        f"{i}{s}": {**LAMP_VARIANTS["amber"], "sku": f"{i}{s}", "name": f"Lamp {i} {s}", **changes}
         for s in "ab"
     }
-    return page({**GLOVE_LD, "sku": f"F{i}"}, GLOVE_CRUMBS, variants=variants)
+    return page({**LAMP_LD, "sku": f"F{i}"}, LAMP_CRUMBS, variants=variants)
 
 
 @pytest.fixture(scope="module")
@@ -39,14 +39,14 @@ def inputs(spark):
         [(f"u{i}", family(i)) for i in range(1, 5)]
         + [
             ("retry", page({"@type": "Product", "name": "Retry"})),
-            ("broken", page(GLOVE_LD, variants="{")),
+            ("broken", page(LAMP_LD, variants="{")),
             ("noname", page({"@type": "Product", "sku": "N"})),
         ],
         schemas.PAGE,
     )
     answers = spark.createDataFrame(
         [
-            (f"{i}{s}", "tags", json.dumps({"product_type": "glove", "attributes": ["blue", f"m{i % 2}"]}))
+            (f"{i}{s}", "tags", json.dumps({"product_type": "lamp", "attributes": ["amber", f"m{i % 2}"]}))
             for i in range(1, 5)
             for s in "ab"
         ],

@@ -7,25 +7,27 @@ from skuloom import schemas
 from skuloom.functions import text as tx
 from skuloom.operators import enrich as en
 
-SLEEVES = "Ten sleeves with six sterile items each."
+PROSE = "Seven tubes in a crate, each wrapped in paper."
 
+# (pack size, evidence, source text; None: the evidence itself, supported)
 EVIDENCE = [
-    ("60 items/case", SLEEVES, "Procedure kit\n" + SLEEVES, True),
-    ("60 items/case", "Sixty items per case", "Procedure kit\n" + SLEEVES, False),
-    ("100 per bag", "Medium - 100 / bag", "Compac gloves 100/bag\nMedium, 100/bag", True),
-    ("100/bag", "100", "Model 100 exam glove", False),
-    ("3 pairs/package", "3 pairs/pkg", None, True),
-    ("12/box", "12/bx", None, True),
-    ("50/case", "50/cs", None, True),
-    ("0.5 ml", "0.5cc jar", None, True),
-    ("0.5 ml", ".50 cc", None, True),
-    ("16 bags/sleeve", "100ml bag, sleeve of 16", None, True),
-    ("standard package", "standard package", "Standard package, regular body", True),
-    ("3 boxes", "Triple (holds 3 boxes)", None, False),
-    ("17 ml", "17ml priming volume", None, False),
-    ("15 ml", "15 drops/ml", None, False),
-    ("2 fl oz", "2 fluid oz &amp; more", None, True),
-    ("12/box", "12/case", None, False),
+    ("7 tubes/crate", PROSE, "Paint set\n" + PROSE, True),
+    ("7 tubes/crate", "Seven tubes each", "Paint set\n" + PROSE, False),
+    ("24 vials per kit", "Kit of 24", "kit of 24, mixed colours", True),
+    ("24 vials per kit", "Kit of 24", "kit of 25, mixed colours", False),
+    ("8/sleeve", "8", "Series 8 brush", False),
+    ("40 pcs/bag", "40 pieces per bag", None, True),
+    ("18 jars/kit", "18 jar kit", None, True),
+    ("6/case", "6/cs", None, True),
+    ("6/case", "6 bx", None, False),
+    ("1.50 oz", "1.5 fl oz tin", None, True),
+    ("0.75 ml", ".750cc tube", None, True),
+    ("9 bottles", "Rack holding 9 boxes", None, False),
+    ("30 ml", "30 ml priming volume", None, False),
+    ("22 ml", "22 drops per ml", None, False),
+    ("Refill kit", "refill kit for felt pens", "The REFILL kit for felt pens", True),
+    ("Refill kit", "refill kit for felt pens", "A kit for felt pens", False),
+    ("5 oz", "5 oz &amp; lid", None, True),
     ("", "", None, False),
 ]
 
@@ -49,15 +51,15 @@ def test_canonical_quantity(spark, value, expected):
 def product(**changes):
     values = dict.fromkeys(schemas.PRODUCT_COLUMNS)
     values.update(
-        source="t", sku="S", product_name="Procedure kit", product_url="u",
-        category_hierarchy=["Kits"], description=SLEEVES, normalized_tags=["old"],
+        source="t", sku="S", product_name="Paint set", product_url="u",
+        category_hierarchy=["Paint"], description=PROSE, normalized_tags=["old"],
         specifications={}, image_urls=[],
     )
     values.update(changes)
     return tuple(values[c] for c in schemas.PRODUCT_COLUMNS)
 
 
-def pack(size="60 items/case", evidence=SLEEVES, confidence=0.92):
+def pack(size="7 tubes/crate", evidence=PROSE, confidence=0.92):
     return json.dumps({"pack_size": size, "evidence": evidence, "confidence": confidence})
 
 
@@ -68,7 +70,7 @@ def enriched(spark, products, responses):
 
 
 def test_enrichment_rules(spark):
-    tags = json.dumps({"product_type": "Procedure  Kit", "attributes": ["Sterile", "single use", "sterile", ""]})
+    tags = json.dumps({"product_type": "Paint  Set", "attributes": ["Washable", "for children", "washable", ""]})
     out = enriched(
         spark,
         [product(sku=s) for s in ("ok", "unsure", "wrong", "shape", "none", "null")]
@@ -77,7 +79,7 @@ def test_enrichment_rules(spark):
             ("ok", "pack_size", pack(confidence=0.92345)),
             ("ok", "tags", tags),
             ("unsure", "pack_size", pack(confidence=0.64)),
-            ("wrong", "pack_size", pack(evidence="Sixty items per case")),
+            ("wrong", "pack_size", pack(evidence="Seven tubes each")),
             ("wrong", "tags", '{"attributes": ["A"]}'),
             ("shape", "pack_size", "not json"),
             ("shape", "tags", "[]"),
@@ -86,9 +88,9 @@ def test_enrichment_rules(spark):
         ],
     )
     ok = out["ok"]
-    assert (ok.unit_pack_size, ok.unit_pack_size_source) == ("60 items/case", "llm")
-    assert (ok.pack_size_evidence, ok.pack_size_confidence) == (SLEEVES, 0.923)
-    assert ok.normalized_tags == ["procedure kit", "sterile", "single use"]
+    assert (ok.unit_pack_size, ok.unit_pack_size_source) == ("7 tubes/crate", "llm")
+    assert (ok.pack_size_evidence, ok.pack_size_confidence) == (PROSE, 0.923)
+    assert ok.normalized_tags == ["paint set", "washable", "for children"]
     assert ok.enrichment_errors == []
     assert out["unsure"].unit_pack_size is None and out["unsure"].enrichment_errors == []
     assert out["wrong"].unit_pack_size is None and len(out["wrong"].enrichment_errors) == 1
@@ -110,7 +112,7 @@ def test_requests_and_stub_model(spark):
     requests = en.model_requests(df)
     rows = {(r.sku, r.kind): r.input_text for r in requests.collect()}
     assert set(rows) == {("a", "pack_size"), ("a", "tags"), ("b", "tags")}
-    assert rows["a", "pack_size"] == f"Procedure kit\n{SLEEVES}\nV"
+    assert rows["a", "pack_size"] == f"Paint set\n{PROSE}\nV"
     context = json.loads(rows["a", "tags"])
     assert list(context) == ["category_hierarchy", "description", "name", "specifications", "variant"]
     assert list(context["specifications"]) == ["b", "variant", "z"]

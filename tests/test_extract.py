@@ -1,7 +1,7 @@
 import copy
 import datetime
 
-from page_samples import GLOVE_CRUMBS, GLOVE_LD, GLOVE_PAGE, GLOVE_URL, GLOVE_VARIANTS, page
+from page_samples import LAMP_CRUMBS, LAMP_LD, LAMP_PAGE, LAMP_URL, LAMP_VARIANTS, page
 from pyspark.sql import functions as F
 
 from skuloom.operators import extract as ex
@@ -36,35 +36,25 @@ def rows(spark, *pairs):
     return {(r.product_url, r.ordinal): r for r in out.collect()}
 
 
-LISTING = {"objectID": "95896", "manufacturer_name": "Handy"}
+LISTING = {"objectID": "lamp-set", "manufacturer_name": "Wholesaler"}
 
 
 def test_grouped_page_gives_variant_row(spark):
-    (row,) = rows(spark, (GLOVE_URL, GLOVE_PAGE, LISTING, "Supplies /// Gloves")).values()
+    (row,) = rows(spark, (LAMP_URL, LAMP_PAGE, LISTING, "Outdoor /// Lamps")).values()
     assert row.page_error is None
-    assert row.parent_sku == "SOFT1"
-    assert row.sku == "77"
-    assert row.source_product_id == "42340"
-    assert row.product_name == "Softfit gloves x-small 300/box"
-    assert row.unit_pack_size == "300/box"
-    assert row.unit_pack_size_source == "rule"
-    assert row.price == 31.49
-    assert row.currency == "EUR"
-    assert row.availability == "In stock"
-    assert row.brand == "Handy"
-    assert row.category_hierarchy == ["Supplies", "Gloves", "Nitrile gloves"]
-    assert row.specifications == {"Thickness": "3.1 mils", "variant": "X-small, 300/box"}
-    assert row.description == "Latex-free exam gloves & more. Thickness: 3.1 mils note"
-    assert row.image_urls == [
-        "https://img.test/v.jpg",
-        "https://img.test/a.jpg",
-        "https://img.test/full.jpg",
-    ]
+    assert (row.parent_sku, row.sku, row.source_product_id) == ("NRL", "NRL-AM", "8")
+    assert (row.product_name, row.brand) == ("Night rider lamp, amber", "Nordlys")
+    assert (row.unit_pack_size, row.unit_pack_size_source) == ("2 pieces per pack", "rule")
+    assert (row.price, row.currency, row.availability) == (21.75, "SEK", "Two weeks")
+    assert row.category_hierarchy == ["Cycling", "Lighting", "Lamp sets", "By battery"]
+    assert row.specifications == {"Run time": "40 hours", "variant": "Amber glass, 2 pieces per pack"}
+    assert row.description == "Front & rear lamp set, Run time: 40 hours with clips"
+    assert row.image_urls == [f"https://cdn.bikes.test/lamp-{n}.png" for n in ("amber", "front", "box")]
     assert row.scraped_at == datetime.datetime(2024, 1, 1)
 
 
 def test_page_without_variants_gives_parent_row(spark):
-    no_offer = {k: v for k, v in GLOVE_LD.items() if k not in ("offers", "sku", "brand")}
+    no_offer = {k: v for k, v in LAMP_LD.items() if k not in ("offers", "sku", "brand")}
     hit = {
         "objectID": " 12 ",
         "sku": '["L1","L2"]',
@@ -75,12 +65,12 @@ def test_page_without_variants_gives_parent_row(spark):
     }
     found = rows(
         spark,
-        ("u1", page(GLOVE_LD), LISTING, " A /// B ///  "),
+        ("u1", page(LAMP_LD), LISTING, " A /// B ///  "),
         ("u2", page(no_offer), hit, "A /// B"),
     )
     first, second = found["u1", 0], found["u2", 0]
-    assert (first.sku, first.parent_sku, first.price) == ("SOFT1", None, 31.49)
-    assert first.availability == "In stock"
+    assert (first.sku, first.parent_sku, first.price) == ("NRL", None, 18.2)
+    assert first.availability == "Out of stock"
     assert first.category_hierarchy == ["A", "B"]
     assert (second.sku, second.price, second.currency) == ("L1", 19.99, "USD")
     assert second.brand == "Maker One"
@@ -90,22 +80,22 @@ def test_page_without_variants_gives_parent_row(spark):
 
 
 def variant(**changes):
-    v = copy.deepcopy(GLOVE_VARIANTS)
-    v["77"].update(changes)
+    v = copy.deepcopy(LAMP_VARIANTS)
+    v["amber"].update(changes)
     return v
 
 
 def test_one_bad_variant_fails_the_whole_page(spark):
-    good = GLOVE_VARIANTS["77"]
+    good = LAMP_VARIANTS["amber"]
     cases = {
-        "inner": page(GLOVE_LD, variants='{"a": '),
-        "inner-tail": page(GLOVE_LD, variants='{"a": {}} x'),
-        "scalar": page(GLOVE_LD, variants={"a": good, "b": 5}),
-        "price": page(GLOVE_LD, variants={"a": good, "b": {**good, "product_price": "$1.2.3"}}),
-        "nested": page(GLOVE_LD, variants=variant(product_price={"USD": {"price": "$1.2.3"}})),
-        "text": page(GLOVE_LD, variants=variant(name=["x"])),
-        "ld-text": page({**GLOVE_LD, "description": 5}, variants=GLOVE_VARIANTS),
-        "ld-name": page({**GLOVE_LD, "name": 5}, variants=variant(name="")),
+        "inner": page(LAMP_LD, variants='{"a": '),
+        "inner-tail": page(LAMP_LD, variants='{"a": {}} x'),
+        "scalar": page(LAMP_LD, variants={"a": good, "b": 5}),
+        "price": page(LAMP_LD, variants={"a": good, "b": {**good, "product_price": "$1.2.3"}}),
+        "nested": page(LAMP_LD, variants=variant(product_price={"USD": {"price": "$1.2.3"}})),
+        "text": page(LAMP_LD, variants=variant(name=["x"])),
+        "ld-text": page({**LAMP_LD, "description": 5}, variants=LAMP_VARIANTS),
+        "ld-name": page({**LAMP_LD, "name": 5}, variants=variant(name="")),
         "missing": None,
     }
     found = rows(spark, *[(u, h, LISTING, "A") for u, h in cases.items()])
@@ -118,25 +108,25 @@ def test_one_bad_variant_fails_the_whole_page(spark):
 
 def test_shapes_that_do_not_fail_a_page(spark):
     cases = {
-        "list": page(GLOVE_LD, variants=[1]),
+        "list": page(LAMP_LD, variants=[1]),
         "not-string": '<script>window.masterData = {"a":1};</script>',
         "cut-off": "window.masterData = \"{",
-        "unknown-stock": page({**GLOVE_LD, "offers": {"availability": "x/LimitedStock"}}),
-        "graph": page({"@graph": [{"@type": "Other"}, {**GLOVE_LD, "sku": 0}]}),
+        "unknown-stock": page({**LAMP_LD, "offers": {"availability": "x/LimitedStock"}}),
+        "graph": page({"@graph": [{"@type": "Other"}, {**LAMP_LD, "sku": 0}]}),
         "bad-script": page() + '<script type="application/ld+json">{"@type":"Product"} ;</script>',
-        "in-comment": "<!-- " + page(GLOVE_LD) + " -->",
+        "in-comment": "<!-- " + page(LAMP_LD) + " -->",
         "upper": '<SCRIPT async TYPE=\'Application/LD+JSON\'>[{"@type":"Product","sku":"Z"}]</SCRIPT >',
-        "list-type": page({**GLOVE_LD, "@type": ["Product"]}),
-        "zero": page(GLOVE_LD, variants=variant(product_price=0, price="0")),
-        "html-price": page(GLOVE_LD, variants=variant(product_price='<i data-price-amount="7.5">$9</i>')),
-        "thousands": page(GLOVE_LD, variants=variant(product_price="only $1,234.50 now")),
-        "ld-name-unused": page({**GLOVE_LD, "name": 5}, variants=GLOVE_VARIANTS),
-        "bool": page(GLOVE_LD, variants=variant(product_price=True)),
+        "list-type": page({**LAMP_LD, "@type": ["Product"]}),
+        "zero": page(LAMP_LD, variants=variant(product_price=0, price="0")),
+        "html-price": page(LAMP_LD, variants=variant(product_price='<i data-price-amount="7.5">$9</i>')),
+        "thousands": page(LAMP_LD, variants=variant(product_price="only $1,234.50 now")),
+        "ld-name-unused": page({**LAMP_LD, "name": 5}, variants=LAMP_VARIANTS),
+        "bool": page(LAMP_LD, variants=variant(product_price=True)),
     }
     found = rows(spark, *[(u, h, {}, "A") for u, h in cases.items()])
     assert all(r.page_error is None for r in found.values())
     row = {u: found[u, 0] for u in cases}
-    assert row["list"].sku == "SOFT1"
+    assert row["list"].sku == "NRL"
     assert row["not-string"].sku == "" and row["cut-off"].sku == ""
     assert row["unknown-stock"].availability == "LimitedStock"
     assert row["graph"].sku == "0"
@@ -150,15 +140,15 @@ def test_shapes_that_do_not_fail_a_page(spark):
 
 
 def test_variant_order_and_repeated_skus(spark):
-    base = GLOVE_VARIANTS["77"]
+    base = LAMP_VARIANTS["amber"]
     variants = {
         "z": {**base, "sku": "S", "name": ""},
         "y": {**base, "sku": "S", "name": "second"},
         "x": {**base, "sku": "S", "name": "third", "id": False},
         "w": {**base, "sku": None},
     }
-    ld = {k: v for k, v in GLOVE_LD.items() if k != "name"}
-    df = ex.extract_products(paired(spark, ("u", page(ld, GLOVE_CRUMBS, variants=variants), {}, "")))
+    ld = {k: v for k, v in LAMP_LD.items() if k != "name"}
+    df = ex.extract_products(paired(spark, ("u", page(ld, LAMP_CRUMBS, variants=variants), {}, "")))
     checked = va.check_required(ex.good_rows(df))
     assert [r.product_name for r in va.accepted(checked).collect()] == ["second"]
     errors = sorted(r.error for r in va.rejected(checked).collect())

@@ -7,11 +7,9 @@ from skuloom import schemas
 from skuloom.operators import listings as li
 
 CONFIG = {
-    "applicationId": "APP",
-    "apiKey": "k",
-    "indexName": "idx",
     "isCategoryPage": True,
-    "request": {"categoryId": "385", "path": "Supplies /// Gloves", "level": 1},
+    "request": {"level": 3, "path": "Garden /// Tools /// Rakes", "categoryId": "rakes-07"},
+    "indexName": "garden",
 }
 
 
@@ -34,7 +32,7 @@ def test_category_configs_and_failures(spark):
     configs = li.category_configs(seeds, pages)
     good = li.usable_configs(configs).collect()
     assert [(r.category_url, r.category_path, r.category_level, r.category_id) for r in good] == [
-        ("a", "Supplies /// Gloves", 1, "385")
+        ("a", "Garden /// Tools /// Rakes", 3, "rakes-07")
     ]
     bad = li.discovery_failures(configs).collect()
     assert {r.url for r in bad} == set("bcdef")

@@ -12,40 +12,37 @@ from skuloom.session import scratch_path
 from skuloom.sources import readers
 from workload.registry import query, table
 
-# (pack size, evidence, source text; None: the evidence itself)
-CASES = [
-    ("60 items/case", "Ten sleeves with six sterile items each.", None),
-    ("60 items/case", "Sixty items per case", "Ten sleeves with six sterile items each."),
-    ("100 per bag", "Medium - 100 / bag", "Nitrile gloves medium 100/bag"),
-    ("100/bag", "100", "Model 100 exam glove"),
-    ("3 pairs/package", "3 pairs/pkg", None),
-    ("12/box", "12/bx", None),
-    ("50/case", "50/cs", None),
-    ("0.5 ml", "0.5cc jar", None),
-    ("16 bags/sleeve", "100ml bag, sleeve of 16", None),
-    ("standard package", "standard package", "Standard package, regular body"),
-    ("3 boxes", "Triple (holds 3 boxes)", None),
-    ("17 ml", "17ml priming volume", None),
-    ("15 ml", "15 drops/ml", None),
+# Pack size, evidence and source text of a part, as SQL both engines read. ``said`` is the size
+# on even parts and one more on odd ones, so what agrees follows from the table's values.
+SAID = "(p_size + p_partkey % 2)"
+SHAPES = [
+    ("p_size || ' vials per kit'", f"'Kit of ' || {SAID}", "p_name || ' kit of ' || " + SAID),
+    ("p_size || '.50 oz'", f"{SAID} || '.5 fl oz tin'", f"p_type || ', ' || {SAID} || '.5 fl oz tin'"),
+    ("p_size || ' tubes/pack'", "'Four kits, each with tubes of ' || p_type", None),
+    ("'Refill Kit'", "'refill kit for ' || p_name", None),
+    ("p_size || ' boxes'", "'Rack holding ' || p_size || ' boxes'", "p_name || '. Rack holding ' || p_size || ' boxes'"),
+    ("p_size || ' ml'", "p_size || ' drops per ml'", "p_type || ' ' || p_size || ' drops per ml'"),
+    ("p_size || '/bag'", "CAST(p_size AS STRING)", "'Series ' || p_size || ' ' || p_name"),
 ]
-SUPPORTED = "(1, 3, 5, 6, 7, 8, 9, 10)"
-CASE_NO = "(p_partkey % 13 + 1)"
+# without a source of its own, the evidence is quoted from the source on even parts only
+QUOTED = "CASE WHEN p_partkey % 2 = 0 THEN p_name || ': ' || {evidence} ELSE p_name END"
+SHAPE_NO = "(p_partkey % 7)"
+
+
+def _by_shape(texts: list[str]) -> str:
+    return f"CASE {SHAPE_NO} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts)) + " END"
+
+
+CASE_COLUMNS = {
+    "pack": _by_shape([p for p, _, _ in SHAPES]),
+    "evidence": _by_shape([e for _, e, _ in SHAPES]),
+    "source": _by_shape([s or QUOTED.format(evidence=e) for _, e, s in SHAPES]),
+}
 
 
 def cases(spark, sf_dir) -> DataFrame:
-    """Parts with one evidence case each."""
-    literal = F.array(
-        *[
-            F.struct(F.lit(p).alias("pack"), F.lit(e).alias("evidence"), F.lit(s or e).alias("source"))
-            for p, e, s in CASES
-        ]
-    )
-    return (
-        table(spark, sf_dir, "part")
-        .withColumn("case", F.element_at(literal, (F.col("p_partkey") % 13 + 1).cast("int")))
-        .select("*", "case.*")
-        .drop("case")
-    )
+    """Parts with one evidence case each, made of their own values."""
+    return table(spark, sf_dir, "part").withColumns({c: F.expr(e) for c, e in CASE_COLUMNS.items()})
 
 
 def products(spark, sf_dir) -> DataFrame:
@@ -100,12 +97,23 @@ def enriched(spark, sf_dir) -> DataFrame:
     return en.enrich(products(spark, sf_dir), responses(spark, sf_dir))
 
 
-PACKS_SQL = "(VALUES " + ", ".join(f"({i}, '{p}', '{e}', '{s or e}')" for i, (p, e, s) in enumerate(CASES, 1)) + ") AS c(case_no, pack, evidence, source)"
 CASE_SQL = f"""
-WITH item AS (
-    SELECT part.*, c.*, case_no IN {SUPPORTED} AS supported,
+WITH texts AS (
+    SELECT part.*, {", ".join(f"{e} AS {c}" for c, e in CASE_COLUMNS.items())} FROM part
+),
+judged AS (
+    SELECT *,
+           (lower(evidence) = 'kit of ' || p_size OR evidence = p_size || '.5 fl oz tin')
+           AND position(lower(evidence) IN lower(source)) > 0 AS agree,
+           evidence LIKE 'Four kits%' AND evidence LIKE '%each%' AS verbal,
+           lower(pack) = 'refill kit' AS descriptor,
+           position(evidence IN source) > 0 AS quoted
+    FROM texts
+),
+item AS (
+    SELECT *, agree OR (quoted AND (verbal OR descriptor)) AS supported,
            p_size <= 45 AND p_size / 50.0 >= 0.65 AS considered
-    FROM part JOIN {PACKS_SQL} ON case_no = {CASE_NO}
+    FROM judged
 )
 """
 
@@ -231,7 +239,7 @@ def x20(spark, sf_dir):
 
 @query(
     "u2_common_claims",
-    CASE_SQL + "SELECT p_partkey, case_no IN (3, 5, 6, 7, 8, 9) AS agree FROM item",
+    CASE_SQL + "SELECT p_partkey, agree FROM item",
 )
 def u2(spark, sf_dir):
     claims = tx.Evidence(
@@ -240,13 +248,13 @@ def u2(spark, sf_dir):
     return cases(spark, sf_dir).select("p_partkey", tx.claims_agree(claims).alias("agree"))
 
 
-@query("x21_verbal_evidence", "SELECT p_partkey, p_partkey % 13 = 0 AS verbal FROM part")
+@query("x21_verbal_evidence", CASE_SQL + "SELECT p_partkey, verbal FROM item")
 def x21(spark, sf_dir):
     verbal = tx.is_verbal_evidence(tx.match_text(F.col("evidence")))
     return cases(spark, sf_dir).select("p_partkey", verbal.alias("verbal"))
 
 
-@query("x22_pack_descriptor", "SELECT p_partkey, p_partkey % 13 = 9 AS descriptor FROM part")
+@query("x22_pack_descriptor", CASE_SQL + "SELECT p_partkey, descriptor FROM item")
 def x22(spark, sf_dir):
     descriptor = tx.is_pack_descriptor(tx.match_text(F.col("pack")))
     return cases(spark, sf_dir).select("p_partkey", descriptor.alias("descriptor"))
