@@ -87,3 +87,34 @@ def lower_words(text: str | None) -> list[bytes]:
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+# bits of a sieve; its table has at most SIEVE_BITS / 64 rows, whatever goes in
+SIEVE_BITS = 1 << 23
+
+
+def sieved(rows: DataFrame, digest: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with the boolean ``flag``: false where no row of ``wanted`` (one column) has
+    this digest, true where one may have.
+
+    A bitmap of fixed size is broadcast, so that large rows need not be shuffled to find that
+    they are not among the wanted ones. It helps less the more is wanted; the result of the
+    join that follows does not depend on it.
+    """
+    bit = F.pmod(F.xxhash64(F.col(digest)), F.lit(SIEVE_BITS))
+    named = wanted.toDF("wanted_digest").select(F.pmod(F.xxhash64("wanted_digest"), F.lit(SIEVE_BITS)).alias("bit"))
+    words = named.groupBy(F.expr("bit div 64").alias("sieve_word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("sieve_bits")
+    )
+    at = rows.withColumn("sieve_bit", bit)
+    joined = at.join(F.broadcast(words), F.expr("sieve_bit div 64") == F.col("sieve_word"), "left")
+    found = F.expr("(shiftright(sieve_bits, cast(sieve_bit % 64 as int)) & 1L) = 1L")
+    return joined.withColumn(flag, F.coalesce(found, F.lit(False))).drop("sieve_bit", "sieve_word", "sieve_bits")
+
+
+def without(rows: DataFrame, digest: str, removed: DataFrame, match: Column) -> DataFrame:
+    """``rows`` without those that ``match`` a row of ``removed`` (which has ``r_digest``);
+    only rows that may match take part in the join."""
+    marked = sieved(rows, digest, removed.select("r_digest"), "may_match")
+    open_rows = marked.where("may_match").join(removed, match, "left_anti")
+    return marked.where(~F.col("may_match")).unionByName(open_rows).drop("may_match")

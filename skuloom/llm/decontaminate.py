@@ -11,7 +11,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuloom.llm.common import pick, positions, position_of
+from skuloom.llm.common import pick, position_of, positions, without
+from skuloom.session import materialize
 
 # words of text whose A-Z are in lower case: ASCII letters and digits, and all beyond ASCII
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -186,7 +187,9 @@ def remove(
     found = _contaminated_texts(plain, text, benchmark, (item_column, item_text_column), window)
     digest = F.md5(F.col(text).cast("binary"))
     if mode == "documents":
-        return plain.join(found, digest == found["digest"], "left_anti").toDF(*names)
+        hit = materialize(found.select(F.col("digest").alias("r_digest")), "benchmark-hits")
+        keyed = plain.withColumn("digest", digest)
+        return without(keyed, "digest", hit, F.col("digest") == F.col("r_digest")).drop("digest").toDF(*names)
     joined = plain.join(found, digest == found["digest"], "left")
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     lead = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)

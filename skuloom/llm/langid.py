@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skuloom.llm.common import SLICE_ROWS, append_result, pick, position_of, positions
+from skuloom.llm.common import SLICE_ROWS, append_result, pick, position_of, positions, without
 from skuloom.session import materialize
 
 BUCKETS = 1 << 16
@@ -243,5 +243,7 @@ def keep_known(
     rows = plain.select(digest.alias("digest"), at[0].alias("text"), at[1].alias("d"), at[2].alias("h"))
     scored, languages = _evidence(rows, "text", F.col("d"), None, F.col("h"))
     scored = materialize(scored.select("digest", "declared", "suffix", "host", "n_trigrams", "text_log"), "language-text")
-    rejected = _fuse(scored, languages).where(~F.col("kept")).select(F.col("digest").alias("rejected")).distinct()
-    return plain.join(rejected, digest == F.col("rejected"), "left_anti").toDF(*names)
+    rejected = _fuse(scored, languages).where(~F.col("kept")).select(F.col("digest").alias("r_digest")).distinct()
+    rejected = materialize(rejected, "language-rejected")
+    keyed = plain.withColumn("digest", digest)
+    return without(keyed, "digest", rejected, F.col("digest") == F.col("r_digest")).drop("digest").toDF(*names)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skuloom.llm.common import append_result, flat, lower_words, pick, position_of, positions
+from skuloom.llm.common import append_result, flat, lower_words, pick, position_of, positions, sieved, without
 from skuloom.session import materialize
 
 SLOTS = 128
@@ -279,6 +279,7 @@ def full_sets(documents: DataFrame, classes: DataFrame, width: int) -> DataFrame
 
     wanted = classes.select(F.col("id").alias("w_id"), F.col("digest").alias("w_digest"))
     rows = documents.select("id", "text", F.md5(F.col("text").cast("binary")).alias("digest"))
+    rows = sieved(rows, "digest", wanted.select("w_digest"), "may_match").where("may_match")
     rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest")), "left_semi")
     rows = rows.dropDuplicates(["id", "digest"])
     return flat(append_result(rows, ["text"], make, schema, "found").select("found"), "found")
@@ -653,12 +654,12 @@ def drop_copies(
     same = (F.col("x.id").eqNullSafe(F.col("s.id"))) & (F.col("x.digest") == F.col("s.digest"))
     marked = counted.alias("x").join(stay.alias("s"), (F.col("x.label") == F.col("s.label")) & same, "left")
     decided = marked.select(
-        F.col("x.id").alias("d_id"), F.col("x.digest").alias("d_digest"), F.col("s.label").isNotNull().alias("stays"), "times"
+        F.col("x.id").alias("d_id"), F.col("x.digest").alias("r_digest"), F.col("s.label").isNotNull().alias("stays"), "times"
     )
     decided = materialize(decided.where(~F.col("stays") | (F.col("times") > 1)), "near-decided")
     keyed = plain.withColumn("digest", F.md5(F.col(at_text).cast("binary")))
-    match = keyed[at_id].eqNullSafe(F.col("d_id")) & (F.col("digest") == F.col("d_digest"))
-    rest = keyed.join(decided, match, "left_anti")
+    match = F.col(at_id).eqNullSafe(F.col("d_id")) & (F.col("digest") == F.col("r_digest"))
+    rest = without(keyed, "digest", decided, match)
     repeated = decided.where("stays")
     if not repeated.isEmpty():
         once = keyed.join(repeated, match, "left_semi").dropDuplicates([at_id, "digest"])
