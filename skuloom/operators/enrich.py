@@ -34,8 +34,32 @@ def source_text() -> Column:
 
 
 def tag_context() -> Column:
-    """JSON of what a tag request may look at; keys in sorted order."""
-    specs = F.map_from_entries(F.array_sort(F.map_entries("specifications")))
+    """JSON of what a tag request may look at; keys in sorted order.
+
+    A pack size that a model gave shows with its evidence and its confidence, a number.
+    """
+    given = F.filter(
+        F.array(
+            F.struct(
+                F.lit("pack_size_confidence").alias("key"),
+                F.col("pack_size_confidence").cast("variant").alias("value"),
+            ),
+            F.struct(
+                F.lit("pack_size_evidence").alias("key"),
+                F.col("pack_size_evidence").cast("variant").alias("value"),
+            ),
+        ),
+        lambda e: e["value"].isNotNull(),
+    )
+    own = F.transform(
+        F.map_entries("specifications"),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].cast("variant").alias("value")),
+    )
+    own = F.filter(own, lambda e: ~F.array_contains(F.transform(given, lambda g: g["key"]), e["key"]))
+    entries = F.concat(own, given)
+    keys = F.array_sort(F.transform(entries, lambda e: e["key"]))
+    values = F.map_from_entries(entries)
+    specs = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(values, k)))
     return F.to_json(
         F.struct(
             F.col("category_hierarchy").alias("category_hierarchy"),
@@ -48,8 +72,19 @@ def tag_context() -> Column:
     )
 
 
+def pack_size_requests(products: DataFrame) -> DataFrame:
+    """The first step: pack sizes, where the rules found none."""
+    return model_requests(products).filter(F.col("kind") == PACK_SIZE)
+
+
+def tag_requests(products: DataFrame) -> DataFrame:
+    """The second step, over products enriched with the answers of the first: their contexts
+    hold the evidence of the pack sizes."""
+    return model_requests(products).filter(F.col("kind") == TAGS)
+
+
 def model_requests(products: DataFrame) -> DataFrame:
-    """``sku, kind, input_text`` for an external model job.
+    """``sku, kind, input_text`` for an external model job, both kinds at once.
 
     Pack sizes are only asked for where the rules found none.
     """
@@ -73,17 +108,20 @@ def answer_requests(
 
     ``answer`` maps batches of ``sku, kind, input_text`` to ``sku, kind, payload``.
     """
-    return requests.mapInPandas(answer, "sku string, kind string, payload string")
+    answers = requests.mapInPandas(answer, "sku string, kind string, payload string")
+    return answers.withColumn("seq", F.lit(0).cast("bigint"))
 
 
 def responses_by_sku(responses: DataFrame) -> DataFrame:
     """One row per SKU with both payloads, so that products are joined once.
 
-    Repeated responses are reduced in the map tasks; the greatest text is kept.
+    Of repeated responses the last by ``seq`` counts (of equal ones the greatest text); they
+    are reduced in the map tasks.
     """
-    return responses.groupBy("sku").agg(
-        F.max(F.when(F.col("kind") == PACK_SIZE, F.col("payload"))).alias("pack_payload"),
-        F.max(F.when(F.col("kind") == TAGS, F.col("payload"))).alias("tag_payload"),
+    answer = F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), F.col("payload"))
+    last = lambda kind: F.max(F.when(F.col("kind") == kind, answer))["payload"]
+    return responses.filter(F.col("payload").isNotNull()).groupBy("sku").agg(
+        last(PACK_SIZE).alias("pack_payload"), last(TAGS).alias("tag_payload")
     )
 
 
@@ -124,10 +162,15 @@ def enrich(
                 F.coalesce(lj.kind(pack) != "OBJECT", F.lit(True))
                 | lj.truthy_but_not_text(lj.field(pack, "pack_size"))
                 | lj.truthy_but_not_text(lj.field(pack, "evidence"))
-                | (lj.truthy(confidence) & F.try_variant_get(confidence, "$", "double").isNull())
+                # given, but no number: also null, an empty text or list
+                | (confidence.isNotNull() & F.try_variant_get(confidence, "$", "double").isNull())
             ),
             "bad_tags": F.col("tag_payload").isNotNull()
-            & F.coalesce(lj.kind(tag) != "OBJECT", F.lit(True)),
+            & (
+                F.coalesce(lj.kind(tag) != "OBJECT", F.lit(True))
+                # given, but no list
+                | F.coalesce(lj.kind(lj.field(tag, "attributes")) != "ARRAY", F.lit(False))
+            ),
         }
     ).withColumn(
         "usable",

@@ -22,7 +22,8 @@ SEARCH_RESPONSE = (
 
 PAGE = "url string, html string"
 
-MODEL_RESPONSE = "sku string, kind string, payload string"
+# seq: order in which the answers were given
+MODEL_RESPONSE = "sku string, kind string, payload string, seq bigint"
 
 ALTERNATIVE = (
     "struct<sku:string,product_name:string,product_url:string,score:double,"

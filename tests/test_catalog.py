@@ -46,7 +46,7 @@ def inputs(spark):
     )
     answers = spark.createDataFrame(
         [
-            (f"{i}{s}", "tags", json.dumps({"product_type": "lamp", "attributes": ["amber", f"m{i % 2}"]}))
+            (f"{i}{s}", "tags", json.dumps({"product_type": "lamp", "attributes": ["amber", f"m{i % 2}"]}), 0)
             for i in range(1, 5)
             for s in "ab"
         ],

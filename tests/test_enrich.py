@@ -65,7 +65,7 @@ def pack(size="7 tubes/crate", evidence=PROSE, confidence=0.92):
 
 def enriched(spark, products, responses):
     df = spark.createDataFrame(products, schemas.PRODUCT)
-    res = spark.createDataFrame(responses, schemas.MODEL_RESPONSE)
+    res = spark.createDataFrame([(*r, None)[:4] for r in responses], schemas.MODEL_RESPONSE)
     return {r.sku: r for r in en.enrich(df, res).collect()}
 
 
@@ -124,3 +124,33 @@ def test_requests_and_stub_model(spark):
 
     answers = en.answer_requests(requests, answer).filter("kind = 'tags'")
     assert all(r.normalized_tags == ["kit"] for r in en.enrich(df, answers).collect())
+
+
+def test_last_answer_counts(spark):
+    tags = lambda kind: json.dumps({"product_type": kind, "attributes": []})
+    answers = [("a", "tags", tags("zebra"), 1), ("a", "tags", tags("apple"), 2), ("a", "tags", tags("mid"), None)]
+    assert enriched(spark, [product(sku="a")], answers)["a"].normalized_tags == ["apple"]
+
+
+@pytest.mark.parametrize("confidence", [None, "", [], {}, "much"])
+def test_confidence_that_is_no_number_is_an_error(spark, confidence):
+    out = enriched(spark, [product(sku="a")], [("a", "pack_size", pack(confidence=confidence))])["a"]
+    assert out.unit_pack_size is None and len(out.enrichment_errors) == 1
+
+
+@pytest.mark.parametrize("attributes", [None, 5, True, "x"])
+def test_attributes_that_are_no_list_are_an_error(spark, attributes):
+    answer = json.dumps({"product_type": "X", "attributes": attributes})
+    out = enriched(spark, [product(sku="a")], [("a", "tags", answer)])["a"]
+    assert out.normalized_tags == ["old"] and len(out.enrichment_errors) == 1
+    missing = enriched(spark, [product(sku="a")], [("a", "tags", '{"product_type": "X"}'), ("a", "pack_size", '{"pack_size": null}')])
+    assert missing["a"].normalized_tags == ["x"] and missing["a"].enrichment_errors == []
+
+
+def test_tag_request_after_the_pack_size_holds_its_evidence(spark):
+    df = spark.createDataFrame([product(sku="a", specifications={"z": "1", "b": "2"})], schemas.PRODUCT)
+    answer = spark.createDataFrame([("a", "pack_size", pack(confidence=0.92345), 1)], schemas.MODEL_RESPONSE)
+    (request,) = en.tag_requests(en.enrich(df, answer)).collect()
+    specs = json.loads(request.input_text)["specifications"]
+    assert list(specs.items()) == [("b", "2"), ("pack_size_confidence", 0.923), ("pack_size_evidence", PROSE), ("z", "1")]
+    assert [r.kind for r in en.pack_size_requests(df).collect()] == ["pack_size"]

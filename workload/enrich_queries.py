@@ -82,11 +82,16 @@ def responses(spark, sf_dir) -> DataFrame:
             F.concat(F.transform(words, F.upper), words, F.array(F.lit(" "), F.lit("Ä  b"))).alias("attributes"),
         )
     )
+    # some confidences are null, some attributes no list, and an earlier answer is outdated
+    pack = F.when(F.col("p_size") == 44, F.regexp_replace(pack, '"confidence":[0-9.]+', '"confidence":null')).otherwise(pack)
+    bad = F.when(F.col("p_size") == 1, F.lit("{")).otherwise(F.lit('{"product_type":"x","attributes":null}'))
+    answer = lambda kind, seq, payload: F.struct(
+        F.lit(kind).alias("kind"), payload.alias("payload"), F.lit(seq).cast("bigint").alias("seq")
+    )
     payloads = F.array(
-        F.struct(F.lit(en.PACK_SIZE).alias("kind"), pack.alias("payload")),
-        F.struct(
-            F.lit(en.TAGS).alias("kind"), F.when(F.col("p_size") > 2, tags).otherwise("{").alias("payload")
-        ),
+        answer(en.PACK_SIZE, 1, pack),
+        answer(en.TAGS, 2, F.when(F.col("p_size") > 2, tags).otherwise(bad)),
+        answer(en.TAGS, 1, F.lit('{"product_type":"zzz outdated","attributes":[]}')),
     )
     return cases(spark, sf_dir).select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("sku"), F.inline(payloads)
@@ -112,7 +117,7 @@ judged AS (
 ),
 item AS (
     SELECT *, agree OR (quoted AND (verbal OR descriptor)) AS supported,
-           p_size <= 45 AND p_size / 50.0 >= 0.65 AS considered
+           p_size <= 45 AND p_size <> 44 AND p_size / 50.0 >= 0.65 AS considered
     FROM judged
 )
 """
@@ -122,7 +127,9 @@ item AS (
     "s6_model_responses",
     CASE_SQL
     + """
-SELECT 'P' || p_partkey AS sku, 'pack_size' AS kind, pack AS said, 'P' || p_partkey || '-' || p_size AS marker FROM item
+SELECT 'P' || p_partkey AS sku, 'pack_size' AS kind, pack AS said,
+       'P' || p_partkey || '-' || CASE p_size WHEN 44 THEN '' ELSE CAST(p_size AS VARCHAR) END AS marker FROM item
+UNION ALL SELECT 'P' || p_partkey, 'tags', NULL, 'P' || p_partkey || '-' FROM item
 UNION ALL SELECT 'P' || p_partkey, 'tags', NULL, 'P' || p_partkey || '-' FROM item""",
 )
 def s6(spark, sf_dir):
@@ -180,13 +187,15 @@ def p15(spark, sf_dir):
     CASE_SQL
     + """
 SELECT 'P' || p_partkey AS sku, '{"category_hierarchy":["' || p_type || '"],"description":null,"name":"' || source
-       || '","specifications":{"variant":"' || p_name || '"},"variant":"' || p_name || '"}' AS input_text
+       || '","specifications":{' || CASE WHEN considered AND supported THEN '"pack_size_confidence":'
+       || rtrim(rtrim(printf('%.3f', p_size / 50.0::DOUBLE), '0'), '.') || ',"pack_size_evidence":"' || evidence || '",'
+          ELSE '' END
+       || '"variant":"' || p_name || '"},"variant":"' || p_name || '"}' AS input_text
 FROM item""",
 )
 def p16(spark, sf_dir):
-    return (
-        en.model_requests(products(spark, sf_dir)).filter(F.col("kind") == en.TAGS).select("sku", "input_text")
-    )
+    """Tag requests of products whose pack sizes were answered before."""
+    return en.tag_requests(enriched(spark, sf_dir)).select("sku", "input_text")
 
 
 @query(
@@ -313,8 +322,8 @@ SELECT 'P' || p_partkey AS sku,
        CASE WHEN p_size > 45 THEN '1/box' WHEN considered AND supported THEN pack END AS unit_pack_size,
        CASE WHEN p_size > 45 THEN 'rule' WHEN considered AND supported THEN 'llm' END AS unit_pack_size_source,
        CASE WHEN considered AND supported THEN CAST(printf('%.3f', p_size / 50.0::DOUBLE) AS DOUBLE) END AS confidence,
-       CAST(CASE WHEN considered AND NOT supported THEN 1 ELSE 0 END + CASE WHEN p_size <= 2 THEN 1 ELSE 0 END
-            AS INTEGER) AS errors
+       CAST(CASE WHEN considered AND NOT supported OR p_size = 44 THEN 1 ELSE 0 END
+            + CASE WHEN p_size <= 2 THEN 1 ELSE 0 END AS INTEGER) AS errors
 FROM item""",
 )
 def x28(spark, sf_dir):
@@ -333,7 +342,9 @@ SELECT 'u' || p_partkey AS url, 'ai_enrichment' AS stage, 'P' || p_partkey
        || evidence || ''')' AS error
 FROM item WHERE considered AND NOT supported
 UNION ALL SELECT 'u' || p_partkey, 'ai_enrichment', 'P' || p_partkey || ': tags: response has another shape'
-FROM item WHERE p_size <= 2""",
+FROM item WHERE p_size <= 2
+UNION ALL SELECT 'u' || p_partkey, 'ai_enrichment', 'P' || p_partkey || ': pack size: response has another shape'
+FROM item WHERE p_size = 44""",
 )
 def s9(spark, sf_dir):
     return en.enrichment_failures(enriched(spark, sf_dir))
