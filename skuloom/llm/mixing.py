@@ -68,7 +68,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent=BUDGET_PERC
 
 def _queue(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """rows (source, key, size, ..) with ``done``: words of the source up to and including the
-    row in shuffled order, and ``same``: the number of the row among equal ones.
+    row in shuffled order, and ``same``: the number of the row among those with its key, by
+    source.
 
     A source is cut into ranges of the key, summed first, so that no task sees a whole source.
     """
@@ -82,14 +83,13 @@ def _queue(rows: DataFrame, targets: DataFrame) -> DataFrame:
     )
     joined = rows.join(offsets, rows["source"].eqNullSafe(F.col("o_source")) & (F.col("part") == F.col("o_part")))
     inside = Window.partitionBy("source", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    equal = Window.partitionBy("source", "part", "key").orderBy("key")
-    queued = joined.withColumn("done", F.col("offset") + F.sum("size").over(inside)).withColumn(
-        "same", F.row_number().over(equal)
-    )
+    queued = joined.withColumn("done", F.col("offset") + F.sum("size").over(inside))
     known = targets.select(
         F.col("source").alias("t_source"), "source_size", "rank", "scale", "target"
     )
-    return queued.join(known, F.col("source").eqNullSafe(F.col("t_source"))).drop(
+    queued = queued.join(known, F.col("source").eqNullSafe(F.col("t_source")))
+    equal = Window.partitionBy("key").orderBy("rank", "done")
+    return queued.withColumn("same", F.row_number().over(equal)).drop(
         "o_source", "o_part", "t_source", "offset", "part"
     )
 
@@ -187,12 +187,15 @@ def draw(
     names, plain = documents.columns, positions(documents)
     at = [f"c{position_of(documents, n)}" for n in (id_column, text_column, source_column)]
     mixed = _mix(plain, *at, weights, budget_percent, repeats).where(F.col("taken") > 0).select(
-        "key", "same", (F.col("taken") / F.col("size")).cast("int").alias("copies")
+        F.col("key").alias("m_key"), F.col("same").alias("m_same"), (F.col("taken") / F.col("size")).cast("int").alias("copies")
     )
     keyed = plain.withColumn("key", shuffle_key(F.col(at[0]), F.col(at[1])))
     # equal rows are interchangeable; they are numbered to keep their count
-    numbered = keyed.withColumn("same", F.row_number().over(Window.partitionBy("key", at[2]).orderBy("key")))
-    return numbered.join(mixed, ["key", "same"]).select(*plain.columns, "copies").toDF(*names, copies_column)
+    equal = Window.partitionBy("key").orderBy(F.col(at[2]).asc_nulls_last())
+    numbered = keyed.withColumn("same", F.row_number().over(equal))
+    # the numbers are compared by two inequalities, so that the join uses the placement by key
+    match = (F.col("key") == F.col("m_key")) & (F.col("same") >= F.col("m_same")) & (F.col("same") <= F.col("m_same"))
+    return numbered.join(mixed, match).select(*plain.columns, "copies").toDF(*names, copies_column)
 
 
 SQL = r"""
