@@ -41,6 +41,14 @@ def category_hierarchy(breadcrumb: Column, path: Column) -> Column:
     ).otherwise(F.filter(parts, lambda p: p != ""))
 
 
+def bad_breadcrumb(breadcrumb: Column) -> Column:
+    """A breadcrumb name that is given but no text, which fails a page."""
+    names = F.transform(
+        lj.elements(lj.field(breadcrumb, "itemListElement")), lambda i: lj.field(i, "name")
+    )
+    return F.coalesce(F.exists(names, lj.truthy_but_not_text), F.lit(False))
+
+
 def squeeze_ends(c: Column) -> Column:
     """Trim all whitespace from both ends, leaving inner runs alone."""
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -104,6 +104,7 @@ def _page_values(df: DataFrame) -> DataFrame:
                 lj.field(ld, "image"), F.col("gallery"), hit["image_url"]
             ),
             "hierarchy": fields.category_hierarchy(F.col("crumbs"), F.col("category_path")),
+            "bad_crumbs": fields.bad_breadcrumb(F.col("crumbs")),
             "ld_sku": fields.identifier(lj.field(ld, "sku")),
             "hit_sku": fields.first_sku(hit["sku"]),
             "texts": F.concat(
@@ -157,16 +158,25 @@ def _page_error(df: DataFrame) -> DataFrame:
     ld_not_text = lj.truthy_but_not_text(lj.field(F.col("ld"), "description")) | (
         needs_name & lj.truthy_but_not_text(lj.field(F.col("ld"), "name"))
     )
+    # a page's brand is only looked at where a variant names no maker
+    maker = lambda v: lj.field(v["value"], "manufacturer_name")
+    needs_brand = (F.size("variants") == 0) | F.exists("variants", lambda v: ~lj.truthy(maker(v)))
+    ld_brand = lj.field(F.col("ld"), "brand")
+    named = F.when(lj.kind(ld_brand) == "OBJECT", lj.field(ld_brand, "name")).otherwise(ld_brand)
+    brand_not_text = F.exists("variants", lambda v: lj.truthy_but_not_text(maker(v))) | (
+        needs_brand & lj.truthy_but_not_text(named)
+    )
     return df.withColumn(
         "page_error",
         F.when(F.col("no_page"), F.lit("no document for this URL"))
         .when(F.col("bad_map"), F.lit("variant map is not valid JSON"))
         .when(not_object, F.lit("variant is not an object"))
         .when(variant_not_text | ld_not_text, F.lit("text field holds another type"))
+        .when(F.col("bad_crumbs") | brand_not_text, F.lit("brand or breadcrumb name is not text"))
         .when(
             bad_price.isNotNull(), F.concat(F.lit("price is not a number: "), bad_price)
         ),
-    ).drop("no_page", "bad_map")
+    ).drop("no_page", "bad_map", "bad_crumbs")
 
 
 def _any_not_text(*values: Column) -> Column:

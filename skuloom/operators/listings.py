@@ -9,17 +9,9 @@ from skuloom import fixed_values as fv
 from skuloom.functions import loose_json as lj
 from skuloom.functions.text import blank_to_null
 
-# Largest category table sent to every executor; beyond it the join shuffles.
-SMALL_SIDE_ROWS = 10_000
-
 PAGES_PER_BLOCK = 1_000
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if counting up to the limit shows it is small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def category_configs(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     """Search configuration of every seed, with ``error`` where there is none.
 
@@ -56,17 +48,25 @@ def discovery_failures(configs: DataFrame) -> DataFrame:
     )
 
 
+def _stops(responses: DataFrame) -> DataFrame:
+    """(category_url, stop): the first result page that is not read, from narrow columns only;
+    one row per category, with partial sums."""
+    narrow = responses.select(
+        "category_url", "page_no", "nbPages", F.coalesce(F.size("hits"), F.lit(0)).alias("n_hits")
+    )
+    stop = F.when(F.col("n_hits") < 1, F.col("page_no")).when(
+        F.col("page_no") + 1 >= F.coalesce("nbPages", F.lit(0)), F.col("page_no") + 1
+    )
+    return narrow.groupBy("category_url").agg(F.min(stop).alias("stop"))
+
+
 def pages_in_bounds(responses: DataFrame) -> DataFrame:
     """Result pages up to the first empty, last announced or failed one.
 
-    The stopping point is one small row per category, found with partial
-    aggregation, so the hits themselves are not shuffled when it is broadcast.
+    The stopping points are one small row per category, so Spark broadcasts them and the hits
+    stay where they are; with very many categories both sides are shuffled.
     """
-    stop = (
-        F.when(F.coalesce(F.size("hits"), F.lit(0)) < 1, F.col("page_no"))
-        .when(F.col("page_no") + 1 >= F.coalesce("nbPages", F.lit(0)), F.col("page_no") + 1)
-    )
-    stops = responses.groupBy("category_url").agg(F.min(stop).alias("stop"))
+    stops = _stops(responses)
     return (
         responses.join(stops, "category_url")
         .filter(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
@@ -74,8 +74,12 @@ def pages_in_bounds(responses: DataFrame) -> DataFrame:
     )
 
 
-def traversal_failures(responses: DataFrame) -> DataFrame:
-    """The first failed result page of every category, if it was reached."""
+def traversal_failures(responses: DataFrame, limit: int | None = None) -> DataFrame:
+    """The first failed result page of every category, if it was reached.
+
+    With a limit a category is left as soon as it gave that many families, so a page that
+    fails after the page with the last of them was never asked for.
+    """
     first = responses.groupBy("category_url").agg(
         F.min(F.when(F.col("error").isNotNull(), F.struct("page_no", "error"))).alias("failed"),
         F.min(
@@ -89,10 +93,20 @@ def traversal_failures(responses: DataFrame) -> DataFrame:
             )
         ).alias("ended"),
     )
-    return first.filter(
+    failed = first.filter(
         F.col("failed").isNotNull()
         & (F.col("ended").isNull() | (F.col("failed.page_no") <= F.col("ended")))
-    ).select(
+    )
+    if limit is not None:
+        families = hits_of(pages_in_bounds(responses)).transform(with_family_url).transform(first_in_category)
+        found = limit_per_category(families, limit).groupBy("category_url").agg(
+            F.count("*").alias("families"), F.max("page_no").alias("last_page")
+        )
+        full = found.filter(F.col("families") >= limit).select("category_url", "last_page")
+        failed = failed.join(full, "category_url", "left").filter(
+            F.col("last_page").isNull() | (F.col("failed.page_no") <= F.col("last_page"))
+        )
+    return failed.select(
         F.col("category_url").alias("url"),
         F.lit(fv.STAGE_TRAVERSAL).alias("stage"),
         F.col("failed.error").alias("error"),
@@ -130,7 +144,7 @@ def in_category(level_columns: dict[int, str]) -> Column:
 
 def attach_category(hits: DataFrame, configs: DataFrame) -> DataFrame:
     """Add the category's path, level and order to every hit."""
-    return hits.join(small_side(configs), "category_url")
+    return hits.join(configs, "category_url")
 
 
 def first_in_category(hits: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuloom.functions import loose_json as lj
@@ -46,13 +48,52 @@ def duplicate_sku_rate(products: DataFrame) -> DataFrame:
     )
 
 
+QUARTERS = (0.25, 0.5, 0.75)
+# ranges of prices that are counted before single prices are
+PRICE_RANGES = 1024
+
+
 def price_distribution(products: DataFrame, *keys: str) -> DataFrame:
-    return products.groupBy(*keys).agg(
-        F.count("price").alias("priced"),
-        F.min("price").alias("least"),
-        F.percentile_approx("price", [0.25, 0.5, 0.75], 10_000).alias("quartiles"),
-        F.max("price").alias("greatest"),
+    """Number, least, greatest and exact quartiles of the prices per key group.
+
+    A quartile is the price at rank ceil(share * n). Prices are counted first, then the counts
+    are summed along ranges of the price and inside the one range that holds the rank, so no
+    task sorts the prices of a whole group.
+    """
+    priced = products.filter(F.col("price").isNotNull())
+    counts = priced.groupBy(*keys, "price").agg(F.count("*").alias("n"))
+    bounds = counts.groupBy(*keys).agg(
+        F.sum("n").alias("priced"), F.min("price").alias("least"), F.max("price").alias("greatest")
+    )
+    same = lambda left, right: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys] or [F.lit(True)]
+    every = lambda conditions: reduce(lambda a, b: a & b, conditions)
+    width = (F.col("b.greatest") - F.col("b.least")) / PRICE_RANGES
+    part = F.when(width > 0, F.floor((F.col("c.price") - F.col("b.least")) / width)).otherwise(0)
+    placed = counts.alias("c").join(bounds.alias("b"), every(same("c", "b"))).select(
+        *[F.col(f"c.{k}").alias(k) for k in keys], F.col("c.price").alias("price"), F.col("c.n").alias("n"),
+        F.col("b.priced").alias("priced"), part.alias("part"),
+    )
+    ranges = placed.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.max("priced").alias("priced"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    ranks = F.array(*[F.ceil(F.col("priced") * F.lit(q)) for q in QUARTERS])
+    ranges = ranges.withColumn("before", before).withColumn(
+        "ranks", F.filter(ranks, lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("n")))
+    ).filter(F.size("ranks") > 0).select(*keys, "part", "before")
+    inside = Window.partitionBy(*keys, "part").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.alias("p").join(
+        ranges.alias("r"), every([*same("p", "r"), F.col("p.part") == F.col("r.part")])
+    ).select(
+        *[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.part").alias("part"), F.col("p.price").alias("price"),
+        F.col("p.n").alias("n"), F.col("p.priced").alias("priced"), F.col("r.before").alias("before"),
+    )
+    found = found.withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    quartiles = found.groupBy(*keys).agg(
+        F.array(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("priced") * F.lit(q)), F.col("price"))) for q in QUARTERS]).alias("quartiles")
     )
+    groups = products.groupBy(*keys).agg(F.count("price").alias("priced"), F.min("price").alias("least"), F.max("price").alias("greatest"))
+    joined = groups.alias("g").join(quartiles.alias("q"), every(same("g", "q")), "left")
+    return joined.select(*[F.col(f"g.{k}").alias(k) for k in keys], "priced", "least", "quartiles", "greatest")
 
 
 def availability_distribution(products: DataFrame) -> DataFrame:

@@ -54,11 +54,14 @@ def extract_with_retries(
     """Extract every URL from its first listing; where that fails, from the next.
 
     Each round reads only the URLs the previous one failed on; there are at most
-    as many rounds as categories list the same URL.
+    as many rounds as categories list the same URL. Pages are reduced to the URLs
+    of the round before the join: what is not asked for is not shuffled where the
+    URLs are few enough for Spark to broadcast.
     """
     todo, attempt, rounds = families.filter(F.col("attempt") == 1), 1, None
     while True:
-        paired = ex.attach_pages(todo, pages)
+        asked = pages.join(todo.select(F.col("product_url").alias("url")), "url", "left_semi")
+        paired = ex.attach_pages(todo, asked)
         found = materialize(
             ex.extract_products(
                 paired, source=source, scraped_at=scraped_at, keep=("place", "attempt")
@@ -76,7 +79,7 @@ def extract_with_retries(
 def save_batch(
     extracted: DataFrame,
     root: str,
-    batch_id: int,
+    batch: state.Batch,
     *,
     model_responses: DataFrame | None = None,
     stage: Stage | None = None,
@@ -97,10 +100,10 @@ def save_batch(
         failures = failures.unionByName(en.enrichment_failures(rows))
     if other_failures is not None:
         failures = failures.unionByName(other_failures)
-    state.append(rows.select(*PRODUCT_COLUMNS, "place", "ordinal"), root, "products", batch_id)
-    state.append(failures, root, "failures", batch_id)
+    state.append(rows.select(*PRODUCT_COLUMNS, "place", "ordinal"), root, "products", batch)
+    state.append(failures, root, "failures", batch)
     done = ex.good_rows(extracted).select(F.col("product_url").alias("url")).distinct()
-    state.append(done, root, "completed", batch_id)
+    state.append(done, root, "completed", batch)
 
 
 def export_current(
@@ -139,10 +142,10 @@ def run(
 ) -> DataFrame:
     """Build or extend the catalog under ``root``; returns the run summary row."""
     prepare(spark)
-    batch_id = state.begin(spark, root, mode)
+    batch = state.begin(spark, root, mode)
     configs = materialize(li.category_configs(seeds, category_pages), "configs")
     usable = li.usable_configs(configs)
-    mine = responses.join(li.small_side(usable.select("category_url")), "category_url")
+    mine = responses.join(usable.select("category_url"), "category_url")
     families = materialize(
         families_to_visit(usable, mine, state.completed_urls(spark, root), limit_per_category),
         "families",
@@ -151,10 +154,10 @@ def run(
     save_batch(
         extracted,
         root,
-        batch_id,
+        batch,
         model_responses=model_responses,
         stage=stage,
-        other_failures=li.discovery_failures(configs).unionByName(li.traversal_failures(mine)),
+        other_failures=li.discovery_failures(configs).unionByName(li.traversal_failures(mine, limit_per_category)),
     )
     exported = export_current(
         spark, root, max_alternatives=max_alternatives, min_score=min_score
@@ -164,7 +167,7 @@ def run(
             seeds,
             extracted.select("product_url", "attempt").distinct(),
             exported,
-            state.read(spark, root, "failures").filter(F.col("batch_id") == batch_id),
+            state.read(spark, root, "failures").filter(F.col("seq") == batch.seq),
         ),
         "summary",
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +14,7 @@ from skuloom import schemas
 from skuloom.operators import extract as ex
 from skuloom.plans.catalog import save_batch
 from skuloom.session import materialize
+from skuloom.sources import state
 
 
 def page_stream(
@@ -44,6 +47,69 @@ def process_available(
     return query
 
 
+def _writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the stream that owns a checkpoint folder, kept inside it: a new folder is a new
+    writer, whose batch numbers start again."""
+    path = f"{checkpoint}/writer"
+    try:
+        return spark.read.text(path).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = f"stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
+    return name
+
+
+def save_pages(
+    pages: DataFrame,
+    families: DataFrame,
+    root: str,
+    batch: state.Batch,
+    *,
+    model_responses: DataFrame | None = None,
+    source: str = "catalog",
+    scraped_at: str | None = None,
+) -> None:
+    """Extract and store pages and those that waited for a listing; keep what still waits.
+
+    URLs that were completed by other batches are skipped. The completed URLs are written last
+    of all (by ``save_batch``), so a batch that is cut short is done again as a whole.
+    """
+    spark = pages.sparkSession
+    waiting = state.waiting_pages(spark, root, batch)
+    fresh = ex.latest_pages(pages.select("url", "html"), F.col("html"))
+    both = fresh.unionByName(waiting.join(fresh.select("url"), "url", "left_anti"))
+    todo = both.join(state.completed_before(spark, root, batch), "url", "left_anti")
+    docs = materialize(todo, "stream-pages").select(F.col("url").alias("product_url"), "html")
+    paired = families.join(docs, "product_url")
+    extracted = materialize(
+        ex.extract_products(paired, source=source, scraped_at=scraped_at, keep=("place",)),
+        "stream-extracted",
+    )
+    unmatched = docs.join(families.select("product_url"), "product_url", "left_anti")
+    state.append(unmatched.select(F.col("product_url").alias("url"), "html"), root, "pending", batch)
+    state.append(extracted.select(F.col("product_url").alias("url")).distinct(), root, "taken_up", batch)
+    save_batch(extracted, root, batch, model_responses=model_responses)
+
+
+def process_pending(
+    spark: SparkSession,
+    families: DataFrame,
+    root: str,
+    *,
+    model_responses: DataFrame | None = None,
+    source: str = "catalog",
+    scraped_at: str | None = None,
+) -> None:
+    """Take up pages that waited for their listing, when listings came but no pages."""
+    batch = state.begin_batch(spark, root, "pending")
+    none = spark.createDataFrame([], schemas.PAGE)
+    save_pages(
+        none, families, root, batch, model_responses=model_responses, source=source, scraped_at=scraped_at
+    )
+
+
 def process_new_pages(
     stream: DataFrame,
     families: DataFrame,
@@ -56,18 +122,16 @@ def process_new_pages(
 ) -> StreamingQuery:
     """Extract and store the pages that arrived; the export is a separate job.
 
-    ``families`` has ``product_url, hit, category_path, place``, one row per URL.
+    ``families`` has ``product_url, hit, category_path, place``, one row per URL. A page
+    without a listing waits until a later batch (or ``process_pending``) has one. URLs that
+    are complete are skipped.
     """
+    writer = _writer_of(stream.sparkSession, checkpoint)
 
     def handle(pages: DataFrame, batch_id: int) -> None:
-        docs = pages.select(F.col("url").alias("product_url"), "html")
-        paired = families.join(docs, "product_url")
-        extracted = materialize(
-            ex.extract_products(
-                paired, source=source, scraped_at=scraped_at, keep=("place",)
-            ),
-            "stream-extracted",
+        batch = state.begin_batch(pages.sparkSession, root, writer, batch_id)
+        save_pages(
+            pages, families, root, batch, model_responses=model_responses, source=source, scraped_at=scraped_at
         )
-        save_batch(extracted, root, batch_id, model_responses=model_responses)
 
     return process_available(stream, handle, checkpoint)

@@ -83,7 +83,7 @@ def test_full_run_resume_and_fresh(spark, inputs, tmp_path):
     assert [r["sku"] for r in rows] == ["1a", "1b", "2a", "2b", "3a", "3b", "4a", "4b", "R"]
     assert list(rows[0]) == sorted(rows[0])
     assert rows[0]["scraped_at"] == "2024-05-01T10:00:00.000000Z"
-    assert rows[0]["specifications"]["Thickness"] == "3.1 mils"
+    assert rows[0]["specifications"]["Run time"] == "40 hours"
     assert [a["sku"] for a in rows[0]["alternative_products"]] == ["3a", "3b", "2a"]
     assert rows[-1]["alternative_products"] == [] and rows[-1]["price"] == 5.0
 
@@ -98,7 +98,7 @@ def test_full_run_resume_and_fresh(spark, inputs, tmp_path):
     again = catalog.run(spark, root, scraped_at=STAMP, **inputs).first()
     assert (again.product_pages_attempted, again.product_rows_exported) == (2, 9)
     assert exported(root) == rows
-    assert state.begin(spark, root, "resume") == 2
+    assert state.begin(spark, root, "resume").number == 2
 
     # fresh: everything is done again
     fresh = catalog.run(spark, root, scraped_at=STAMP, mode="fresh", limit_per_category=2, **inputs)
@@ -173,3 +173,74 @@ def test_streamed_pages_equal_a_batch(spark, inputs, tmp_path):
         assert {r.sku for r in state.latest_products(spark, root).collect()} == expected
     assert {r.batch_id for r in state.read(spark, root, "products").select("batch_id").distinct().collect()} == {0, 1}
     assert [r.url for r in state.read(spark, root, "failures").collect()] == ["broken"]
+
+
+def families_of(spark, inputs):
+    return catalog.families_to_visit(
+        spark.createDataFrame([("ca", 0, "A /// B", 1, "1")], schemas.CATEGORY),
+        inputs["responses"].filter("category_url = 'ca'"),
+        spark.createDataFrame([], schemas.COMPLETED),
+        None,
+    )
+
+
+def saved(spark, root):
+    skus = sorted(r.sku for r in state.latest_products(spark, root).collect())
+    urls = sorted(r.url for r in state.completed_urls(spark, root).collect())
+    failed = sorted({r.url for r in state.read(spark, root, "failures").collect()})
+    return skus, urls, failed
+
+
+def test_runs_and_streams_share_one_state(spark, inputs, tmp_path):
+    """Batch, stream, batch, stream with a new checkpoint; nothing is replaced."""
+    root, pages_dir = str(tmp_path / "out"), str(tmp_path / "pages")
+    families = families_of(spark, inputs)
+
+    def stream(part, checkpoint):
+        inputs["pages"].filter(part).coalesce(1).write.mode("append").parquet(pages_dir)
+        found = incremental.page_stream(spark, pages_dir)
+        incremental.process_new_pages(found, families, root, str(tmp_path / checkpoint), scraped_at=STAMP)
+
+    some = {**inputs, "pages": inputs["pages"].filter("url = 'u1'")}
+    catalog.run(spark, root, scraped_at=STAMP, **some)
+    first = saved(spark, root)
+    assert "1a" in first[0] and "u1" in first[1]
+    stream("url in ('u1', 'u2')", "one")
+    second = saved(spark, root)
+    assert set(first[0]) < set(second[0]) and set(first[1]) < set(second[1]) and set(first[2]) <= set(second[2])
+    catalog.run(spark, root, scraped_at=STAMP, **some)
+    assert set(second[0]) <= set(saved(spark, root)[0])
+    stream("url in ('u3', 'broken')", "two")
+    last = saved(spark, root)
+    assert {"1a", "1b", "2a", "2b", "3a", "3b"} <= set(last[0]) and {"u1", "u2", "u3"} <= set(last[1])
+    order = [r.seq for r in state.read(spark, root, "completed").select("seq").distinct().orderBy("seq").collect()]
+    assert len(order) == len(set(order)) and "broken" in last[2]
+
+
+def test_pages_wait_for_their_listing(spark, inputs, tmp_path):
+    root, pages_dir = str(tmp_path / "out"), str(tmp_path / "pages")
+    families = families_of(spark, inputs)
+    inputs["pages"].filter("url in ('u1', 'u2')").coalesce(1).write.parquet(pages_dir)
+    stream = incremental.page_stream(spark, pages_dir)
+    incremental.process_new_pages(stream, families.filter("product_url = 'u1'"), root, str(tmp_path / "c"), scraped_at=STAMP)
+    assert saved(spark, root) == (["1a", "1b"], ["u1"], [])
+    incremental.process_pending(spark, families, root, scraped_at=STAMP)
+    assert saved(spark, root) == (["1a", "1b", "2a", "2b"], ["u1", "u2"], [])
+    incremental.process_pending(spark, families, root, scraped_at=STAMP)
+    rows = state.read(spark, root, "products")
+    assert rows.count() == 4
+
+
+def test_quartiles_are_exact(spark):
+    import random
+
+    from skuloom.operators import quality
+
+    rng = random.Random(4)
+    rows = [("a", rng.random() ** 8 * 1e6) for _ in range(20_000)] + [("b", 5.0)] * 7 + [("c", None), (None, 2.0), (None, 1.0)]
+    found = {r.k: r for r in quality.price_distribution(spark.createDataFrame(rows, "k string, price double"), "k").collect()}
+    for key in ("a", "b", None):
+        prices = sorted(p for k, p in rows if k == key)
+        want = [prices[-(-len(prices) * q // 4) - 1] for q in (1, 2, 3)]
+        assert found[key].quartiles == want and found[key].priced == len(prices)
+    assert found["c"].quartiles is None and found["c"].priced == 0

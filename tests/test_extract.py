@@ -96,6 +96,10 @@ def test_one_bad_variant_fails_the_whole_page(spark):
         "text": page(LAMP_LD, variants=variant(name=["x"])),
         "ld-text": page({**LAMP_LD, "description": 5}, variants=LAMP_VARIANTS),
         "ld-name": page({**LAMP_LD, "name": 5}, variants=variant(name="")),
+        "brand-list": page({**LAMP_LD, "brand": ["Nordlys"]}),
+        "brand-number": page({**LAMP_LD, "brand": {"name": 7}}, variants=variant(manufacturer_name="")),
+        "maker": page(LAMP_LD, variants=variant(manufacturer_name=["Nordlys"])),
+        "crumb": page(LAMP_LD, {"@type": "BreadcrumbList", "itemListElement": [{"name": 3}]}),
         "missing": None,
     }
     found = rows(spark, *[(u, h, LISTING, "A") for u, h in cases.items()])
@@ -122,6 +126,7 @@ def test_shapes_that_do_not_fail_a_page(spark):
         "thousands": page(LAMP_LD, variants=variant(product_price="only $1,234.50 now")),
         "ld-name-unused": page({**LAMP_LD, "name": 5}, variants=LAMP_VARIANTS),
         "bool": page(LAMP_LD, variants=variant(product_price=True)),
+        "brand-unused": page({**LAMP_LD, "brand": 7}, variants=LAMP_VARIANTS),
     }
     found = rows(spark, *[(u, h, {}, "A") for u, h in cases.items()])
     assert all(r.page_error is None for r in found.values())

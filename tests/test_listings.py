@@ -100,3 +100,17 @@ def test_limit_over_page_blocks(spark, monkeypatch):
     for limit in (1, 7, 13, 29, 100):
         got = [r.product_url for r in li.limit_per_category(df, limit).orderBy("page_no", "pos").collect()]
         assert got == [r[3] for r in rows][:limit]
+
+
+def test_limit_ends_the_traversal(spark):
+    """A page that fails after the limit was reached was never asked for."""
+    df = responses(
+        spark,
+        response("a", 0, 5, ["u1", "u2"]), response("a", 1, 5, [], error="HTTP 500"),
+        response("b", 0, 5, ["u1", "u1"]), response("b", 1, 5, [], error="HTTP 503"),
+        response("c", 0, 5, [], error="HTTP 504"),
+    )
+    failed = lambda limit: {r.url for r in li.traversal_failures(df, limit).collect()}
+    assert failed(None) == {"a", "b", "c"} == failed(3)
+    assert failed(2) == {"b", "c"}
+    assert failed(1) == {"c"}

@@ -71,7 +71,8 @@ WITH hit AS (
     SELECT o_orderpriority AS category_url, CAST(o_orderkey // 50 AS INTEGER) AS page_no,
            CAST(row_number() OVER (PARTITION BY o_orderpriority, o_orderkey // 50 ORDER BY o_orderkey) - 1
                 AS INTEGER) AS pos,
-           'O' || o_orderkey AS object_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS digit
+           'O' || o_orderkey AS object_id, CAST(left(o_orderpriority, 1) AS INTEGER) AS digit,
+           max(o_orderkey // 50) OVER (PARTITION BY o_orderpriority) AS last
     FROM orders
 )
 """
@@ -80,7 +81,7 @@ WITH hit AS (
 @query(
     "s2_search_hits",
     RESPONSES_SQL
-    + "SELECT category_url, page_no, pos, object_id FROM hit WHERE NOT (digit = 3 AND page_no = 12)",
+    + "SELECT category_url, page_no, pos, object_id FROM hit WHERE NOT (digit = 3 AND page_no = last // 2)",
 )
 def s2(spark, sf_dir):
     return li.hits_of(written_responses(spark, sf_dir)).select(
@@ -93,7 +94,7 @@ def s2(spark, sf_dir):
     RESPONSES_SQL
     + """
 SELECT category_url, page_no, count(*) AS hits FROM hit
-WHERE page_no < CASE digit WHEN 3 THEN 12 ELSE digit * 5 + 5 END GROUP BY ALL""",
+WHERE page_no < CASE digit WHEN 3 THEN last // 2 ELSE last - digit END GROUP BY ALL""",
 )
 def o4(spark, sf_dir):
     bounded = li.pages_in_bounds(written_responses(spark, sf_dir))

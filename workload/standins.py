@@ -267,18 +267,20 @@ def order_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result pages of at most fifty hits; a category announces its own number of
-    pages, and one of them returns an empty page early."""
+    """Result pages of at most fifty hits; a category announces fewer pages than there are (as
+    many as its first digit), and one of them returns an empty page half-way."""
     digit = F.left("category_url", F.lit(1)).cast("int")
-    empty = (digit == 3) & (F.col("page_no") == 12)
+    hits = order_hits(spark, sf_dir)
+    last = hits.groupBy("category_url").agg(F.max("page_no").alias("last"))
+    empty = (digit == 3) & (F.col("page_no") == F.expr("last div 2"))
     return (
-        order_hits(spark, sf_dir)
-        .groupBy("category_url", "page_no")
+        hits.groupBy("category_url", "page_no")
         .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("hit.objectID").alias("id"), F.col("hit.url").alias("url"), F.col("hit.family_url").alias("family_url")))).alias("found"))
+        .join(last, "category_url")
         .select(
             "category_url",
             "page_no",
-            (digit * 5 + 5).alias("nbPages"),
+            (F.col("last") - digit).alias("nbPages"),
             F.lit(None).cast("string").alias("error"),
             F.when(empty, F.slice("found", 1, 0)).otherwise(F.col("found")).alias("found"),
         )

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skuloom import fixed_values as fv
+from skuloom import schemas
 from skuloom.operators import quality as qu
 from skuloom.operators.dedup import latest_per_key, run_summary
 from skuloom.operators.validate import check_required, rejected
 from skuloom.plans import catalog
-from skuloom.session import scratch_path
+from skuloom.session import materialize, scratch_path
 from skuloom.sources import readers, state
 from skuloom.sources.export import SIDE_COLUMNS, export_view, nested_as_json, write_csv, write_json
-from skuloom.streaming.incremental import process_available
+from skuloom.streaming.incremental import page_stream, process_new_pages, save_pages
 from workload.enrich_queries import products
 from workload.extract_queries import named_parts
 from workload.listing_queries import configs, families
@@ -71,7 +72,7 @@ SELECT DISTINCT 'c' || o_custkey AS url, CASE o_orderstatus WHEN 'F' THEN 0::BIG
 FROM orders WHERE o_orderstatus IN ('F', 'O')""",
 )
 def s8(spark, sf_dir):
-    return state.read(spark, completed_root(spark, sf_dir), "completed")
+    return state.read(spark, completed_root(spark, sf_dir), "completed").select("url", "batch_id")
 
 
 @query(
@@ -306,35 +307,59 @@ def s13(spark, sf_dir):
 # -- streaming ---------------------------------------------------------------------
 
 
-def streamed_log(spark, sf_dir, runs):
-    """Stream the events file into a log, one folder per batch, in ``runs`` runs."""
-    log, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
-    schema = table(spark, sf_dir, "events").schema
+PAGE_SQL = "SELECT DISTINCT 'https://shop.test/item/' || f AS url, CAST(f % 2 AS BIGINT) AS batch_id FROM (SELECT p_partkey // 4 AS f FROM part)"
 
-    def handle(df, batch_id):
-        df.drop("props").write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
 
-    for _ in range(runs):
-        stream = (
-            spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        )
-        process_available(stream, handle, checkpoint)
-    return spark.read.parquet(log)
+class PageStream:
+    """Product pages that arrive in two steps: even families, then odd ones."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark = spark
+        self.folder, self.root = scratch_path(spark, "stream-pages"), scratch_path(spark, "stream-state")
+        paired = materialize(product_pages(spark, sf_dir), "stream-paired")
+        self.pages = paired.select(F.col("product_url").alias("url"), "html")
+        place = F.struct(*[F.lit(0).alias(n) for n in ("category_ord", "page_no", "pos")])
+        self.families = paired.select("product_url", "hit", "category_path", place.alias("place"))
+
+    def arrive(self, part):
+        number = F.substring_index("url", "/", -1).cast("bigint")
+        self.pages.filter(number % 2 == part).write.mode("overwrite").parquet(f"{self.folder}/part={part}")
+
+    def process(self, checkpoint, families=None):
+        stream = page_stream(self.spark, f"{self.folder}/*")
+        process_new_pages(stream, families or self.families, self.root, checkpoint, scraped_at=STAMP)
 
 
-@query("t1_only_new_files", "SELECT 0 AS batch_id, count(*) AS log_rows FROM events")
+@query("t1_only_new_files", PAGE_SQL)
 def t1(spark, sf_dir):
-    log = streamed_log(spark, sf_dir, runs=2)
-    return log.groupBy("batch_id").agg(F.count("*").alias("log_rows"))
+    """Which of the two arrivals took up each page; a call in between finds nothing new."""
+    pages, checkpoint = PageStream(spark, sf_dir), scratch_path(spark, "stream-checkpoint")
+    for part in (0, 1):
+        pages.arrive(part)
+        pages.process(checkpoint)
+        pages.process(checkpoint)
+    return state.read(spark, pages.root, "taken_up").select("url", "batch_id")
 
 
-@query("t2_repeated_batch", LATEST_SQL)
+@query(
+    "t2_repeated_batch",
+    f"SELECT url, count(*) AS times FROM ({PAGE_SQL}) WHERE CAST(split_part(url, '/', 5) AS BIGINT) % 50 NOT IN (7, 9) GROUP BY 1",
+)
 def t2(spark, sf_dir):
-    # two streams with their own progress read everything twice: at least once
-    log = streamed_log(spark, sf_dir, 1).unionByName(
-        streamed_log(spark, sf_dir, 1).withColumn("batch_id", F.lit(1))
-    )
-    return latest_per_key(log, "user_id", F.col("ts"), F.col("event_id")).drop("ts", "batch_id")
+    """Completed pages and how often they are stored, after the first batch was done again under
+    its own number, and a second stream with new progress saw all files once more."""
+    pages, checkpoint = PageStream(spark, sf_dir), scratch_path(spark, "stream-checkpoint")
+    pages.arrive(0)
+    pages.process(checkpoint, pages.families.limit(0))  # no listing yet: all pages wait
+    pages.process(checkpoint)
+    pages.arrive(1)
+    pages.process(checkpoint)
+    again = state.read(spark, pages.root, "taken_up").filter("batch_id = 1").select("writer").first()
+    odd = spark.read.schema(schemas.PAGE).parquet(f"{pages.folder}/part=1")
+    batch = state.begin_batch(spark, pages.root, again[0], 1)
+    save_pages(odd, pages.families, pages.root, batch, scraped_at=STAMP)
+    pages.process(scratch_path(spark, "stream-checkpoint"))
+    return state.read(spark, pages.root, "completed").groupBy("url").agg(F.count("*").alias("times"))
 
 
 @query(
@@ -415,13 +440,16 @@ def q4(spark, sf_dir):
     "q5_price_distribution",
     """
 SELECT p_brand AS brand, count(*) AS priced, min(p_retailprice) AS least, max(p_retailprice) AS greatest,
-       list_sort(list(p_retailprice))[CAST(ceil(count(*) * 0.5) AS INTEGER)] AS middle
+       list_sort(list(p_retailprice))[CAST(ceil(count(*) * 0.25) AS INTEGER)] AS lower,
+       list_sort(list(p_retailprice))[CAST(ceil(count(*) * 0.5) AS INTEGER)] AS middle,
+       list_sort(list(p_retailprice))[CAST(ceil(count(*) * 0.75) AS INTEGER)] AS upper
 FROM part GROUP BY 1""",
 )
 def q5(spark, sf_dir):
     found = qu.price_distribution(products(spark, sf_dir), "brand")
     return found.select(
-        "brand", "priced", "least", "greatest", F.element_at("quartiles", 2).alias("middle")
+        "brand", "priced", "least", "greatest",
+        *[F.element_at("quartiles", i).alias(n) for i, n in enumerate(("lower", "middle", "upper"), 1)],
     )
 
 
