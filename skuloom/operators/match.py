@@ -35,6 +35,8 @@ _STEP = 0.0001
 _STOPS = (0.7, 0.55)
 # Index rows of one join key that a single task compares with.
 _CHUNK = 2_000
+# chunks of the index for one part of the probes
+_PROBE_SHARE = 4
 
 # 64-bit sketch of a tag set; sets differ in at least as many tags as their
 # sketches differ in bits.
@@ -208,7 +210,7 @@ class _Search:
             F.col("leaf").alias("g_leaf"), F.col("brand_key").alias("g_brand"),
             F.col("pos").alias("g_pos"), F.col("bits").alias("g_bits"), F.col("n").alias("g_n"), "items",
         )
-        # Hot keys: the index side is cut into chunks, probes visit every chunk.
+        # Hot keys: a grid of index chunks and probe parts.
         hot = (
             self._signatures(self.features.drop("items"), low)
             .groupBy(*key)
@@ -216,19 +218,25 @@ class _Search:
             .filter(F.col("chunks") > 1)
         )
         one = F.lit(1)
-        index = index.join(hot, key, "left").withColumn(
-            "chunk", F.pmod(F.hash("g_fid"), F.coalesce("chunks", one))
-        ).drop("chunks")
+        # probes of a hot key are cut as well, into fewer parts, as index rows are wider
+        parts = F.ceil(F.coalesce("chunks", one) / _PROBE_SHARE).cast("int")
+        index = (
+            index.join(hot, key, "left")
+            .withColumn("chunk", F.pmod(F.hash("g_fid"), F.coalesce("chunks", one)))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+            .drop("chunks")
+        )
         sought = (
             self._signatures(probes.drop("items"), low)
             .join(hot, key, "left")
+            .withColumn("part", F.pmod(F.hash("fid", F.lit("part")), parts))
             .withColumn(
                 "chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", one) - 1))
             )
             .drop("chunks")
         )
         # The work of a pair join is not in proportion to its bytes: keep all tasks.
-        place = [*key, "chunk"]
+        place = [*key, "chunk", "part"]
         pairs = sought.repartition(self.tasks, *place).join(
             index.repartition(self.tasks, *place), place
         )
@@ -498,10 +506,16 @@ def similar_products(
         ),
     )
     empty = F.array().cast(f"array<{ALTERNATIVE}>")
-    columns = products.columns
-    return (
-        _with_feature(products)
+    columns = [c for c in products.columns if c != "alternative_products"]
+    placed = _with_feature(products)
+    # products without tags match nothing; they stay out of the join, where they would all
+    # meet in the task of the missing feature
+    untagged = placed.filter(F.col("fid").isNull()).withColumn("alternative_products", empty)
+    tagged = (
+        placed.filter(F.col("fid").isNotNull())
         .join(lists, "fid", "left")
         .withColumn("alternative_products", F.coalesce(alternatives, empty))
-        .select(*[c for c in columns if c != "alternative_products"], "alternative_products")
+    )
+    return tagged.select(*columns, "alternative_products").unionByName(
+        untagged.select(*columns, "alternative_products")
     )

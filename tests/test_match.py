@@ -143,5 +143,6 @@ def test_hot_keys_are_chunked_without_loss(spark, monkeypatch):
     from skuloom.operators import match
 
     monkeypatch.setattr(match, "_CHUNK", 4)
+    monkeypatch.setattr(match, "_PROBE_SHARE", 2)
     products = catalog(8, 100, 0.2)
     assert matched(spark, products, 3, 0.45) == expected(products, 3, 0.45)

@@ -60,3 +60,31 @@ def test_scan_reads_only_what_is_needed(spark, sf_dir):
     assert re.search(r"PushedFilters: \[IsNotNull\(c_acctbal\), LessThan\(c_acctbal,0.0\)", text)
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_products_without_tags_stay_out_of_the_closing_join(spark, sf_dir):
+    from skuloom.operators.match import similar_products
+    from workload.standins import match_products
+
+    products = match_products(spark, sf_dir).withColumn(
+        "normalized_tags", F.when(F.col("sku") < "P000000020", F.col("normalized_tags")).otherwise(F.array().cast("array<string>"))
+    )
+    text = plan(similar_products(products))
+    # the join's own side drops the products without a feature before it is shuffled
+    assert text.count("Union") >= 1 and "isnotnull(fid" in text
+
+
+def test_retries_reduce_the_pages_before_the_join(spark, sf_dir):
+    paired = product_pages(spark, sf_dir)
+    pages = paired.select(F.col("product_url").alias("url"), "html")
+    todo = paired.select("product_url", "hit", "category_path").limit(3)
+    asked = pages.join(todo.select(F.col("product_url").alias("url")), "url", "left_semi")
+    text = plan(ex.attach_pages(todo, asked))
+    assert "LeftSemi" in text
+
+
+def test_page_bounds_keep_the_hits_in_place(spark, sf_dir):
+    from workload.listing_queries import written_responses
+
+    text = plan(li.pages_in_bounds(written_responses(spark, sf_dir)))
+    assert "BroadcastHashJoin" in text and text.count("Exchange hashpartitioning(category_url") == 1
