@@ -15,10 +15,13 @@ from skuloom.operators import validate as va
 from skuloom.operators.dedup import run_summary
 from skuloom.operators.match import similar_products
 from skuloom.schemas import PRODUCT_COLUMNS
-from skuloom.session import materialize, prepare
+from skuloom.session import materialize, prepare, scratch_scope
 from skuloom.sources import state
 from skuloom.sources.export import write_csv, write_json
 
+SUMMARY = (
+    "categories_attempted bigint, product_pages_attempted bigint, product_rows_exported bigint, failures bigint"
+)
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -140,36 +143,40 @@ def run(
     max_alternatives: int = fv.MAX_ALTERNATIVES,
     min_score: float = fv.MIN_SCORE,
 ) -> DataFrame:
-    """Build or extend the catalog under ``root``; returns the run summary row."""
+    """Build or extend the catalog under ``root``; returns the run summary row.
+
+    Leaves state, exports and the summary there; its own intermediate results are deleted.
+    """
     prepare(spark)
-    batch = state.begin(spark, root, mode)
-    configs = materialize(li.category_configs(seeds, category_pages), "configs")
-    usable = li.usable_configs(configs)
-    mine = responses.join(usable.select("category_url"), "category_url")
-    families = materialize(
-        families_to_visit(usable, mine, state.completed_urls(spark, root), limit_per_category),
-        "families",
-    )
-    extracted = extract_with_retries(families, pages, source=source, scraped_at=scraped_at)
-    save_batch(
-        extracted,
-        root,
-        batch,
-        model_responses=model_responses,
-        stage=stage,
-        other_failures=li.discovery_failures(configs).unionByName(li.traversal_failures(mine, limit_per_category)),
-    )
-    exported = export_current(
-        spark, root, max_alternatives=max_alternatives, min_score=min_score
-    )
-    summary = materialize(
-        run_summary(
-            seeds,
-            extracted.select("product_url", "attempt").distinct(),
-            exported,
-            state.read(spark, root, "failures").filter(F.col("seq") == batch.seq),
-        ),
-        "summary",
-    )
-    summary.coalesce(1).write.mode("overwrite").json(f"{root}/summary")
-    return summary
+    with scratch_scope(spark):
+        batch = state.begin(spark, root, mode)
+        configs = materialize(li.category_configs(seeds, category_pages), "configs")
+        usable = li.usable_configs(configs)
+        mine = responses.join(usable.select("category_url"), "category_url")
+        families = materialize(
+            families_to_visit(usable, mine, state.completed_urls(spark, root), limit_per_category),
+            "families",
+        )
+        extracted = extract_with_retries(families, pages, source=source, scraped_at=scraped_at)
+        save_batch(
+            extracted,
+            root,
+            batch,
+            model_responses=model_responses,
+            stage=stage,
+            other_failures=li.discovery_failures(configs).unionByName(li.traversal_failures(mine, limit_per_category)),
+        )
+        exported = export_current(
+            spark, root, max_alternatives=max_alternatives, min_score=min_score
+        )
+        summary = materialize(
+            run_summary(
+                seeds,
+                extracted.select("product_url", "attempt").distinct(),
+                exported,
+                state.read(spark, root, "failures").filter(F.col("seq") == batch.seq),
+            ),
+            "summary",
+        )
+        summary.coalesce(1).write.mode("overwrite").json(f"{root}/summary")
+    return spark.read.schema(SUMMARY).json(f"{root}/summary")

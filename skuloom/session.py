@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,8 +54,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+# paths handed out inside the current scope; None outside of one
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what was written to scratch paths inside, when it is left (also by an error).
+
+    Nothing that is read later may depend on it.
+    """
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skuloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/skuloom/{name}-{uuid.uuid4().hex}"
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

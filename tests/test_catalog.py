@@ -11,6 +11,7 @@ from skuloom import schemas
 from skuloom.plans import catalog
 from skuloom.sources import readers, state
 from skuloom.streaming import incremental
+from skuloom.session import shared_dir
 
 STAMP = "2024-05-01 10:00:00"
 
@@ -62,7 +63,10 @@ def exported(root):
 
 def test_full_run_resume_and_fresh(spark, inputs, tmp_path):
     root = str(tmp_path / "out")
+    left = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/skuloom/*"))
+    before = left()
     summary = catalog.run(spark, root, scraped_at=STAMP, **inputs).first()
+    assert left() == before
     assert summary.asDict() == {
         "categories_attempted": 3,
         "product_pages_attempted": 9,

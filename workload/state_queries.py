@@ -161,6 +161,10 @@ UNION ALL SELECT page_sku, product_url, '' FROM single"""
 )
 
 
+def _by_url(left, right):
+    return F.when(left["product_url"] < right["product_url"], -1).when(left["product_url"] > right["product_url"], 1).otherwise(0)
+
+
 @query("catalog_run", RUN_SQL)
 def catalog_run(spark, sf_dir):
     """Listings, pages and tag responses of all families through the whole job."""
@@ -174,7 +178,8 @@ def catalog_run(spark, sf_dir):
     )
     responses = (
         paired.groupBy(F.expr("cast(regexp_extract(product_url, '([0-9]+)$', 1) div 50 as int)").alias("page_no"))
-        .agg(F.collect_list("hit").alias("hits"))
+        .agg(F.array_sort(F.collect_list(F.struct("product_url", "hit")), _by_url).alias("hits"))
+        .withColumn("hits", F.transform("hits", lambda x: x["hit"]))
         .select(
             F.lit("all").alias("category_url"),
             "page_no",
@@ -190,6 +195,7 @@ def catalog_run(spark, sf_dir):
         F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("sku"),
         F.lit("tags").alias("kind"),
         tags.alias("payload"),
+        F.lit(0).cast("bigint").alias("seq"),
     )
     root = scratch_path(spark, "catalog")
     catalog.run(
