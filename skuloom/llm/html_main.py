@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuloom.llm.common import append_result, pick
+from skuloom.session import materialize
 
 CONTAINERS = frozenset("html body main article section div td table form aside nav header footer ul ol dl".split())
 BLOCKS = CONTAINERS | frozenset(
@@ -40,6 +41,8 @@ PATH_LABELS = 16
 # candidate paths a page votes for, and paths of a host tried on a page; both only order what
 # is tried first, a page without any of them uses its own best container
 VOTES, TRIED = 3, 5
+# Hosts with at least this share of the pages, at most 1 / HOT_SHARE, are not shuffled.
+HOT_SHARE = 2.0**-10
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -314,8 +317,19 @@ def extract(
     """
     rows = pick(pages, id_column, url_column, html_column).toDF("id", "url", "html")
     rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    winners = host_paths(rows)
-    joined = rows.join(winners, "host", "left").select("id", "url", "html", "paths")
+    winners = materialize(host_paths(rows), "host-paths")
+    # hosts with a large share of the pages are few, so their paths are broadcast and their pages
+    # stay where they are; the others are joined by host
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sizes.where(F.col("n") >= HOT_SHARE * total).select("host").join(winners, "host", "left").select(
+        "host", F.coalesce("paths", F.array().cast("array<string>")).alias("hot_paths")
+    )
+    marked = rows.join(F.broadcast(hot), "host", "left")
+    columns = ["id", "url", "html"]
+    here = marked.where(F.col("hot_paths").isNotNull()).select(*columns, F.col("hot_paths").alias("paths"))
+    rest = marked.where(F.col("hot_paths").isNull()).join(winners, "host", "left").select(*columns, "paths")
+    joined = here.unionByName(rest)
     found = append_result(joined, ["html", "paths"], _extract, TEXT_SCHEMA, "found")
     return found.select(
         F.col("id").alias(id_column),

@@ -102,3 +102,11 @@ def test_every_block_is_in_page_order(spark):
     body = "".join(f"<div class='part'><p>{b}</p></div>" if i % 3 else f"<p>{b}" for i, b in enumerate(blocks))
     got = texts(spark, [(1, "http://o.example/", page(body, "<article>{body}</article>"))])
     assert got[1]["text"] == " ".join(blocks)
+
+
+def test_hot_hosts_and_others_give_the_same(spark, monkeypatch):
+    rows = [(i, f"http://{'big' if i % 3 else f'h{i}'}.example/", page(f"<p>words {i} and words</p>", n=i)) for i in range(40)]
+    first = {i: r["text"] for i, r in texts(spark, rows).items()}
+    monkeypatch.setattr(html_main, "HOT_SHARE", 2.0)  # no host is hot
+    assert {i: r["text"] for i, r in texts(spark, rows).items()} == first
+    assert first == {i: f"words {i} and words" for i in range(40)}
