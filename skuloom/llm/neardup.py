@@ -34,8 +34,10 @@ TREES = 16
 SMALL_NODE = 4096
 # levels of branching; nodes that are still large are compared in pairs of blocks
 LEVELS = 5
-# members of a family compared on full sets in one task; larger families go by pairs of blocks
-FAMILY = 512
+# Members of a family compared on full sets in one task; larger families go by pairs of blocks,
+# which costs a copy of each set per block. A member of many shingles counts as several.
+FAMILY = 2048
+MEMBER_SHINGLES = 2000
 # shingles whose presence is held as a matrix at once
 COLUMNS = 4096
 # standard deviations that an estimate may lie below the threshold
@@ -529,13 +531,13 @@ def _forest(linked: np.ndarray, label: np.ndarray, keys: list[bytes]) -> list[tu
 
 
 def _family_blocks(members: DataFrame) -> DataFrame:
-    """Members (family, key, label) of large families dealt to tasks that compare two blocks.
+    """Members (family, key, label, weight) of large families dealt to tasks that compare two blocks.
 
     A component that fills blocks of its own is not compared with itself; all others share
     blocks. Every pair of different labels meets in one task.
     """
     half = FAMILY // 2
-    sized = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    sized = members.groupBy("family", "label").agg(F.sum("weight").alias("n"))
     sized = sized.withColumn("core", F.when(F.col("n") >= half, F.col("label")))
     parts = sized.groupBy("family", "core").agg(F.ceil(F.sum("n") / half).cast("int").alias("parts"))
     named = sized.join(
@@ -573,7 +575,9 @@ def link(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     classes = materialize(classes, "near-classes")
     edges = candidate_edges(classes, similarity)
     families = components(edges).select("key", F.col("label").alias("family"))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    weight = F.expr(f"1 + n div {MEMBER_SHINGLES}").alias("weight")
+    families = families.join(classes.select("key", "n"), "key").select("key", "family", weight)
+    sizes = families.groupBy("family").agg(F.sum("weight").alias("size"))
     families = materialize(families.join(sizes, "family"), "near-families")
     wanted = classes.join(families.select("key"), "key", "left_semi").select("id", "digest")
     sets = materialize(full_sets(documents, wanted, width), "near-sets")
@@ -582,14 +586,14 @@ def link(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
         F.xxhash64("family").alias("task"), "key", F.col("key").alias("label")
     )
     links = materialize(family_links(with_sets(few), percent), "near-links")
-    many = families.where(F.col("size") > FAMILY).select("family", "key")
+    many = families.where(F.col("size") > FAMILY).select("family", "key", "weight")
     if not many.isEmpty():
         links = links.unionByName(_large_families(many, edges, sets, similarity, percent))
     return rows, components(links)
 
 
 def _large_families(many: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float, percent: int) -> DataFrame:
-    """Links (a, b) that join the members (family, key) of large families."""
+    """Links (a, b) that join the members (family, key, weight) of large families."""
     # one hub for each member: the first that it probably links with, or its best
     candidates = edges.where("matches > 0").join(many.select(F.col("key").alias("a")), "a", "left_semi")
     weak = F.col("matches") < similarity * SLOTS
