@@ -95,42 +95,37 @@ def _queue(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _taken(queued: DataFrame, budget_percent: int, repeats: int) -> DataFrame:
-    """``queued`` with ``taken``: the words of the row's copies before the cut."""
-    total = queued.select("rank", "source_size").distinct().agg(
-        F.coalesce(F.sum("source_size"), F.lit(0)).alias("total")
-    )
+    """``queued`` with ``taken``: the words of the row's copies before the cut.
+
+    Only single numbers and the cut itself come to the driver.
+    """
     finish = lambda copy: (F.col("done") + F.col("source_size") * copy) * F.col("scale")
     copies = F.explode(F.array(*[F.struct(F.lit(c).alias("copy"), finish(c).alias("finish")) for c in range(repeats)]))
     each = queued.select("rank", "key", "size", copies.alias("c")).select("rank", "key", "size", "c.copy", "c.finish")
+    total, last = queued.agg(
+        F.coalesce(F.sum("size"), F.lit(0)), F.max(F.col("source_size") * F.col("scale") * repeats)
+    ).first()
+    budget = total * budget_percent // 100
     # a range per 1/RANGES of the last finish time
-    widest = queued.agg(F.max(F.col("source_size") * F.col("scale") * repeats).alias("last"))
-    width = widest.select(F.greatest(F.lit(1), F.expr(f"last div {RANGES} + 1")).alias("width"))
-    each = each.crossJoin(F.broadcast(width)).withColumn("range", F.expr("finish div width"))
+    each = each.withColumn("range", F.expr(f"finish div {(last or 0) // RANGES + 1}"))
     sums = each.groupBy("range").agg(F.sum("size").alias("words"))
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.select("range", "words", F.sum("words").over(upto).alias("upto")).crossJoin(F.broadcast(total))
-    budget = F.expr(f"total * {budget_percent} div 100")
+    sums = sums.withColumn("upto", F.sum("words").over(upto))
     # the first range that goes beyond the budget, and what may still be taken in it
-    crossed = sums.where(F.col("upto") > budget).agg(
-        F.min(F.struct("range", (budget - (F.col("upto") - F.col("words"))).alias("left"))).alias("x")
-    ).select("x.range", "x.left")
-    order = Window.partitionBy("range").orderBy("finish", "rank", "key", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    edge = each.join(F.broadcast(crossed.where("range IS NOT NULL")), "range").withColumn("run", F.sum("size").over(order))
-    cut = edge.where(F.col("run") > F.col("left")).agg(
-        F.min(F.struct("finish", "rank", "key", "copy")).alias("cut")
-    )
-    before = [
-        F.when(
-            F.col("cut").isNull()
-            | (F.struct(finish(c).alias("finish"), "rank", "key", F.lit(c).alias("copy")) < F.col("cut")),
-            F.col("size"),
-        ).otherwise(F.lit(0))
-        for c in range(repeats)
-    ]
-    amount = before[0]
-    for b in before[1:]:
-        amount = amount + b
-    return queued.crossJoin(F.broadcast(cut)).withColumn("taken", amount.cast("long")).drop("cut")
+    crossed = sums.where(F.col("upto") > budget).orderBy("range").first()
+    if crossed is None:
+        before = [F.lit(True)] * repeats
+    else:
+        left = budget - (crossed["upto"] - crossed["words"])
+        order = Window.partitionBy("range").orderBy("finish", "rank", "key", "copy").rowsBetween(Window.unboundedPreceding, 0)
+        edge = each.where(F.col("range") == crossed["range"]).withColumn("run", F.sum("size").over(order))
+        cut = edge.where(F.col("run") > left).agg(F.min(F.struct("finish", "rank", "key", "copy")).alias("cut")).first()[0]
+        end = F.struct(*[F.lit(cut[n]).cast(each.schema[n].dataType).alias(n) for n in ("finish", "rank", "key", "copy")])
+        before = [
+            F.struct(finish(c).alias("finish"), "rank", "key", F.lit(c).alias("copy")) < end for c in range(repeats)
+        ]
+    amount = sum((F.when(b, F.col("size")).otherwise(F.lit(0)) for b in before), F.lit(0))
+    return queued.withColumn("taken", amount.cast("long"))
 
 
 def _mix(plain: DataFrame, doc_id: str, text: str, source: str, weights, budget_percent, repeats) -> DataFrame:
