@@ -20,3 +20,9 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name,column", [("o1_sorted_export", "sku"), ("o2_sorted_completed_urls", "url")])
+def test_sorted_queries_come_in_order(spark, sf_dir, name, column):
+    values = [r[column] for r in entry.queries()[name](spark, sf_dir).collect()]
+    assert values == sorted(values) and len(values) > 10

@@ -20,29 +20,30 @@ from workload.listing_queries import configs, families
 from workload.registry import query, table
 from workload.standins import FAMILY_SQL, HITS_SQL, STAMP, product_pages
 
-EVENT = "event_id bigint, user_id bigint, event_type string, value double"
+EVENT = "event_id bigint, at string, user_id bigint, event_type string, value double, props string"
+EVENT_SQL = "event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, user_id, event_type, value, props"
 
 
 def events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")
+    return table(spark, sf_dir, "events").select("event_id", at, "user_id", "event_type", "value", "props")
 
 
-@query("s4_jsonl_log", "SELECT event_id, user_id, event_type, value FROM events")
+@query("s4_jsonl_log", f"SELECT {EVENT_SQL} FROM events")
 def s4(spark, sf_dir):
     path = scratch_path(spark, "log")
     events(spark, sf_dir).write.json(path)
     return readers.read_jsonl_log(spark, path, EVENT).drop("line")
 
 
-LATEST_SQL = """
-SELECT user_id, event_id, event_type, value FROM events
+LATEST_SQL = f"""
+SELECT {EVENT_SQL} FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 
 
 @query("a4_latest_row", LATEST_SQL)
 def a4(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").drop("props")
-    return latest_per_key(rows, "user_id", F.col("ts"), F.col("event_id")).drop("ts")
+    return latest_per_key(events(spark, sf_dir), "user_id", F.col("at"), F.col("event_id"))
 
 
 def finished(spark, sf_dir, status):
