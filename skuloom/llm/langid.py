@@ -20,8 +20,11 @@ from skuloom.llm.common import SLICE_ROWS, append_result, pick, position_of, pos
 from skuloom.session import materialize
 
 BUCKETS = 1 << 16
-# Declared languages of at least this share of the rows are known; at most 1 / SHARE models.
-SHARE = 0.005
+# Declared languages with this many trigrams of text get a model, however few of all rows they are;
+# rows of the others are kept on their declaration.
+LEAST_TRIGRAMS = 5_000
+# languages counted at once in a task before they are handed on (half a megabyte each)
+HELD = 64
 UNKNOWN = "und"
 # a text counts as this many independent trigrams at most
 EVIDENCE_TRIGRAMS = 150.0
@@ -43,36 +46,64 @@ def trigram_buckets(text: str | None) -> np.ndarray:
     return (code >> np.uint32(16))[b[1:-1] != 32].astype(np.int64)
 
 
-def _counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """Trigram counts (language, bucket) of rows (declared, text), from every row."""
-    place = {n: i for i, n in enumerate(languages)}
+def _counts(rows: DataFrame) -> DataFrame:
+    """Trigram counts (declared, bucket, n) of rows (declared, text), from every row that declares
+    a language."""
 
     def run(batches):
-        total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        total: dict[str, np.ndarray] = {}
+
+        def flush():
+            for declared, counts in total.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([declared] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])],
+                    names=["declared", "bucket", "n"],
+                )
+            total.clear()
+
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
                 for declared, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    total[place[declared]] += np.bincount(trigram_buckets(text), minlength=BUCKETS)
-        for i in range(len(languages)):
-            at = np.flatnonzero(total[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), i, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(total[i][at])],
-                names=["language", "bucket", "n"],
-            )
-
-    found = rows.where(F.col("declared").isin(languages)).select("declared", "text")
-    found = found.mapInArrow(run, "language int, bucket int, n long").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros((len(languages), BUCKETS))
-    table = found.toArrow()  # at most BUCKETS rows per language
-    out[table.column(0).to_numpy(), table.column(1).to_numpy()] = table.column(2).to_numpy()
-    return out
-
-
-def log_likelihoods(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities (language, bucket); the last row is the unknown language, uniform."""
-    smooth = (counts + 0.01) / (counts.sum(axis=1, keepdims=True) + 0.01 * BUCKETS)
-    return np.log(np.vstack([smooth, np.full((1, BUCKETS), 1.0 / BUCKETS)]))
+                    if declared not in total:
+                        if len(total) == HELD:
+                            yield from flush()
+                        total[declared] = np.zeros(BUCKETS, dtype=np.int64)
+                    total[declared] += np.bincount(trigram_buckets(text), minlength=BUCKETS)
+        yield from flush()
+
+    found = rows.where(~F.col("declared").isin("", UNKNOWN)).select("declared", "text")
+    found = found.mapInArrow(run, "declared string, bucket int, n long")
+    return found.groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
+
+
+class Models:
+    """Log probabilities of the trigram buckets in each language, held sparsely: what a language
+    gives to a bucket it has not seen, and by bucket what the others that have seen it add."""
+
+    def __init__(self, language: np.ndarray, bucket: np.ndarray, n: np.ndarray, size: int):
+        totals = np.bincount(language, weights=n, minlength=size)
+        # the last one is the unknown language, uniform
+        self.floor = np.append(np.log(0.01 / (totals + 0.01 * BUCKETS)), math.log(1.0 / BUCKETS))
+        by_bucket = np.argsort(bucket, kind="stable")
+        self.language = language[by_bucket].astype(np.int32)
+        self.more = np.log((n[by_bucket] + 0.01) / 0.01).astype(np.float32)
+        self.first = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1))
+
+    def text(self, at: np.ndarray) -> np.ndarray:
+        """Summed log probability of the buckets in each language."""
+        total = len(at) * self.floor
+        for start in range(0, len(at), 1 << 16):
+            part = at[start : start + (1 << 16)]
+            first = self.first[part]
+            sizes = self.first[part + 1] - first
+            ends = np.cumsum(sizes)
+            if not len(ends) or not ends[-1]:
+                continue
+            entry = np.arange(ends[-1]) + np.repeat(first - ends + sizes, sizes)
+            total += np.bincount(self.language[entry], weights=self.more[entry], minlength=len(total))
+        return total
 
 
 TEXT = T.StructType(
@@ -80,20 +111,17 @@ TEXT = T.StructType(
 )
 
 
-def _text_evidence(rows: DataFrame, logs: np.ndarray, text: str, result: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
+def _text_evidence(rows: DataFrame, models: Models, text: str, result: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def make():
-        table = np.ascontiguousarray(shared.value.T)
+        own = shared.value
 
         def one(value):
             at = trigram_buckets(value)
             if not len(at):
-                return 0, [0.0] * table.shape[1]
-            total = np.zeros(table.shape[1])
-            for start in range(0, len(at), 1 << 16):
-                total += table[at[start : start + (1 << 16)]].sum(axis=0, dtype=np.float64)
-            return len(at), (total * min(1.0, EVIDENCE_TRIGRAMS / len(at))).tolist()
+                return 0, [0.0] * len(own.floor)
+            return len(at), (own.text(at) * min(1.0, EVIDENCE_TRIGRAMS / len(at))).tolist()
 
         def every(texts):
             found = [one(t) for t in texts]
@@ -121,64 +149,111 @@ def markup_language(html: Column) -> Column:
     return F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-z]+)", 1))
 
 
+def _by_best(rows: DataFrame, key: str) -> DataFrame:
+    """(key, by): how many rows of a key have each language as their best one, as a map."""
+    counted = rows.groupBy(key, "best").agg(F.sum("n").alias("n"))
+    return counted.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("by"))
+
+
+def _number(by: Column, i: Column) -> Column:
+    return F.coalesce(F.try_element_at(by, i), F.lit(0))
+
+
+def _sum(by: Column) -> Column:
+    return F.aggregate(F.map_values(by), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
+def _totals(rows: DataFrame, size: int) -> list[int]:
+    out = [0] * size
+    for best, n in rows.groupBy("best").agg(F.sum("n")).collect():  # a row per language
+        out[best] = n
+    return out
+
+
 def _rates(rows: DataFrame, column: str, languages: list[str]) -> DataFrame:
     """(value, logs): log P(value | language) per language, last the unknown one."""
-    n = range(len(languages))
-    values = rows.where(F.col(column) != "").groupBy(column).agg(
-        F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("best") == i).alias(f"n{i}") for i in n]
+    rows = rows.where(F.col(column) != "")
+    sums = _totals(rows, len(languages))
+    share = _sum(F.col("by")) / (sum(sums) or 1)
+    logs = F.zip_with(
+        F.lit(list(range(len(languages)))),
+        F.lit([float(s) for s in sums]),
+        lambda i, s: F.log((_number(F.col("by"), i) + RATE_WEIGHT * share) / (s + RATE_WEIGHT)),
     )
-    sums = values.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("all", *[f"n{i}" for i in n])]).first()
-    share = F.col("all") / (sums[0] or 1)
-    logs = [F.log((F.col(f"n{i}") + RATE_WEIGHT * share) / (sums[i + 1] + RATE_WEIGHT)) for i in n]
-    return values.select(F.col(column).alias(f"{column}_key"), F.array(*logs, F.log(share)).alias(f"{column}_log"))
+    values = _by_best(rows, column)
+    return values.select(F.col(column).alias(f"{column}_key"), F.concat(logs, F.array(F.log(share))).alias(f"{column}_log"))
 
 
 def _priors(rows: DataFrame, languages: list[str]) -> DataFrame:
     """(host, prior_log): language counts of a host, smoothed by its domain and the corpus."""
-    n = range(len(languages))
-    one = [F.count_if(F.col("best") == i).alias(f"n{i}") for i in n]
-    hosts = rows.groupBy("host").agg(*one)
-    hosts = hosts.withColumn("domain", domain_of(F.coalesce("host", F.lit(""))))
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in n])
-    totals = hosts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"g{i}") for i in n]).first()
+    rows = rows.groupBy("host", "best").agg(F.sum("n").alias("n"))
+    domain = domain_of(F.coalesce("host", F.lit("")))
+    hosts = _by_best(rows, "host").withColumn("domain", domain)
+    domains = _by_best(rows.withColumn("domain", domain), "domain").withColumnRenamed("by", "d_by")
+    totals = _totals(rows, len(languages))
     size = sum(totals) + len(languages)
-    corpus = [(totals[i] + 1) / size for i in n]
-    d_sum, h_sum = sum((F.col(f"d{i}") for i in n), F.lit(0)), sum((F.col(f"n{i}") for i in n), F.lit(0))
-    domain = [(F.col(f"d{i}") + DOMAIN_WEIGHT * corpus[i]) / (d_sum + DOMAIN_WEIGHT) for i in n]
-    smoothed = [(F.col(f"n{i}") + HOST_WEIGHT * domain[i]) / (h_sum + HOST_WEIGHT) for i in n]
+    d_sum, h_sum = _sum(F.col("d_by")), _sum(F.col("by"))
+
+    def smoothed(i, corpus):
+        above = (_number(F.col("d_by"), i) + DOMAIN_WEIGHT * corpus) / (d_sum + DOMAIN_WEIGHT)
+        return F.log((_number(F.col("by"), i) + HOST_WEIGHT * above) / (h_sum + HOST_WEIGHT) * (1 - UNKNOWN_PRIOR))
+
+    logs = F.zip_with(F.lit(list(range(len(languages)))), F.lit([(t + 1) / size for t in totals]), smoothed)
     joined = hosts.join(domains, "domain")
     return joined.select(
-        F.col("host").alias("host_key"),
-        F.array(*[F.log(p * (1 - UNKNOWN_PRIOR)) for p in smoothed], F.lit(math.log(UNKNOWN_PRIOR))).alias("prior_log"),
+        F.col("host").alias("host_key"), F.concat(logs, F.array(F.lit(math.log(UNKNOWN_PRIOR)))).alias("prior_log")
+    )
+
+
+def _on_declaration(rows: DataFrame, languages: list[str], trust: float) -> DataFrame:
+    """Texts whose declared language has no model keep it: nothing else could name it."""
+    rare = (F.col("n_trigrams") > 0) & ~F.col("declared").isin("", UNKNOWN, *languages)
+    return rows.withColumns(
+        {
+            "language": F.when(rare, F.col("declared")).otherwise(F.col("language")),
+            "posterior": F.when(rare, trust).otherwise(F.col("posterior")),
+            "kept": rare | F.col("kept"),
+        }
     )
 
 
 def _fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     """``rows`` (text_log, n_trigrams, declared, suffix, host, ..) with language, posterior, kept."""
-    if not languages:  # nothing declares a language, so none is known
+    if not languages:  # no language has a model
         unknown = rows.withColumn("language", F.lit(UNKNOWN)).withColumn("posterior", F.lit(0.0))
-        return unknown.withColumn("kept", F.lit(False))
+        return _on_declaration(unknown.withColumn("kept", F.lit(False)), languages, 1.0)
     best = F.array_position("text_log", F.array_max("text_log")) - 1
     rows = rows.withColumn("best", F.when(F.col("n_trigrams") > 0, best.cast("int")))
     # only texts with a clear winner teach the other evidence
     second = F.get(F.sort_array("text_log", asc=False), F.lit(1))
     clear = rows.where((F.array_max("text_log") - second > 3) & (F.col("best") < len(languages)))
+    clear = materialize(
+        clear.groupBy("declared", "suffix", "host", "best").agg(F.count(F.lit(1)).alias("n")), "language-evidence"
+    )
     declared, suffix = _rates(clear, "declared", languages), _rates(clear, "suffix", languages)
     joined = rows.join(_priors(clear, languages), F.col("host").eqNullSafe(F.col("host_key")), "left")
     joined = joined.join(declared, F.col("declared") == F.col("declared_key"), "left")
     joined = joined.join(suffix, F.col("suffix") == F.col("suffix_key"), "left")
-    n = len(languages) + 1
-    flat_log = math.log((1 - UNKNOWN_PRIOR) / max(1, len(languages)))
-    default = F.array(*[F.lit(flat_log)] * len(languages), F.lit(math.log(UNKNOWN_PRIOR)))
-    none = F.array(*[F.lit(0.0)] * n)
-    parts = [F.col("text_log"), F.coalesce("prior_log", default), F.coalesce("declared_log", none), F.coalesce("suffix_log", none)]
-    total = [sum((F.get(p, F.lit(i)) for p in parts), F.lit(0.0)) for i in range(n)]
-    joined = joined.withColumn("log", F.array(*total)).withColumn("most", F.array_max("log"))
+    flat_log = math.log((1 - UNKNOWN_PRIOR) / len(languages))
+    default = F.lit([flat_log] * len(languages) + [math.log(UNKNOWN_PRIOR)])
+    none = F.lit([0.0] * (len(languages) + 1))
+    parts = [F.coalesce("prior_log", default), F.coalesce("declared_log", none), F.coalesce("suffix_log", none)]
+    total = F.col("text_log")
+    for part in parts:
+        total = F.zip_with(total, part, lambda x, y: x + y)
+    joined = joined.withColumn("log", total).withColumn("most", F.array_max("log"))
     share = F.aggregate("log", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("most")))
-    winner = F.get(F.array(*[F.lit(x) for x in [*languages, UNKNOWN]]), F.array_position("log", F.col("most")).cast("int") - 1)
+    winner = F.get(F.lit([*languages, UNKNOWN]), F.array_position("log", F.col("most")).cast("int") - 1)
     joined = joined.withColumn("language", F.when(F.col("n_trigrams") > 0, winner).otherwise(UNKNOWN))
     joined = joined.withColumn("posterior", F.when(F.col("n_trigrams") > 0, 1 / share).otherwise(0.0))
-    return joined.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR))
+    joined = joined.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR))
+    # how often declarations are right where a model can tell
+    named = clear.where(F.col("declared").isin(languages))
+    right = F.col("declared") == F.get(F.lit(languages), F.col("best"))
+    agree, told = named.agg(
+        F.coalesce(F.sum(F.when(right, F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    ).first()
+    return _on_declaration(joined, languages, (agree + RATE_WEIGHT) / (told + RATE_WEIGHT))
 
 
 def _evidence(plain: DataFrame, text: str, declared: Column, address: Column | None, host: Column) -> tuple[DataFrame, list[str]]:
@@ -188,13 +263,18 @@ def _evidence(plain: DataFrame, text: str, declared: Column, address: Column | N
         (suffix_of(F.coalesce(address, F.lit(""))) if address is not None else F.lit("")).alias("suffix"),
         host.cast("string").alias("host"),
     )
-    sizes = rows.groupBy("declared").count()
-    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    known = sizes.where((F.col("declared") != "") & (F.col("count") >= SHARE * total)).orderBy("declared")
-    languages = [r[0] for r in known.collect()]  # at most 1 / SHARE
     named = rows.withColumnRenamed(text, "text") if text != "text" else rows
-    logs = log_likelihoods(_counts(named, languages))
-    return _text_evidence(named, logs, "text", "_text_").select("*", "_text_.*"), languages
+    counts = materialize(_counts(named), "language-counts")
+    sizes = counts.groupBy("declared").agg(F.sum("n").alias("size")).where(F.col("size") >= LEAST_TRIGRAMS)
+    languages = sorted(r[0] for r in sizes.collect())  # at most one per LEAST_TRIGRAMS trigrams of text
+    # at most BUCKETS rows per language
+    table = counts.join(sizes, "declared", "left_semi").select("declared", "bucket", "n").toArrow()
+    place = {n: i for i, n in enumerate(languages)}
+    names = table.column(0).combine_chunks().dictionary_encode()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    number = np.array([place[n] for n in names.dictionary.to_pylist()], dtype=np.int64)[names.indices.to_numpy()]
+    models = Models(number, table.column(1).to_numpy(), table.column(2).to_numpy(), len(languages))
+    return _text_evidence(named, models, "text", "_text_").select("*", "_text_.*"), languages
 
 
 def identify(
@@ -207,14 +287,16 @@ def identify(
 ) -> DataFrame:
     """One row per document: id, language, posterior, kept, n_trigrams.
 
-    The languages are the declared values of at least ``SHARE`` of the rows; text models learn
-    from the rows that declare them. A text that fits none better than chance is "und". Rows
-    are kept whose language is known with a posterior of at least ``LEAST_POSTERIOR``.
+    Every declared value with at least ``LEAST_TRIGRAMS`` trigrams of text has a text model,
+    learned from the rows that declare it. A text that fits none better than chance is "und".
+    Rows are kept whose language is known with a posterior of at least ``LEAST_POSTERIOR``.
+    Texts that declare a language with less text keep it and are kept; their posterior is the
+    rate at which declarations of modelled languages agree with the text. "und" declares nothing.
 
     Null and empty texts, and texts without letters, are "und" with posterior 0. Null
     declarations, addresses and hosts give no evidence (a null host is one host). Null ids and
     repeated rows keep a row each. Ties go to the first language by name. Long texts count as
-    ``EVIDENCE_TRIGRAMS`` independent trigrams, averaged over the whole text. Without any known
+    ``EVIDENCE_TRIGRAMS`` independent trigrams, averaged over the whole text. Without any declared
     language all is "und". Further columns are ignored.
     """
     names = [id_column, text_column, declared_column, host_column] + [address_column] * (address_column is not None)
