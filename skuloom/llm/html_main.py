@@ -283,6 +283,23 @@ def _extract():
     return texts
 
 
+def _visible():
+    def texts(pages):
+        found = []
+        for page in pages:
+            blocks = Page(page).blocks if page else []
+            found.append(" ".join([b for b, owner in blocks if not owner.noise] or [b for b, _ in blocks]))
+        return {"text": found}
+
+    return texts
+
+
+def visible_text(rows: DataFrame, html: str, result: str) -> DataFrame:
+    """``rows`` with the struct ``result`` (text): the blocks of the page outside noise, or all
+    if there are no others. No host is asked, so nothing is shuffled."""
+    return append_result(rows, [html], _visible, T.StructType([T.StructField("text", T.StringType())]), result)
+
+
 def host_of(url: Column) -> Column:
     """Host of an address, in lower case, without port; null if there is none."""
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skuloom.llm.common import SLICE_ROWS, append_result, pick, position_of, positions, without
+from skuloom.llm.html_main import host_of, visible_text
 from skuloom.session import materialize
 
 BUCKETS = 1 << 16
@@ -257,10 +258,12 @@ def _fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def _evidence(plain: DataFrame, text: str, declared: Column, address: Column | None, host: Column) -> tuple[DataFrame, list[str]]:
+    suffix = suffix_of(F.coalesce(address, F.lit(""))) if address is not None else F.lit("")
     rows = plain.select(
         "*",
         F.lower(F.trim(F.coalesce(declared.cast("string"), F.lit("")))).alias("declared"),
-        (suffix_of(F.coalesce(address, F.lit(""))) if address is not None else F.lit("")).alias("suffix"),
+        # no host and no path: nothing to count
+        F.when(suffix != "/", suffix).otherwise("").alias("suffix"),
         host.cast("string").alias("host"),
     )
     named = rows.withColumnRenamed(text, "text") if text != "text" else rows
@@ -309,6 +312,36 @@ def identify(
     )
 
 
+def identify_tables(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row per row of either table: table, doc_id or page_id, and what ``identify`` gives.
+
+    Documents (doc_id, text, lang, source) have text, declaration and source; pages (page_id,
+    url, html) have their visible text, the language their markup declares, and host, suffix
+    and language segment of their address. All evidence is counted over both tables together.
+    """
+    docs = pick(documents, "doc_id", "text", "lang", "source").toDF("doc_id", "text", "declared", "host")
+    web = visible_text(pick(pages, "page_id", "url", "html").toDF("page_id", "url", "html"), "html", "visible")
+    key = lambda table, doc_id, page_id: F.struct(
+        F.lit(table).alias("table"), doc_id.alias("doc_id"), page_id.alias("page_id")
+    ).alias("key")
+    none = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
+    both = docs.select(
+        key("documents", F.col("doc_id"), none(web, "page_id")),
+        "text", F.col("declared").cast("string").alias("declared"), F.col("host").cast("string").alias("host"),
+        F.lit(None).cast("string").alias("address"),
+    ).unionByName(
+        web.select(
+            key("pages", none(docs, "doc_id"), F.col("page_id")),
+            F.col("visible.text").alias("text"),
+            markup_language(F.col("html")).alias("declared"),
+            host_of(F.col("url")).alias("host"),
+            F.col("url").alias("address"),
+        )
+    )
+    found = identify(materialize(both, "language-rows"), "key", "text", "declared", "host", "address")
+    return found.select("key.*", *[c for c in found.columns if c != "key"])
+
+
 def keep_known(
     documents: DataFrame,
     text_column: str = "text",

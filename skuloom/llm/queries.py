@@ -58,7 +58,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_evidence_fusion_language")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 @query("op5_partial_matching")

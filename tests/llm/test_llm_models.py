@@ -164,3 +164,28 @@ def test_more_languages_than_a_task_holds(spark, monkeypatch):
     assert {x[1] for x in want} == set(RARE)
     monkeypatch.setattr(langid, "HELD", 1)
     assert run() == want
+
+
+def test_registered_query_identifies_pages(spark, tmp_path):
+    """Pages are rows of the query too; markup, address suffix and host decide short ones."""
+    from skuloom.llm import queries
+
+    docs = _in(RARE["en"], 30, 60, "en", 1) + _in(RARE["fi"], 30, 60, "fi", 2, 1000)
+    pages = []
+    for i, (_, text, lang, _) in enumerate(_in(RARE["en"], 50, 60, "en", 3) + _in(RARE["fi"], 50, 60, "fi", 4)):
+        pages.append((i, f"https://www.h{i % 3}.{lang}/{lang}/{i}", f"<html lang='{lang}-XX'><body><p>{text}</p></body></html>"))
+    pages += [(900, "https://new.example/a", "<html lang=fi><body><p>42 x</p>"), (901, "https://x.fi/fi/1", "<p>42 z"), (902, "https://x.en/en/1", "<p>42 z")]
+    samples.documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["op4_evidence_fusion_language"](spark, str(tmp_path)).collect()
+    of = {(r["table"], r["doc_id"], r["page_id"]): r["language"] for r in got}
+    assert len(got) == len(of) == len(docs) + len(pages)
+    assert all(of["documents", i, None] == lang for i, _, lang, _ in docs)
+    assert all(of["pages", None, i] == ("en" if i < 50 else "fi") for i in range(100))
+    assert [of["pages", None, i] for i in (900, 901, 902)] == ["fi", "fi", "en"]
+
+
+def test_no_address_is_no_evidence(spark):
+    docs = samples.documents(spark, _in(RARE["en"], 60, 60, "en", 1) + _in(RARE["fi"], 60, 60, "fi", 2, 1000))
+    run = lambda df, a: sorted(map(tuple, langid.identify(df, address_column=a).collect()))
+    assert run(docs.withColumn("a", F.lit(None).cast("string")), "a") == run(docs, None)
