@@ -26,6 +26,23 @@ BLOCKS = CONTAINERS | frozenset(
 # elements whose content is no text of a page
 HIDDEN = frozenset("script style noscript template svg iframe object textarea head title select button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+# what may stand in a head; anything else ends it
+HEAD = frozenset("head title style script noscript template meta link base basefont bgsound".split())
+_CELL_ENDS = frozenset("td th tr tbody thead tfoot".split())
+# start tags that end an open element whose own end tag was left out
+ENDED_BY = {
+    "p": frozenset(
+        "address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form "
+        "h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul tr td th".split()
+    ),
+    "li": frozenset(["li"]),
+    "dd": frozenset(["dd", "dt"]),
+    "dt": frozenset(["dd", "dt"]),
+    "option": frozenset(["option", "optgroup"]),
+    "tr": frozenset("tr tbody thead tfoot".split()),
+    "th": _CELL_ENDS,
+    "td": _CELL_ENDS,
+}
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 NOISE_WORDS = frozenset(
@@ -89,7 +106,7 @@ def _cues(attributes: dict[str, str]) -> list[str]:
     return _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())
 
 
-def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool, by_words: bool = True) -> bool:
     if tag in NOISE_TAGS or attributes.get("role", "").lower() in NOISE_ROLES:
         return True
     if tag == "header" and not inside_article:
@@ -98,13 +115,15 @@ def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
-    return tag not in ("html", "body", "main", "article") and any(w in NOISE_WORDS for w in _cues(attributes))
+    return by_words and tag not in ("html", "body", "main", "article") and any(w in NOISE_WORDS for w in _cues(attributes))
 
 
 class Page:
-    """Containers and text blocks of one page, read in one pass over the html."""
+    """Containers and text blocks of one page, read in one pass over the html; without
+    ``by_words`` classes and ids make nothing noise."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, by_words: bool = True):
+        self.by_words = by_words
         self.blocks: list[tuple[str, Container]] = []
         self.root = Container("", None, "", False, 0.0, 0)
         self.containers = [self.root]
@@ -114,6 +133,9 @@ class Page:
         stack, pieces, hidden, links = [self.root], [], [], 0
         raw_end: dict[str, int] = {}
         noise_inline: list[str] = []
+        inner: list[str] = []  # containers opened inside noise_inline
+        inner_tags: Counter[str] = Counter()
+        cells: list[int] = []  # places of the open cells and tables in the stack
         open_tags: Counter[str] = Counter()
         last_tag = text.rfind(">")
 
@@ -134,6 +156,8 @@ class Page:
             start = text.find("<", at)
             if start < 0 or start > last_tag:
                 start = len(text)
+            if hidden == ["head"] and text[at:start].strip():
+                hidden.pop()  # text ends a head
             if start > at and not hidden and not noise_inline:
                 pieces.append((text[at:start], links > 0))
             if start == len(text):
@@ -156,13 +180,36 @@ class Page:
             closing, tag, rest, at = bool(match[1]), match[2].lower(), match[3], match.end()
             if tag in BLOCKS:
                 flush()
+            if hidden == ["head"] and (tag in ("body", "html", "br") if closing else tag not in HEAD):
+                hidden.pop()
+            if noise_inline and not hidden:
+                noise, ended = noise_inline[-1], False
+                if closing and tag in CONTAINERS and tag != noise:
+                    if inner_tags[tag]:
+                        while True:
+                            left = inner.pop()
+                            inner_tags[left] -= 1
+                            if left == tag:
+                                break
+                    else:  # the end of a container around it
+                        ended = open_tags[tag] > 0 and not (tag == "td" and noise == "tr")
+                elif not inner and noise in ENDED_BY:
+                    ended = not closing and tag in ENDED_BY[noise]
+                if ended:
+                    noise_inline.clear()
+                    inner.clear()
+                    inner_tags.clear()
             if closing:
                 if hidden:
                     if tag == hidden[-1]:
                         hidden.pop()
                 elif noise_inline:
-                    if tag == noise_inline[-1]:
+                    # of an element with an optional end tag only the outermost one is held
+                    if tag == noise_inline[-1] and not (inner and tag in ENDED_BY):
                         noise_inline.pop()
+                    if not noise_inline:
+                        inner.clear()
+                        inner_tags.clear()
                 elif tag == "a":
                     links = max(0, links - 1)
                 elif open_tags[tag]:
@@ -170,10 +217,17 @@ class Page:
                         closed = stack.pop()
                         self._close(closed)
                         open_tags[closed.tag] -= 1
+                        if closed.tag in ("td", "table"):
+                            cells.pop()
                         if closed.tag == tag:
                             break
                 continue
-            if hidden:
+            if hidden and hidden[-1] == "head":
+                if tag == "template":
+                    hidden.append(tag)
+                if tag not in RAW:
+                    continue
+            elif hidden:
                 if tag == hidden[-1] and not rest.endswith("/"):
                     hidden.append(tag)
                 continue
@@ -192,23 +246,35 @@ class Page:
                 hidden.append(tag)
                 continue
             if noise_inline:
-                if tag == noise_inline[-1]:
+                if tag == noise_inline[-1] and tag not in ENDED_BY:
                     noise_inline.append(tag)
+                elif tag in CONTAINERS and tag != "td":
+                    inner.append(tag)
+                    inner_tags[tag] += 1
                 continue
             if tag == "a":
                 links += 1
+            if tag in _CELL_ENDS and cells and stack[cells[-1]].tag == "td":
+                # an open cell of the same table ends
+                place = cells.pop()
+                while len(stack) > place:
+                    closed = stack.pop()
+                    self._close(closed)
+                    open_tags[closed.tag] -= 1
             if tag in CONTAINERS:
                 attributes = _attributes(rest)
                 inside = stack[-1].prose or stack[-1].tag in ("article", "main")
-                noise = stack[-1].noise or _is_noise(tag, attributes, inside)
+                noise = stack[-1].noise or _is_noise(tag, attributes, inside, self.by_words)
                 prior = 1.0 + 0.5 * (tag in ("article", "main")) + 0.25 * any(w in MAIN_WORDS for w in _cues(attributes))
                 child = Container(tag, stack[-1], _label(tag, attributes), noise, prior, len(self.blocks))
                 self.containers.append(child)
+                if tag in ("td", "table"):
+                    cells.append(len(stack))
                 stack.append(child)
                 open_tags[tag] += 1
             elif rest and tag not in ("br", "hr", "img", "input", "meta", "link", "wbr"):
                 attributes = _attributes(rest)
-                if attributes and _is_noise(tag, attributes, True):
+                if attributes and _is_noise(tag, attributes, True, self.by_words):
                     noise_inline.append(tag)
         flush()
         while stack:
@@ -248,6 +314,16 @@ class Page:
         return " ".join(out)
 
 
+def _read_page(text: str) -> tuple[Page, list[tuple[str, float]]]:
+    """The page and its scores; one that is all noise is read again without the words of classes."""
+    page = Page(text)
+    scores = page.scores()
+    if not scores:
+        page = Page(text, by_words=False)
+        scores = page.scores()
+    return page, scores
+
+
 VOTE = T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())])
 VOTES_SCHEMA = T.StructType([T.StructField("votes", T.ArrayType(VOTE))])
 TEXT_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("path", T.StringType())])
@@ -257,7 +333,7 @@ def _vote():
     def votes(pages):
         out = []
         for page in pages:
-            best = Page(page).scores() if page else []
+            best = _read_page(page)[1] if page else []
             top = best[0][1] if best else 1.0
             out.append([{"path": p, "score": s / top} for p, s in best[:VOTES]])
         return {"votes": out}
@@ -271,8 +347,8 @@ def _extract():
         for page, tried in zip(pages, paths):
             text, path = "", None
             if page:
-                parsed = Page(page)
-                for path in [*(tried or []), *[p for p, _ in parsed.scores()[:1]]]:
+                parsed, scores = _read_page(page)
+                for path in [*(tried or []), *[p for p, _ in scores[:1]]]:
                     text = parsed.text(path)
                     if text:
                         break

@@ -110,3 +110,23 @@ def test_hot_hosts_and_others_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(html_main, "HOT_SHARE", 2.0)  # no host is hot
     assert {i: r["text"] for i, r in texts(spark, rows).items()} == first
     assert first == {i: f"words {i} and words" for i in range(40)}
+
+
+def test_left_out_end_tags():
+    """What HTML lets authors leave out hides no later text, also in noise."""
+    want = "first words of it second words of it"
+    for html in (
+        "<html><head><title>t</title><script>'<p>no'</script><meta x><body><p>first words of it<p>second words of it",
+        "<head><title>t</title><p>first words of it<p>second words of it",
+        "<head><title>t</title>first words of it <p>second words of it",
+        "<body><div><p>first words of it<p class='ad'>buy<p>second words of it</div>",
+        "<body><div><p class='ad'>buy</div><div><p>first words of it<p>second words of it</div>",
+        "<body><ul><li class='ad'>buy<ul><li>a<li>b</ul>c<li>first words of it<li>second words of it</ul>",
+        "<body><dl><dt>first words of it<dd class='ad'>buy<dt>second words of it</dl>",
+        "<body><div><span class='ad'>buy</div><p>first words of it</p><p>second words of it",
+        "<table><tr><td class='ad'>buy<td>first words of it<tr class='ad'><td>x</td><td>y<tr><td>second words of it</table>",
+        "<div class='comments'><p>first words of it</p><p>second words of it</p></div>",
+    ):
+        page, _ = html_main._read_page(html)
+        assert " ".join(b for b, owner in page.blocks if not owner.noise) == want, html
+        assert html_main._extract()([html], [None])["text"][0]
