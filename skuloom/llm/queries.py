@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuloom.llm import (
+    bpe,
     compression,
     decontaminate,
     html_main,
@@ -110,3 +112,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_weighted_fair_mix", mixing.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(rows, path).drop("text"), path)
+    return decoded.select("doc_id", *bpe.digests(F.col("tokens"), F.col("decoded")))
