@@ -12,6 +12,7 @@ from skuloom.llm import (
     bpe,
     compression,
     decontaminate,
+    hard_negatives,
     html_main,
     langid,
     mixing,
@@ -20,6 +21,7 @@ from skuloom.llm import (
     ppm,
     quality_model,
     token_rollups,
+    variants,
 )
 from skuloom.session import materialize, scratch_path
 
@@ -114,6 +116,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op11_reduced_alphabet_variants", variants.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(table(spark, sf_dir, "documents"), dropped_letter_modulus=199)
+    return variants.group_variants(words)
+
+
+@query("op12_secondary_sort_negatives", hard_negatives.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth id against all rows; the labels of each seventh are noise."""
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("vector", lambda x: F.floor(256 * x))
+    ready = rows.select(F.col("id").cast("long").alias("id"), label.cast("long").alias("label"), whole.alias("vector"))
+    return hard_negatives.mine(ready, F.col("id") % 100 == 0)
+
+
 @query("op13_prefix_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
