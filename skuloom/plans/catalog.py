@@ -87,11 +87,12 @@ def save_batch(
     model_responses: DataFrame | None = None,
     stage: Stage | None = None,
     other_failures: DataFrame | None = None,
+    others: dict[str, DataFrame] | None = None,
 ) -> None:
-    """Validate, enrich and store one batch: products, failures, completed URLs.
+    """Validate, enrich and store one batch: products, failures, completed URLs, and ``others``.
 
-    URLs are marked last, so a batch that is cut short is done again. A page
-    whose rows were all rejected is complete; a failed page is not.
+    They appear together, so a batch that is cut short leaves nothing and is done again. A
+    page whose rows were all rejected is complete; a failed page is not.
     """
     checked = va.check_required(ex.good_rows(extracted))
     rows = va.accepted(checked)
@@ -103,10 +104,12 @@ def save_batch(
         failures = failures.unionByName(en.enrichment_failures(rows))
     if other_failures is not None:
         failures = failures.unionByName(other_failures)
-    state.append(rows.select(*PRODUCT_COLUMNS, "place", "ordinal"), root, "products", batch)
-    state.append(failures, root, "failures", batch)
-    done = ex.good_rows(extracted).select(F.col("product_url").alias("url")).distinct()
-    state.append(done, root, "completed", batch)
+    tables = {
+        "products": rows.select(*PRODUCT_COLUMNS, "place", "ordinal"),
+        "failures": failures,
+        "completed": ex.good_rows(extracted).select(F.col("product_url").alias("url")).distinct(),
+    }
+    state.commit(extracted.sparkSession, root, batch, tables | (others or {}))
 
 
 def export_current(

@@ -73,24 +73,33 @@ def save_pages(
 ) -> None:
     """Extract and store pages and those that waited for a listing; keep what still waits.
 
-    URLs that were completed by other batches are skipped. The completed URLs are written last
-    of all (by ``save_batch``), so a batch that is cut short is done again as a whole.
+    URLs that were completed by other batches are skipped. A page is stored once while it
+    waits; when its listing is there, a mark says so. Documents of waiting pages are read
+    only if some of them have a listing now. All tables of the batch change together.
     """
     spark = pages.sparkSession
-    waiting = state.waiting_pages(spark, root, batch)
+    done = state.completed_before(spark, root, batch)
     fresh = ex.latest_pages(pages.select("url", "html"), F.col("html"))
-    both = fresh.unionByName(waiting.join(fresh.select("url"), "url", "left_anti"))
-    todo = both.join(state.completed_before(spark, root, batch), "url", "left_anti")
-    docs = materialize(todo, "stream-pages").select(F.col("url").alias("product_url"), "html")
-    paired = families.join(docs, "product_url")
+    docs = materialize(fresh.join(done, "url", "left_anti"), "stream-pages")
+    listed = families.select(F.col("product_url").alias("url"))
+    waiting = state.waiting_urls(spark, root, batch)
+    todo = docs
+    if waiting is not None:
+        for known in (done, docs.select("url")):
+            waiting = waiting.join(known, "url", "left_anti")
+        found = materialize(waiting.join(listed, "url", "left_semi"), "stream-waiting")
+        if not found.isEmpty():
+            todo = docs.unionByName(state.stored_pages(spark, root, found))
+    paired = families.join(todo.withColumnRenamed("url", "product_url"), "product_url")
     extracted = materialize(
         ex.extract_products(paired, source=source, scraped_at=scraped_at, keep=("place",)),
         "stream-extracted",
     )
-    unmatched = docs.join(families.select("product_url"), "product_url", "left_anti")
-    state.append(unmatched.select(F.col("product_url").alias("url"), "html"), root, "pending", batch)
-    state.append(extracted.select(F.col("product_url").alias("url")).distinct(), root, "taken_up", batch)
-    save_batch(extracted, root, batch, model_responses=model_responses)
+    others = {
+        "pending": docs.join(listed, "url", "left_anti"),
+        "taken_up": extracted.select(F.col("product_url").alias("url")).distinct(),
+    }
+    save_batch(extracted, root, batch, model_responses=model_responses, others=others)
 
 
 def process_pending(
