@@ -21,6 +21,7 @@ from skuloom.functions.text import (
     squeeze,
     with_plain_text,
 )
+from skuloom.operators.prefilter import possible_keys
 from skuloom.schemas import PRODUCT_COLUMNS
 
 # fields that have to be text when they are given
@@ -40,6 +41,40 @@ def attach_pages(listings: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def listings_of(families: DataFrame) -> DataFrame:
+    """``product_url, listings``: the listings of every URL as one array in the order of ``attempt``.
+
+    A URL has at most one listing per category.
+    """
+
+    def by_attempt(a: Column, b: Column) -> Column:
+        first, second = a["attempt"], b["attempt"]
+        return F.when(first < second, -1).when(first > second, 1).otherwise(0)
+
+    fields_ = [c for c in families.columns if c != "product_url"]
+    return families.groupBy("product_url").agg(
+        F.array_sort(F.collect_list(F.struct(*fields_)), by_attempt).alias("listings")
+    )
+
+
+def attach_listings(listed: DataFrame, pages: DataFrame) -> DataFrame:
+    """``product_url, html, listings``: one row per URL with listings, ``html`` null without a page.
+
+    Listings of URLs that have a page are joined to the page, so that few listings can be broadcast
+    and the documents stay in place; those without need the pages' URLs only. Where the listings are too
+    many for that, pages that nobody asks for are dropped by a bitmap before the shuffle, and a
+    bucketed page table (``sources.page_table``) is not shuffled at all.
+
+    ``pages`` holds one document per URL (see ``latest_pages``).
+    """
+    asked = pages.select(F.col("url").alias("product_url"), "html").transform(
+        possible_keys, "product_url", listed.select("product_url")
+    )
+    there = asked.join(listed, "product_url")
+    missing = listed.join(pages.select(F.col("url").alias("product_url")), "product_url", "left_anti")
+    return there.unionByName(missing.withColumn("html", F.lit(None).cast("string")))
+
+
 def latest_pages(pages: DataFrame, *order: Column) -> DataFrame:
     """The last document of every URL; repeats are reduced before the shuffle."""
     return (
@@ -94,37 +129,52 @@ def _parse(df: DataFrame) -> DataFrame:
 
 
 def _page_values(df: DataFrame) -> DataFrame:
-    """Family-level values, computed once per page."""
-    ld, hit = F.col("ld"), F.col("hit")
+    """Values of the page that no listing decides."""
+    ld = F.col("ld")
     offers = lj.field(ld, "offers")
     return df.withColumns(
         {
             "offer": F.when(lj.kind(offers) == "OBJECT", offers),
-            "page_images": fields.page_images(
-                lj.field(ld, "image"), F.col("gallery"), hit["image_url"]
-            ),
-            "hierarchy": fields.category_hierarchy(F.col("crumbs"), F.col("category_path")),
             "bad_crumbs": fields.bad_breadcrumb(F.col("crumbs")),
             "ld_sku": fields.identifier(lj.field(ld, "sku")),
-            "hit_sku": fields.first_sku(hit["sku"]),
             "texts": F.concat(
                 F.array(lj.text(lj.field(ld, "description"))),
                 F.transform("variants", lambda v: lj.text(v["description"])),
             ),
         }
-    ).drop("gallery", "crumbs")
+    )
+
+
+def _family_values(df: DataFrame) -> DataFrame:
+    """Values of the page with the listing that is used (the last one if all fail), once per page."""
+    used = F.get("listings", F.coalesce(F.col("chosen"), F.size("listings") - 1))
+    hit = F.col("hit")
+    return (
+        df.withColumns({"hit": used["hit"], "category_path": used["category_path"]})
+        .withColumns(
+            {
+                "page_images": fields.page_images(
+                    lj.field(F.col("ld"), "image"), F.col("gallery"), hit["image_url"]
+                ),
+                "hierarchy": fields.category_hierarchy(F.col("crumbs"), F.col("category_path")),
+                "hit_sku": fields.first_sku(hit["sku"]),
+            }
+        )
+        .drop("gallery", "crumbs", "category_path")
+    )
 
 
 def _with_prices(df: DataFrame) -> DataFrame:
-    """``prices``: one per variant, or one for the page without variants."""
-    parent = lj.first_truthy(
-        lj.field(F.col("offer"), "price"),
-        lj.field(F.col("offer"), "lowPrice"),
-        F.col("hit.price"),
+    """``prices``: one per variant, or, for a page without variants, one per listing."""
+    parents = F.transform(
+        "listings",
+        lambda x: lj.first_truthy(
+            lj.field(F.col("offer"), "price"), lj.field(F.col("offer"), "lowPrice"), x["hit"]["price"]
+        ),
     )
     own = F.transform("variants", lambda v: v["asked"])
     return (
-        df.withColumn("asked", F.when(F.size("variants") > 0, own).otherwise(F.array(parent)))
+        df.withColumn("asked", F.when(F.size("variants") > 0, own).otherwise(parents))
         .withColumn("nested", nested_prices(F.col("asked")))
         .withColumn(
             "prices",
@@ -137,11 +187,15 @@ def _with_prices(df: DataFrame) -> DataFrame:
     )
 
 
-def _page_error(df: DataFrame) -> DataFrame:
-    """Why a page yields no rows; null for a good one."""
-    bad_price = F.get(
-        F.filter(F.transform("prices", lambda p: p["bad"]), lambda b: b.isNotNull()), F.lit(0)
-    )
+def _choice(df: DataFrame) -> DataFrame:
+    """``errors``: why the page yields no rows with each listing (null for a good one), and
+    ``chosen``: the first listing without an error; null if there is none.
+
+    Only the price of a page without variants depends on the listing.
+    """
+    bad = F.transform("prices", lambda p: p["bad"])
+    any_bad = F.get(F.filter(bad, lambda b: b.isNotNull()), F.lit(0))
+    has_variants = F.size("variants") > 0
     not_object = F.exists(
         "variants", lambda v: F.coalesce(lj.kind(v["value"]) != "OBJECT", F.lit(True))
     )
@@ -166,17 +220,25 @@ def _page_error(df: DataFrame) -> DataFrame:
     brand_not_text = F.exists("variants", lambda v: lj.truthy_but_not_text(maker(v))) | (
         needs_brand & lj.truthy_but_not_text(named)
     )
-    return df.withColumn(
-        "page_error",
+    of_page = (
         F.when(F.col("no_page"), F.lit("no document for this URL"))
         .when(F.col("bad_map"), F.lit("variant map is not valid JSON"))
         .when(not_object, F.lit("variant is not an object"))
         .when(variant_not_text | ld_not_text, F.lit("text field holds another type"))
         .when(F.col("bad_crumbs") | brand_not_text, F.lit("brand or breadcrumb name is not text"))
-        .when(
-            bad_price.isNotNull(), F.concat(F.lit("price is not a number: "), bad_price)
-        ),
-    ).drop("no_page", "bad_map", "bad_crumbs")
+    )
+
+    def error(_, i):
+        bad_price = F.when(has_variants, any_bad).otherwise(F.get(bad, i))
+        return F.coalesce(F.col("of_page"), F.concat(F.lit("price is not a number: "), bad_price))
+
+    places = F.sequence(F.lit(0), F.size("listings") - 1)
+    return (
+        df.withColumn("of_page", of_page)
+        .withColumn("errors", F.transform("listings", error))
+        .withColumn("chosen", F.get(F.filter(places, lambda i: F.get("errors", i).isNull()), F.lit(0)))
+        .drop("no_page", "bad_map", "bad_crumbs", "of_page")
+    )
 
 
 def _any_not_text(*values: Column) -> Column:
@@ -186,46 +248,57 @@ def _any_not_text(*values: Column) -> Column:
     return result
 
 
-def _explode(df: DataFrame) -> DataFrame:
-    """One row per variant; one row for a page without variants or with an error."""
-    expand = F.col("page_error").isNull() & (F.size("variants") > 0)
+def _explode(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """One row per listing that failed, then one per variant of the page with the listing that
+    did not, or one for the page if it has no variants."""
     nothing = F.lit(None)
-    items = F.when(
-        expand,
-        F.transform(
-            "variants",
-            lambda v, i: F.struct(
-                v["ordinal"].alias("ordinal"),
-                v["value"].alias("variant"),
-                v["stock"].alias("own_stock"),
-                F.get("plain", i + 1).alias("own_text"),
-                F.get("prices", i)["amount"].alias("price"),
-            ),
+    n_failed = F.coalesce(F.col("chosen"), F.size("listings"))
+
+    def item(at, error, ordinal, variant, stock, text, price):
+        return F.struct(
+            at.cast("int").alias("at"),
+            error.cast("string").alias("page_error"),
+            ordinal.alias("ordinal"),
+            variant.cast("variant").alias("variant"),
+            stock.cast("variant").alias("own_stock"),
+            text.cast("string").alias("own_text"),
+            price.cast("double").alias("price"),
+        )
+
+    failed = F.transform(
+        F.slice("errors", F.lit(1), n_failed),
+        lambda e, i: item(i, e, F.lit(0), nothing, nothing, nothing, nothing),
+    )
+    variants = F.transform(
+        "variants",
+        lambda v, i: item(
+            F.col("chosen"), nothing, v["ordinal"], v["value"], v["stock"],
+            F.get("plain", i + 1), F.get("prices", i)["amount"],
         ),
-    ).otherwise(
-        F.array(
-            F.struct(
-                F.lit(0).alias("ordinal"),
-                nothing.cast("variant").alias("variant"),
-                nothing.cast("variant").alias("own_stock"),
-                nothing.cast("string").alias("own_text"),
-                F.get("prices", F.lit(0))["amount"].alias("price"),
-            )
+    )
+    page = F.array(
+        item(
+            F.col("chosen"), nothing, F.lit(0), nothing, nothing, nothing,
+            F.get("prices", F.col("chosen"))["amount"],
         )
+    )
+    good = F.when(F.col("chosen").isNull(), F.slice(page, 1, 0)).otherwise(
+        F.when(F.size("variants") > 0, variants).otherwise(page)
     )
     # The array is never empty; the outer form keeps the optimizer from adding
     # an emptiness filter that would evaluate the parsing again.
     return (
-        df.withColumn("item", F.explode_outer(items))
+        df.withColumn("item", F.explode_outer(F.concat(failed, good)))
         .withColumns(
             {
                 "page_text": F.get("plain", F.lit(0)),
                 "spec_text": F.get("decoded", F.lit(0)),
+                **{name: F.get("listings", F.col("item.at"))[name] for name in keep},
             }
         )
-        .drop("variants", "prices", "plain", "decoded")
+        .drop("variants", "prices", "plain", "decoded", "errors", "chosen", "listings")
         .select("*", "item.*")
-        .drop("item")
+        .drop("item", "at")
     )
 
 
@@ -319,18 +392,37 @@ def extract_products(
     reason, split off with ``good_rows`` and ``page_failures``. The input columns
     named in ``keep`` are passed through.
     """
+    only = F.array(F.struct(*keep, "hit", "category_path")).alias("listings")
+    return extract_listed(
+        paired.select("product_url", "html", only), source=source, scraped_at=scraped_at, keep=keep
+    )
+
+
+def extract_listed(
+    pages: DataFrame,
+    *,
+    source: str = "catalog",
+    scraped_at: str | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """SKU rows of pages with all their listings, tried in turn.
+
+    ``pages`` has ``product_url``, ``html`` and ``listings``: an array of structs with ``hit``,
+    ``category_path`` and the fields in ``keep``, in the order in which they are tried, with one at least. A page
+    is parsed once, whatever the number of its listings; the first one that raises no error
+    gives the rows, and each one before it a row with its ``page_error``.
+    """
     stamp = F.current_timestamp() if scraped_at is None else F.lit(scraped_at)
     return (
-        paired.select(
-            *keep, "product_url", "hit", "category_path", "html", stamp.cast("timestamp").alias("scraped_at")
-        )
+        pages.select("product_url", "html", "listings", stamp.cast("timestamp").alias("scraped_at"))
         .transform(_parse)
         .transform(_page_values)
         .transform(with_plain_text, "texts", "decoded", "plain")
         .drop("texts")
         .transform(_with_prices)
-        .transform(_page_error)
-        .transform(_explode)
+        .transform(_choice)
+        .transform(_family_values)
+        .transform(_explode, keep)
         .transform(_project, source, keep)
     )
 

@@ -51,32 +51,18 @@ def families_to_visit(
     )
 
 
-def extract_with_retries(
+def extract_families(
     families: DataFrame, pages: DataFrame, *, source: str, scraped_at: str | None
 ) -> DataFrame:
-    """Extract every URL from its first listing; where that fails, from the next.
+    """Extract every URL from its first listing that raises no error, with a row for each that does.
 
-    Each round reads only the URLs the previous one failed on; there are at most
-    as many rounds as categories list the same URL. Pages are reduced to the URLs
-    of the round before the join: what is not asked for is not shuffled where the
-    URLs are few enough for Spark to broadcast.
+    Pages are scanned, joined and parsed once, however many categories list a URL.
     """
-    todo, attempt, rounds = families.filter(F.col("attempt") == 1), 1, None
-    while True:
-        asked = pages.join(todo.select(F.col("product_url").alias("url")), "url", "left_semi")
-        paired = ex.attach_pages(todo, asked)
-        found = materialize(
-            ex.extract_products(
-                paired, source=source, scraped_at=scraped_at, keep=("place", "attempt")
-            ),
-            "extracted",
-        )
-        rounds = found if rounds is None else rounds.unionByName(found)
-        attempt += 1
-        failed = found.filter(F.col("page_error").isNotNull()).select("product_url")
-        todo = families.filter(F.col("attempt") == attempt).join(failed, "product_url", "left_semi")
-        if todo.isEmpty():
-            return rounds
+    paired = ex.attach_listings(ex.listings_of(families), pages)
+    return materialize(
+        ex.extract_listed(paired, source=source, scraped_at=scraped_at, keep=("place", "attempt")),
+        "extracted",
+    )
 
 
 def save_batch(
@@ -160,7 +146,7 @@ def run(
             families_to_visit(usable, mine, state.completed_urls(spark, root), limit_per_category),
             "families",
         )
-        extracted = extract_with_retries(families, pages, source=source, scraped_at=scraped_at)
+        extracted = extract_families(families, pages, source=source, scraped_at=scraped_at)
         save_batch(
             extracted,
             root,

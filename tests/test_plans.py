@@ -2,12 +2,15 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from skuloom.operators import extract as ex
 from skuloom.operators import listings as li
 from skuloom.operators import validate as va
 from skuloom.operators.dedup import latest_per_key
+from skuloom.session import materialize, scratch_path
+from skuloom.sources import page_table
 from workload.listing_queries import families
 from workload.standins import product_pages
 from workload.registry import table
@@ -74,13 +77,70 @@ def test_products_without_tags_stay_out_of_the_closing_join(spark, sf_dir):
     assert text.count("Union") >= 1 and "isnotnull(fid" in text
 
 
-def test_retries_reduce_the_pages_before_the_join(spark, sf_dir):
+def listed_families(spark, sf_dir):
+    place = F.struct(*[F.lit(0).alias(n) for n in ("category_ord", "page_no", "pos")])
     paired = product_pages(spark, sf_dir)
-    pages = paired.select(F.col("product_url").alias("url"), "html")
-    todo = paired.select("product_url", "hit", "category_path").limit(3)
-    asked = pages.join(todo.select(F.col("product_url").alias("url")), "url", "left_semi")
-    text = plan(ex.attach_pages(todo, asked))
-    assert "LeftSemi" in text
+    families = paired.select("product_url", "hit", "category_path", F.lit(1).alias("attempt"), place.alias("place"))
+    return materialize(families, "listings"), paired.select(F.col("product_url").alias("url"), "html")
+
+
+@pytest.fixture
+def without_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def depth(line):
+    return len(line) - len(line.lstrip(" :+-*()0123456789"))
+
+
+def exchanges_of_documents(text):
+    """Exchanges that a scan of documents (html) lies below of."""
+    lines, found = text.split("\n"), []
+    for i, line in enumerate(lines):
+        if "Exchange" not in line:
+            continue
+        below = []
+        for under in lines[i + 1 :]:
+            if depth(under) <= depth(line):
+                break
+            below.append(under)
+        if any("Scan parquet" in u and "html" in u.split("ReadSchema")[-1] for u in below):
+            found.append(line.strip())
+    return found
+
+
+def test_stored_pages_are_not_shuffled(spark, sf_dir, without_broadcasts):
+    families, pages = listed_families(spark, sf_dir)
+    listed = ex.listings_of(families)
+    plain = materialize(pages, "plain-pages")
+    assert exchanges_of_documents(plan(ex.attach_listings(listed, plain)))
+    stored = page_table.write_pages(pages, scratch_path(spark, "pages"), 4)
+    joined = ex.attach_listings(listed, stored)
+    assert not exchanges_of_documents(plan(joined))
+    assert not exchanges_of_documents(plan(ex.extract_listed(joined, keep=("place",))))
+    # the table is found again, also by name only
+    again = page_table.read_pages(spark, stored.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:"))
+    assert again.count() == pages.count() == joined.where("html is not null").count()
+
+
+def test_few_listings_leave_the_documents_in_place(spark, sf_dir):
+    families, pages = listed_families(spark, sf_dir)
+    joined = ex.attach_listings(ex.listings_of(families), materialize(pages, "plain-pages"))
+    joined.write.format("noop").mode("overwrite").save()  # sizes are known when it runs
+    joined.collect()
+    assert not exchanges_of_documents(plan(joined).split("Initial Plan")[0])
+
+
+def test_pages_are_scanned_once_for_all_listings(spark, sf_dir):
+    families, pages = listed_families(spark, sf_dir)
+    twice = families.unionByName(families.withColumn("attempt", F.lit(2)))
+    stored = materialize(pages, "plain-pages")
+    text = plan(ex.extract_listed(ex.attach_listings(ex.listings_of(twice), stored), keep=("place", "attempt")))
+    scans = [line for line in text.split("\n") if "Scan parquet" in line and "ReadSchema: struct<url:string,html:string>" in line]
+    assert len(scans) == 1 and text.count("regexp_extract_all(html") == 1
 
 
 def test_page_bounds_keep_the_hits_in_place(spark, sf_dir):

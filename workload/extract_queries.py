@@ -12,7 +12,8 @@ from skuloom.functions.fields import availability, first_sku, identifier, image_
 from skuloom.functions.prices import nested_prices, scalar_price
 from skuloom.operators import extract as ex
 from skuloom.operators import validate as va
-from skuloom.sources import readers
+from skuloom.session import scratch_path
+from skuloom.sources import page_table, readers
 from workload.registry import query, table
 from workload.standins import FAMILY_SQL, extracted, product_pages
 
@@ -165,24 +166,39 @@ def x14(spark, sf_dir):
     return good(spark, sf_dir).groupBy("currency").agg(F.count("*").alias("product_rows"))
 
 
-@query(
-    "j1_pages_to_listings",
-    """
+PAGES_SQL = """
 SELECT 'u' || l_partkey AS product_url, count(*) AS listings, max(p_name) AS html
 FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 2) ON l_partkey = p_partkey
-GROUP BY 1""",
-)
-def j1(spark, sf_dir):
+GROUP BY 1"""
+
+
+def listed_and_pages(spark, sf_dir):
     url = F.concat(F.lit("u"), F.col("l_partkey").cast("string"))
-    listings = table(spark, sf_dir, "lineitem").select(url.alias("product_url"))
+    lines = table(spark, sf_dir, "lineitem")
+    listings = lines.select(url.alias("product_url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("attempt"))
     pages = table(spark, sf_dir, "part").filter("p_size > 2").select(
         F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_name").alias("html")
     )
-    return ex.attach_pages(listings, pages).groupBy("product_url").agg(
+    return listings, pages
+
+
+@query("j1_pages_to_listings", PAGES_SQL)
+def j1(spark, sf_dir):
+    listings, pages = listed_and_pages(spark, sf_dir)
+    return ex.attach_pages(listings.drop("attempt"), pages).groupBy("product_url").agg(
         F.count("*").alias("listings"), F.max("html").alias("html")
     )
 
 
+@query("j1_page_table", PAGES_SQL)
+def j1_table(spark, sf_dir):
+    """Pages stored by URL; the listings of each URL come to them as one array."""
+    listings, pages = listed_and_pages(spark, sf_dir)
+    stored = page_table.write_pages(pages, scratch_path(spark, "page-table"), 8)
+    joined = ex.attach_listings(ex.listings_of(listings), stored)
+    return joined.select("product_url", F.size("listings").cast("long").alias("listings"), "html")
+
+
 @query(
     "s9_page_failures",
     FAMILY_SQL
