@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,9 @@ PAST_END, PAST_START = 1, 3
 # pieces a process remembers, and how long they may be; both bound memory only
 KNOWN_PIECES, KNOWN_LENGTH = 300_000, 48
 KNOWN_PAIRS = 1_000_000
+# a token and its number of bytes in one number
+_SIZE_BITS = 12
+_SIZES = (1 << _SIZE_BITS) - 1
 
 
 @functools.lru_cache(maxsize=1)
@@ -99,6 +103,8 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        if self.longest > _SIZES:
+            raise ValueError(f"tokens may have {_SIZES} bytes at most")
         newer = newer_characters()
         older = PATTERN.replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]").replace(r"\p{N}", rf"[\p{{N}}--[{newer}]]")
         self.exact = regex.compile(older if newer else PATTERN, regex.V1)
@@ -109,8 +115,8 @@ class Vocabulary:
         self.made = {rank: -1 if size == 1 else rank for rank, size in self.sizes.items()}
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.ends = ahocorasick.Automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.ends = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.pairs: dict[int, bool] = {}
         for rank in sorted(self.tokens):
             token = self.tokens[rank]
             if len(token) > 1:
@@ -119,7 +125,7 @@ class Vocabulary:
                     continue
                 self.parts[rank] = parts
                 self.merged[parts] = rank
-            self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.ends.add_word(token.decode("latin-1"), rank << _SIZE_BITS | len(token))
         self.ends.make_automaton()
         self.known: dict[str, array] = {}
         self.older: dict[str, array] = {}
@@ -138,22 +144,28 @@ class Vocabulary:
     def _border_holds(self, left: int, right: int) -> bool:
         """Undo the merges along the border, the last one first, and look at each pair that met
         there: had it a merge that was due earlier, the border would not be there."""
-        due = None  # merges before this one would have been made
+        merged, made, parts = self.merged, self.made, self.parts
+        merge = merged.get((left, right))
+        if merge is not None:
+            return False
+        made_left, made_right = made[left], made[right]
         while True:
-            merge = self.merged.get((left, right))
-            if merge is not None and (due is None or merge < due):
-                return False
-            if self.made[left] > self.made[right]:
+            if made_left > made_right:
                 due = left  # on a tie, the pair further left went first
-                left = self.parts[left][1]
-            elif self.made[right] >= 0:
+                left = parts[left][1]
+                made_left = made[left]
+            elif made_right >= 0:
                 due = right + 1  # on a tie, the pair across the border would have gone first
-                right = self.parts[right][0]
+                right = parts[right][0]
+                made_right = made[right]
             else:
                 return True
+            merge = merged.get((left, right))
+            if merge is not None and merge < due:
+                return False
 
     def compatible(self, left: int, right: int) -> bool:
-        pair = (left, right)
+        pair = left << 32 | right
         found = self.pairs.get(pair)
         if found is None:
             if len(self.pairs) >= KNOWN_PAIRS:
@@ -169,30 +181,31 @@ class Vocabulary:
 
     def last_tokens(self, data: bytes) -> array:
         """Last token of every prefix of the piece ``data``."""
-        last = array("i")
-        pairs = self.pairs
-        for at, (token, size) in self.ends.iter(data.decode("latin-1")):
-            if at < len(last):
-                continue
-            before = at - size
-            if before < 0:
-                last.append(token)
+        # the loop that most of the time goes to: no calls where a pair is known
+        last, done, pairs = [], 0, self.pairs
+        for at, found in self.ends.iter(data.decode("latin-1")):
+            if at < done:
                 continue
-            pair = (last[before], token)
-            fits = pairs.get(pair)
-            if fits if fits is not None else self.compatible(*pair):
+            token, before = found >> _SIZE_BITS, at - (found & _SIZES)
+            fits = True
+            if before >= 0:
+                fits = pairs.get(last[before] << 32 | token)
+                if fits is None:
+                    fits = self.compatible(last[before], token)
+            if fits:
                 last.append(token)
-        return last
+                done += 1
+        return array("i", last)
 
     def extend(self, last: array, data: bytes) -> Iterator[int]:
         """Append the last tokens that are missing, yielding each position as it is done."""
         base = max(0, len(last) - self.longest + 1)
         compatible = self.compatible
-        for at, (token, size) in self.ends.iter(data[base:].decode("latin-1")):
+        for at, found in self.ends.iter(data[base:].decode("latin-1")):
             at += base
             if at < len(last):
                 continue
-            before = at + 1 - size
+            token, before = found >> _SIZE_BITS, at + 1 - (found & _SIZES)
             if before == 0 or compatible(last[before - 1], token):
                 last.append(token)
                 yield at
@@ -231,6 +244,23 @@ class Vocabulary:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    @functools.cached_property
+    def by_rank(self) -> pa.Array:
+        return pa.array([self.tokens.get(r) for r in range(max(self.tokens) + 1)], pa.binary())
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids."""
+        try:
+            found = self.by_rank.take(lists.flatten())
+        except pa.ArrowIndexError as error:
+            raise KeyError("an id is not in the vocabulary") from error
+        if found.null_count:
+            raise KeyError("an id is null or not in the vocabulary")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0)
+        offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]).astype(np.int32)
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), found), b"")
+        return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary()))
+
 
 @functools.lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -372,13 +402,7 @@ def decode(encoded: DataFrame, path: str, ids_column: str = "tokens", result: st
     vocabulary lacks, and null elements, end the job with a KeyError."""
 
     def make():
-        words = vocabulary(path)
-
-        def bytes_of(column):
-            ids = [None if v is None else words.decode(v) for v in column.to_pylist()]
-            return pa.array(ids, type=pa.binary())
-
-        return bytes_of
+        return vocabulary(path).decode_lists
 
     return _with_column(encoded, ids_column, result, T.BinaryType(), make)
 

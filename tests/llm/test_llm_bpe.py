@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from llm_samples import empty, hostile
@@ -130,6 +131,14 @@ def test_tables_with_everything(spark, library):
     assert bpe.decode(bpe.encode(empty(spark), PATH), PATH).count() == 0
 
 
+def test_decoding_odd_lists(spark, words):
+    rows = spark.createDataFrame([(1, [31373, 995]), (2, []), (3, None)], "id int, tokens array<int>")
+    assert [r.decoded for r in bpe.decode(rows, PATH).collect()] == [b"hello world", b"", None]
+    for bad in ([10**8], [None], [-1]):
+        with pytest.raises(KeyError):
+            words.decode_lists(pa.array([bad], pa.list_(pa.int32())))
+
+
 def test_stores_that_change(spark, library):
     docs = spark.createDataFrame(
         [(1, "I'"), (2, "hello  "), (3, None), (4, "same"), (None, "no id"), (5, "x" * 20_000), (4, "same")],
