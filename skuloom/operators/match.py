@@ -9,7 +9,8 @@ of its feature. However many copies a feature has, it is joined once.
 Features are joined in descending score bands. A feature whose list can serve
 all its products leaves the search, since lower bands cannot improve it. Within
 a band, pairs come from an equi-join on rare-first tag prefixes, with a separate
-bound for each combination of equal leaf and equal brand. Pairs that share no
+bound for each combination of equal leaf and equal brand. Where very many features have a prefix tag, pairs
+have to share a second tag, or be small enough for one. Pairs that share no
 tag have one of four known scores; for them short lists per leaf and brand are
 enough, and no pairs are formed.
 """
@@ -33,8 +34,11 @@ _ROUNDING = 0.00005
 _STEP = 0.0001
 # Scores are searched from the top; these are only the intermediate stops.
 _STOPS = (0.7, 0.55)
-# Index rows of one join key that a single task compares with.
+# Index rows of one join key that a single task compares with; a tag that more features have in a
+# lane is crowded and needs a second shared tag.
 _CHUNK = 2_000
+# sizes of tag sets that can do with one shared tag, at most; else such sets are not split by size
+_SOLO_SIZES = 16
 # chunks of the index for one part of the probes
 _PROBE_SHARE = 4
 
@@ -187,6 +191,9 @@ class _Search:
                     (i + 1).alias("pos"),
                     # twice the shared tags a pair needs, per tag of both sets
                     F.lit(2 * bound / (1 + bound)).alias("ratio"),
+                    needed.alias("needed"),
+                    # tags of both sets that a pair with one shared tag may have
+                    F.lit(int(1 / bound + 1e-6) if bound > 1 / _SOLO_SIZES else None).cast("int").alias("widest"),
                     (F.lit(None).cast("string") if lane.leaf else own_leaf).alias("other_leaf"),
                     (F.lit(None).cast("string") if lane.brand else F.col("brand_key")).alias(
                         "other_brand"
@@ -202,17 +209,64 @@ class _Search:
         keyed = features.withColumn("key", F.explode(F.concat(*parts)))
         return keyed.select("*", "key.*", size.alias("n")).drop("key")
 
-    def _tag_candidates(self, probes: DataFrame, low: float, high: float) -> DataFrame:
-        """Candidates of the probes that share a tag and score in [low, high)."""
-        key = ["lane", "lane_leaf", "lane_brand", "tag"]
-        index = self._signatures(self.features, low).select(
+    def _keyed(self, features: DataFrame, low: float, crowded: DataFrame, probing: bool) -> DataFrame:
+        """Signatures with a join key: one tag, or, where that is crowded, more than one tag.
+
+        Two features whose first shared tag is crowded meet by their first two shared tags: with
+        ``needed`` shared tags, the second of them is among the first ``size - needed + 2``. If
+        they share that tag alone (``solo``), both sets must be small for their similarity, and they meet by
+        their sizes. So features that share a crowded tag and nothing else do not meet, unless that
+        one tag is enough.
+        """
+        rows = self._signatures(features, low).join(crowded, ["lane", "lane_leaf", "lane_brand", "tag"], "left")
+
+        def key(tag2: Column, last: Column, held: int, solo: bool, sizes: Column) -> Column:
+            return F.struct(
+                tag2.alias("tag2"), last.cast("int").alias("last"), F.lit(held).alias("held"),
+                F.lit(solo).alias("solo"), sizes.alias("sizes"),
+            )
+
+        none, pos = F.lit(""), F.col("pos")
+        reach = F.greatest(F.col("n") - F.col("needed") + 2 - pos, F.lit(0))
+        pairs = F.transform(
+            F.slice("tags", pos + 1, reach), lambda tag, i: key(tag, pos + i + 1, 2, False, none)
+        )
+        most = F.col("widest") - F.col("n") + 1
+        both = lambda m: (F.col("n"), m) if probing else (m, F.col("n"))
+        solo = (
+            F.when(F.col("widest").isNull(), F.array(key(none, pos, 1, True, none)))
+            .when(
+                most >= 1,
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(most, F.lit(1))),
+                    lambda m: key(none, pos, 1, True, F.concat_ws("x", *[c.cast("string") for c in both(m)])),
+                ),
+            )
+            .otherwise(F.slice(F.array(key(none, pos, 1, True, none)), 1, 0))
+        )
+        one = F.array(key(none, pos, 1, False, none))
+        keys = F.when(F.col("crowded"), F.concat(pairs, solo)).otherwise(one)
+        return rows.withColumn("key", F.explode(keys)).select("*", "key.*").drop("key", "crowded", "needed", "widest")
+
+    def _tag_pairs(self, probes: DataFrame, low: float) -> DataFrame:
+        """Probes and index rows that meet at a join key."""
+        crowded = (
+            self._signatures(self.features.drop("items"), low)
+            .groupBy("lane", "lane_leaf", "lane_brand", "tag")
+            .agg(F.count("*").alias("n"))
+            .filter(F.col("n") > _CHUNK)
+            .select("lane", "lane_leaf", "lane_brand", "tag", F.lit(True).alias("crowded"))
+        )
+        crowded = materialize(crowded, "crowded-tags")
+        key = ["lane", "lane_leaf", "lane_brand", "tag", "tag2", "sizes"]
+        index = self._keyed(self.features, low, crowded, False).select(
             *key, F.col("fid").alias("g_fid"), F.col("tags").alias("g_tags"),
             F.col("leaf").alias("g_leaf"), F.col("brand_key").alias("g_brand"),
-            F.col("pos").alias("g_pos"), F.col("bits").alias("g_bits"), F.col("n").alias("g_n"), "items",
+            F.col("pos").alias("g_pos"), F.col("last").alias("g_last"), F.col("bits").alias("g_bits"), F.col("n").alias("g_n"), "items",
         )
         # Hot keys: a grid of index chunks and probe parts.
         hot = (
-            self._signatures(self.features.drop("items"), low)
+            self._keyed(self.features.drop("items"), low, crowded, False)
             .groupBy(*key)
             .agg(F.ceil(F.count("*") / F.lit(_CHUNK)).cast("int").alias("chunks"))
             .filter(F.col("chunks") > 1)
@@ -227,7 +281,7 @@ class _Search:
             .drop("chunks")
         )
         sought = (
-            self._signatures(probes.drop("items"), low)
+            self._keyed(probes.drop("items"), low, crowded, True)
             .join(hot, key, "left")
             .withColumn("part", F.pmod(F.hash("fid", F.lit("part")), parts))
             .withColumn(
@@ -237,19 +291,24 @@ class _Search:
         )
         # The work of a pair join is not in proportion to its bytes: keep all tasks.
         place = [*key, "chunk", "part"]
-        pairs = sought.repartition(self.tasks, *place).join(
+        return sought.repartition(self.tasks, *place).join(
             index.repartition(self.tasks, *place), place
         )
+
+    def _tag_candidates(self, probes: DataFrame, low: float, high: float) -> DataFrame:
+        """Candidates of the probes that share a tag and score in [low, high)."""
+        pairs = self._tag_pairs(probes, low)
         # The join condition is evaluated for every pair of a key, so it is kept
         # small enough for the JIT compiler: upper bounds of the shared tags from
         # the sketches and from the place of the first shared tag, then the lane.
         tags_of_both = F.col("n") + F.col("g_n")
         twice_needed = F.col("ratio") * tags_of_both - F.lit(1e-6)
         differing = F.bit_count(F.col("bits").bitwiseXOR(F.col("g_bits")))
-        rest = F.least(F.col("n") - F.col("pos"), F.col("g_n") - F.col("g_pos"))
+        rest = F.least(F.col("n") - F.col("last"), F.col("g_n") - F.col("g_last"))
+        between = lambda tags, pos, last: F.slice(tags, F.col(pos) + 1, F.greatest(F.col(last) - F.col(pos) - 1, F.lit(0)))
         pairs = pairs.filter(
             (tags_of_both - differing >= twice_needed)
-            & (2 * (rest + 1) >= twice_needed)
+            & (2 * (rest + F.col("held")) >= twice_needed)
             & F.coalesce(F.col("other_leaf") != F.col("g_leaf"), F.lit(True))
             & F.coalesce(F.col("other_brand") != F.col("g_brand"), F.lit(True))
             & (F.col("fid") != F.col("g_fid"))
@@ -257,6 +316,7 @@ class _Search:
                 F.slice("tags", F.lit(1), F.col("pos") - 1),
                 F.slice("g_tags", F.lit(1), F.col("g_pos") - 1),
             )
+            & ~F.arrays_overlap(between("tags", "pos", "last"), between("g_tags", "g_pos", "g_last"))
         )
         common = F.size("shared")
         raw = sim.raw_score(
@@ -265,7 +325,7 @@ class _Search:
             F.col("lane").isin([x.number for x in _LANES if x.leaf]),
             F.col("lane").isin([x.number for x in _LANES if x.brand]),
         )
-        in_band = sim.reaches(F.col("raw"), low) & ~sim.reaches(F.col("raw"), high)
+        in_band = sim.reaches(F.col("raw"), low) & ~sim.reaches(F.col("raw"), high) & (~F.col("solo") | (common == 1))
         # Exploding nothing drops a pair after the join, without widening the
         # join condition as a filter would.
         return (

@@ -139,10 +139,53 @@ def test_arguments_are_checked(spark):
     assert similar_products(empty).count() == 0
 
 
-def test_hot_keys_are_chunked_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("seed,k,min_score", [(8, 3, 0.45), (10, 3, 0.36)])
+def test_hot_keys_are_chunked_without_loss(spark, monkeypatch, seed, k, min_score):
     from skuloom.operators import match
 
     monkeypatch.setattr(match, "_CHUNK", 4)
     monkeypatch.setattr(match, "_PROBE_SHARE", 2)
-    products = catalog(8, 100, 0.2)
-    assert matched(spark, products, 3, 0.45) == expected(products, 3, 0.45)
+    products = catalog(seed, 100, 0.2)
+    assert matched(spark, products, k, min_score) == expected(products, k, min_score)
+
+
+def small_sets(seed, n):
+    """Features with one tag in common, and few or no others."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        tags = ["every", *[f"r{rng.randrange(40)}" for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5]))]]
+        tags += [f"own{i}-{j}" for j in range(rng.choice([0, 0, 1, 2]))]
+        rows.append((f"S{i:03}", "n", f"u{i % 70}", rng.choice("AB"), [rng.choice(["p", "q"])], tags))
+    return rows
+
+
+@pytest.mark.parametrize("min_score", [0.45])
+def test_one_crowded_tag_without_loss(spark, monkeypatch, min_score):
+    from skuloom.operators import match
+
+    monkeypatch.setattr(match, "_CHUNK", 6)
+    products = small_sets(3, 110)
+    assert matched(spark, products, 3, min_score) == expected(products, 3, min_score)
+
+
+def test_features_with_one_crowded_tag_in_common_do_not_meet(spark):
+    """50,000 features share a tag; a few share more. Tested pairs stay far below all pairs."""
+    from pyspark.sql import functions as F
+
+    from skuloom.operators import match
+
+    n = 50_000
+    word = lambda s, by=None: F.concat(F.lit(s), (F.col("id") if by is None else F.expr(f"id div {by}")).cast("string"))
+    rows = spark.range(n).select(
+        word("S").alias("sku"), F.lit("n").alias("product_name"), word("u").alias("product_url"), F.lit("B").alias("brand"),
+        F.array(F.lit("leaf")).alias("category_hierarchy"),
+        F.array(F.lit("every"), word("a", 4), word("b"), word("c")).alias("normalized_tags"),
+    )
+    search = match._Search(rows, 3, 0.45)
+    pairs = search._tag_pairs(search.features, 0.45)
+    assert pairs.count() <= 16 * n  # of 1,250 million
+    # groups of four share two of six tags: 0.65 / 3 and the same leaf and brand
+    found = similar_products(rows).select("sku", F.size("alternative_products").alias("n"), "alternative_products.score")
+    scores = found.groupBy("n", "score").count().collect()
+    assert [(r.n, r.score, r["count"]) for r in scores] == [(3, [0.5667] * 3, n)]
