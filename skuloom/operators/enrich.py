@@ -17,6 +17,8 @@ from skuloom.functions.text import (
     squeeze,
     with_evidence_check,
 )
+from skuloom.session import materialize
+from skuloom.sources import state
 
 PACK_SIZE, TAGS = "pack_size", "tags"
 
@@ -112,6 +114,53 @@ def answer_requests(
     return answers.withColumn("seq", F.lit(0).cast("bigint"))
 
 
+def request_ids(requests: DataFrame, version: str) -> DataFrame:
+    """``requests`` with ``request_id``: the hash of kind, input and ``version`` (of the prompt and of the
+    answer's form). The SKU is no part of it: equal questions have one answer."""
+    parts = [F.coalesce(c, F.lit("")) for c in (F.col("kind"), F.lit(version), F.col("input_text"))]
+    return requests.withColumn("request_id", F.sha2(F.concat_ws("\u0000", *parts).cast("binary"), 256))
+
+
+def answer_open_requests(
+    requests: DataFrame,
+    answer: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
+    root: str,
+    *,
+    version: str = "1",
+    parts: int = 1,
+) -> DataFrame:
+    """``sku, kind, payload, seq`` for the requests; ``answer`` sees only what it has not answered yet.
+
+    Answers are kept under ``root`` by request id. The open requests are asked in ``parts`` jobs, each kept
+    when it is done, so a job that is cut short goes on where it was. Equal requests are asked once,
+    in the name of the smallest SKU. A null payload is no answer and is asked for again next time.
+    """
+    spark = requests.sparkSession
+    asked = materialize(request_ids(requests.select("sku", "kind", "input_text"), version), "model-requests")
+    kept = lambda: state.read(spark, root, "answers")
+    missing = asked.join(kept().select("request_id"), "request_id", "left_anti")
+    one = missing.groupBy("request_id").agg(F.min(F.struct("sku", "kind", "input_text")).alias("r"))
+    todo = materialize(one.select("request_id", "r.*"), "open-requests")
+    for part in range(parts):
+        mine = todo if parts == 1 else todo.where(F.pmod(F.xxhash64("request_id"), F.lit(parts)) == part)
+        if mine.isEmpty():
+            continue
+        batch = state.begin_batch(spark, root, "answers")
+        found = answer_requests(mine.select("sku", "kind", "input_text"), answer).where("payload is not null")
+        named = mine.select("request_id", "sku", "kind").join(found.drop("seq"), ["sku", "kind"])
+        state.append(named.select("request_id", "payload"), root, "answers", batch)
+    last = kept().groupBy("request_id").agg(F.max(F.struct("seq", "payload")).alias("a"))
+    return asked.join(last, "request_id").select("sku", "kind", "a.payload", "a.seq")
+
+
+def model_answers(products: DataFrame, answer: Callable, root: str, *, version: str = "1", parts: int = 1) -> DataFrame:
+    """Answers to all requests of the products, the tags asked with the evidence of the pack sizes;
+    what was answered before is not asked again."""
+    ask = lambda requests: answer_open_requests(requests, answer, f"{root}/answers", version=version, parts=parts)
+    sizes = materialize(ask(pack_size_requests(products)), "pack-size-answers")
+    return sizes.unionByName(ask(tag_requests(enrich(products, sizes))))
+
+
 def responses_by_sku(responses: DataFrame) -> DataFrame:
     """One row per SKU with both payloads, so that products are joined once.
 

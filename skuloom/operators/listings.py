@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,17 +131,23 @@ def with_family_url(hits: DataFrame) -> DataFrame:
     )
 
 
-def in_category(level_columns: dict[int, str]) -> Column:
-    """Facet predicate: the hit's category at the configured level is the path.
+def in_category(hits: DataFrame, level_columns: dict[int, str]) -> Column:
+    """Facet predicate over ``hits``: the hit's category at the configured level is the path, or, in
+    a column of lists, one of the list is.
 
-    A scalar column keeps the comparison pushable; a list column is searched.
+    Needs the columns ``category_level`` and ``category_path``. There is one branch per level, so
+    that with a fixed level and path the comparison with a scalar column reaches the scan as a
+    filter. Missing values and missing elements equal nothing.
     """
-    matched = F.lit(False)
-    for level, column in level_columns.items():
-        matched = F.when(
-            F.col("category_level") == level, F.col(column) == F.col("category_path")
-        ).otherwise(matched)
-    return matched
+    level, path = F.col("category_level"), F.col("category_path")
+
+    def holds(column: str) -> Column:
+        if hits.schema[column].dataType.typeName() == "array":
+            return F.coalesce(F.array_contains(F.col(column), path), F.lit(False))
+        return F.col(column) == path
+
+    branches = [(level == number) & holds(column) for number, column in level_columns.items()]
+    return reduce(lambda a, b: a | b, branches, F.lit(False))
 
 
 def attach_category(hits: DataFrame, configs: DataFrame) -> DataFrame:

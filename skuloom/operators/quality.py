@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skuloom.functions import loose_json as lj
+from skuloom.session import materialize
 
 
-def products_per_family(products: DataFrame) -> DataFrame:
-    return products.groupBy("product_url").agg(F.count("*").alias("products"))
+def products_per_family(products: DataFrame, *keys: str) -> DataFrame:
+    """Products of every family, per key group."""
+    return products.groupBy(*keys, "product_url").agg(F.count("*").alias("products"))
 
 
 def _present(df: DataFrame, name: str) -> Column:
@@ -35,11 +35,12 @@ def field_coverage(products: DataFrame, *keys: str, fields: list[str] | None = N
     )
 
 
-def duplicate_sku_rate(products: DataFrame) -> DataFrame:
-    """Rows beyond the first of their SKU, as a share of all rows."""
+def duplicate_sku_rate(products: DataFrame, *keys: str) -> DataFrame:
+    """Rows beyond the first of their SKU, as a share of all rows, per key group."""
     return (
-        products.groupBy("sku")
+        products.groupBy(*keys, "sku")
         .agg(F.count("*").alias("n"))
+        .groupBy(*keys)
         .agg(
             F.sum("n").alias("products"),
             F.count("*").alias("skus"),
@@ -49,55 +50,79 @@ def duplicate_sku_rate(products: DataFrame) -> DataFrame:
 
 
 QUARTERS = (0.25, 0.5, 0.75)
-# ranges of prices that are counted before single prices are
-PRICE_RANGES = 1024
+# ranges that the prices of a range are cut into, and how exactly their borders are chosen
+RANGES, ACCURACY = 64, 10_000
+# distinct prices that one task may sort
+RANGE_PRICES = 200_000
 
 
 def price_distribution(products: DataFrame, *keys: str) -> DataFrame:
     """Number, least, greatest and exact quartiles of the prices per key group.
 
-    A quartile is the price at rank ceil(share * n). Prices are counted first, then the counts
-    are summed along ranges of the price and inside the one range that holds the rank, so no
-    task sorts the prices of a whole group.
+    A quartile is the price at rank ceil(share * n). Distinct prices are counted first. While a
+    range of them is too large for one task, it is cut at borders chosen from its own prices (so
+    far-off prices do no harm), the counts of the parts are summed up, and only the parts that
+    hold a wanted rank stay. What stays at last is ranked price by price.
     """
-    priced = products.filter(F.col("price").isNotNull())
-    counts = priced.groupBy(*keys, "price").agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(*keys).agg(
-        F.sum("n").alias("priced"), F.min("price").alias("least"), F.max("price").alias("greatest")
+    group = (F.struct(*keys) if keys else F.lit(0)).alias("g")
+    priced = products.filter(F.col("price").isNotNull()).select(group, F.col("price").cast("double").alias("price"))
+    counts = priced.groupBy("g", "price").agg(F.count("*").alias("n"))
+    # part: the range a price is in; before: prices of the group below it; priced: all of the group
+    open_ = materialize(
+        counts.withColumns({"part": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "priced": F.lit(None).cast("long")}),
+        "price-counts",
+    )
+    whole = Window.partitionBy("g", "part")
+
+    def holds_rank(n: Column) -> Column:
+        ranks = F.array(*[F.ceil(F.col("priced") * F.lit(q)) for q in QUARTERS])
+        return F.exists(ranks, lambda r: (r > F.col("before")) & (r <= F.col("before") + n))
+
+    while True:
+        shares = [i / RANGES for i in range(1, RANGES)]
+        ranges = open_.groupBy("g", "part").agg(
+            F.percentile_approx("price", shares, ACCURACY).alias("borders"), F.count("*").alias("size")
+        )
+        ranges = materialize(ranges, "price-ranges")
+        if (ranges.agg(F.max("size")).first()[0] or 0) <= RANGE_PRICES:
+            break
+        place = F.size(F.filter("borders", lambda b: b < F.col("price")))
+        cut = open_.join(ranges.drop("size"), ["g", "part"]).withColumn("sub", place).drop("borders")
+        parts = cut.groupBy("g", "part", "sub").agg(
+            F.sum("n").alias("m"), F.max("before").alias("start"), F.max("priced").alias("known")
+        )
+        earlier = whole.orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+        kept = parts.select(
+            "g", "part", "sub", "m",
+            (F.col("start") + F.coalesce(F.sum("m").over(earlier), F.lit(0))).alias("before"),
+            # at first there is one range only, so its sum is that of the group
+            F.coalesce("known", F.sum("m").over(whole)).alias("priced"),
+        ).filter(holds_rank(F.col("m")))
+        next_ = cut.select("g", "part", "sub", "price", "n").join(kept.drop("m"), ["g", "part", "sub"])
+        part = (F.col("part") * RANGES + F.col("sub")).alias("part")
+        open_ = materialize(next_.select("g", "price", "n", part, "before", "priced"), "price-counts")
+    ranked = open_.withColumns(
+        {
+            "upto": F.col("before") + F.sum("n").over(whole.orderBy("price").rowsBetween(Window.unboundedPreceding, 0)),
+            "priced": F.coalesce("priced", F.sum("n").over(whole)),
+        }
     )
-    same = lambda left, right: [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys] or [F.lit(True)]
-    every = lambda conditions: reduce(lambda a, b: a & b, conditions)
-    width = (F.col("b.greatest") - F.col("b.least")) / PRICE_RANGES
-    part = F.when(width > 0, F.floor((F.col("c.price") - F.col("b.least")) / width)).otherwise(0)
-    placed = counts.alias("c").join(bounds.alias("b"), every(same("c", "b"))).select(
-        *[F.col(f"c.{k}").alias(k) for k in keys], F.col("c.price").alias("price"), F.col("c.n").alias("n"),
-        F.col("b.priced").alias("priced"), part.alias("part"),
-    )
-    ranges = placed.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.max("priced").alias("priced"))
-    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-    ranks = F.array(*[F.ceil(F.col("priced") * F.lit(q)) for q in QUARTERS])
-    ranges = ranges.withColumn("before", before).withColumn(
-        "ranks", F.filter(ranks, lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("n")))
-    ).filter(F.size("ranks") > 0).select(*keys, "part", "before")
-    inside = Window.partitionBy(*keys, "part").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.alias("p").join(
-        ranges.alias("r"), every([*same("p", "r"), F.col("p.part") == F.col("r.part")])
-    ).select(
-        *[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.part").alias("part"), F.col("p.price").alias("price"),
-        F.col("p.n").alias("n"), F.col("p.priced").alias("priced"), F.col("r.before").alias("before"),
-    )
-    found = found.withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    quartiles = found.groupBy(*keys).agg(
+    quartiles = ranked.groupBy("g").agg(
         F.array(*[F.min(F.when(F.col("upto") >= F.ceil(F.col("priced") * F.lit(q)), F.col("price"))) for q in QUARTERS]).alias("quartiles")
     )
-    groups = products.groupBy(*keys).agg(F.count("price").alias("priced"), F.min("price").alias("least"), F.max("price").alias("greatest"))
-    joined = groups.alias("g").join(quartiles.alias("q"), every(same("g", "q")), "left")
-    return joined.select(*[F.col(f"g.{k}").alias(k) for k in keys], "priced", "least", "quartiles", "greatest")
+    # a union, so that also without keys nothing is joined with a single row
+    groups = products.select(group, "price").groupBy("g").agg(
+        F.count("price").alias("priced"), F.min("price").alias("least"), F.max("price").alias("greatest")
+    )
+    both = groups.withColumn("quartiles", F.lit(None).cast("array<double>")).unionByName(quartiles, allowMissingColumns=True)
+    names = ("priced", "least", "quartiles", "greatest")
+    found = both.groupBy("g").agg(*[F.max(n).alias(n) for n in names])
+    return found.select(*[F.col(f"g.{k}").alias(k) for k in keys], *names)
 
 
-def availability_distribution(products: DataFrame) -> DataFrame:
-    return products.groupBy("availability").agg(F.count("*").alias("products"))
+def availability_distribution(products: DataFrame, *keys: str) -> DataFrame:
+    """Products of every availability, per key group."""
+    return products.groupBy(*keys, "availability").agg(F.count("*").alias("products"))
 
 
 def count_change(current: DataFrame, previous: DataFrame, *keys: str) -> DataFrame:

@@ -14,9 +14,9 @@ from skuloom.operators import listings as li
 from skuloom.operators import validate as va
 from skuloom.operators.dedup import run_summary
 from skuloom.operators.match import similar_products
-from skuloom.schemas import PRODUCT_COLUMNS
+from skuloom.schemas import PARSER_VERSION, PRODUCT_COLUMNS
 from skuloom.session import materialize, prepare, scratch_scope
-from skuloom.sources import state
+from skuloom.sources import ledger, state
 from skuloom.sources.export import write_csv, write_json
 
 SUMMARY = (
@@ -91,7 +91,9 @@ def save_batch(
     if other_failures is not None:
         failures = failures.unionByName(other_failures)
     tables = {
-        "products": rows.select(*PRODUCT_COLUMNS, "place", "ordinal"),
+        "products": rows.select(
+            *PRODUCT_COLUMNS, "place", "ordinal", F.lit(PARSER_VERSION).alias("parser_version")
+        ),
         "failures": failures,
         "completed": ex.good_rows(extracted).select(F.col("product_url").alias("url")).distinct(),
     }
@@ -124,6 +126,7 @@ def run(
     responses: DataFrame,
     pages: DataFrame,
     model_responses: DataFrame | None = None,
+    model: Callable | None = None,
     stage: Stage | None = None,
     mode: str = "auto",
     limit_per_category: int | None = None,
@@ -134,7 +137,9 @@ def run(
 ) -> DataFrame:
     """Build or extend the catalog under ``root``; returns the run summary row.
 
-    Leaves state, exports and the summary there; its own intermediate results are deleted.
+    Leaves state, exports, the summary and the run's metrics (``sources.ledger``) there; its own
+    intermediate results are deleted. With a ``model`` (see ``enrich.answer_requests``) the products
+    of the run are enriched by its answers, of which those given before are kept.
     """
     prepare(spark)
     with scratch_scope(spark):
@@ -147,6 +152,11 @@ def run(
             "families",
         )
         extracted = extract_families(families, pages, source=source, scraped_at=scraped_at)
+        if model is not None:
+            good = va.accepted(va.check_required(ex.good_rows(extracted)))
+            asked = materialize(good if stage is None else good.transform(stage), "asked-products")
+            answers = en.model_answers(asked, model, root)
+            model_responses = answers if model_responses is None else model_responses.unionByName(answers)
         save_batch(
             extracted,
             root,
@@ -168,4 +178,9 @@ def run(
             "summary",
         )
         summary.coalesce(1).write.mode("overwrite").json(f"{root}/summary")
+        latest = state.latest_products(spark, root, "parser_version")
+        own = state.read(spark, root, "failures").filter(F.col("seq") == batch.seq)
+        ledger.record(
+            spark, root, ledger.product_metrics(latest).unionByName(ledger.run_metrics(summary, own))
+        )
     return spark.read.schema(SUMMARY).json(f"{root}/summary")

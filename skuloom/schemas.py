@@ -45,3 +45,12 @@ PRODUCT_COLUMNS = [column.split()[0] for column in PRODUCT.split(", ")]
 FAILURE = "url string, stage string, error string"
 
 COMPLETED = "url string"
+
+# Version of the rules that read pages; to be raised when they change, as metrics are kept by it.
+PARSER_VERSION = "1"
+
+# metrics of a run: one value, of a category and parser version or of the whole run
+METRIC = "metric string, category string, parser_version string, value double, at timestamp"
+
+# an answer of a model, kept by what was asked
+ANSWER = "request_id string, payload string"

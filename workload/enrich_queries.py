@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuloom import schemas
 from skuloom.functions import text as tx
 from skuloom.operators import enrich as en
-from skuloom.session import scratch_path
+from skuloom.session import materialize, scratch_path
 from skuloom.sources import readers
 from workload.registry import query, table
 
@@ -369,6 +371,30 @@ def f1(spark, sf_dir):
     )
 
 
+@query(
+    "f1_resumed_model",
+    """
+SELECT 'P' || p_partkey AS sku, 'tags' AS kind, 'thing|' || lower(p_name) AS tags, CAST(p_partkey % 2 AS BIGINT) AS run FROM part""",
+)
+def f1_resumed(spark, sf_dir):
+    """Odd products are asked about in a second run, together with the even ones of the first, which
+    are not asked again; ``run`` tells the run of the answer."""
+    number = F.regexp_extract("sku", "([0-9]+)", 1).cast("long")
+    items = products(spark, sf_dir).withColumn("description", F.col("sku"))  # no two requests are equal
+    root = scratch_path(spark, "answers")
+
+    def answer(batches):
+        for batch in batches:
+            names = batch["input_text"].map(lambda text: json.loads(text)["variant"])
+            yield batch.assign(payload=[json.dumps({"product_type": "Thing", "attributes": [n]}) for n in names])[["sku", "kind", "payload"]]
+
+    en.answer_open_requests(en.tag_requests(items.filter(number % 2 == 0)), answer, root)
+    answers = materialize(en.answer_open_requests(en.tag_requests(items), answer, root, parts=2), "answers")
+    tags = en.enrich(items, answers).select("sku", F.array_join("normalized_tags", "|").alias("tags"))
+    run = F.when(F.col("seq") == 0, 0).otherwise(1).cast("long").alias("run")
+    return answers.select("sku", "kind", run).join(tags, "sku").select("sku", "kind", "tags", "run")
+
+
 @query(
     "f2_composed_stages",
     "SELECT 'P' || p_partkey AS sku, upper(p_brand) AS brand FROM part WHERE p_size <= 45",

@@ -125,12 +125,26 @@ def p2(spark, sf_dir):
 )
 def p3(spark, sf_dir):
     config = {"category_level": F.lit(1), "category_path": F.lit("R")}
-    return (
-        table(spark, sf_dir, "lineitem")
-        .withColumns(config)
-        .filter(li.in_category({0: "l_linestatus", 1: "l_returnflag"}))
-        .select("l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").withColumns(config)
+    return lines.filter(li.in_category(lines, {0: "l_linestatus", 1: "l_returnflag"})).select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "p3_list_facet",
+    """
+SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE (l_linenumber % 2 = 0 AND l_returnflag = 'R') OR (l_linenumber % 2 = 1 AND 'F' IN (l_returnflag, l_linestatus))""",
+)
+def p3_list(spark, sf_dir):
+    """A category of its own for each line: at level 0 one value, at level 1 a list of them."""
+    lines = table(spark, sf_dir, "lineitem").withColumns(
+        {
+            "flags": F.array("l_returnflag", F.lit(None).cast("string"), "l_linestatus"),
+            "category_level": F.col("l_linenumber") % 2,
+            "category_path": F.when(F.col("l_linenumber") % 2 == 0, "R").otherwise("F"),
+        }
     )
+    return lines.filter(li.in_category(lines, {0: "l_returnflag", 1: "flags"})).select("l_orderkey", "l_linenumber")
 
 
 def category_pages(spark, sf_dir):

@@ -11,7 +11,7 @@ from skuloom.operators.dedup import latest_per_key, run_summary
 from skuloom.operators.validate import check_required, rejected
 from skuloom.plans import catalog
 from skuloom.session import materialize, scratch_path
-from skuloom.sources import readers, state
+from skuloom.sources import ledger, readers, state
 from skuloom.sources.export import SIDE_COLUMNS, export_view, nested_as_json, write_csv, write_json
 from skuloom.streaming.incremental import page_stream, process_new_pages, save_pages
 from workload.enrich_queries import products
@@ -470,6 +470,91 @@ def q5b(spark, sf_dir):
     )
 
 
+@query(
+    "q1_products_per_family_by_brand",
+    "SELECT p_brand AS brand, 'u' || (p_partkey // 4) AS product_url, count(*) AS products FROM part GROUP BY 1, 2",
+)
+def q1_keyed(spark, sf_dir):
+    url = F.concat(F.lit("u"), F.expr("p_partkey div 4").cast("string"))
+    rows = table(spark, sf_dir, "part").select(url.alias("product_url"), F.col("p_brand").alias("brand"))
+    return qu.products_per_family(rows, "brand")
+
+
+@query(
+    "q4_duplicate_sku_rate_by_flag",
+    """
+SELECT l_returnflag AS flag, count(*) AS products, count(DISTINCT l_partkey) AS skus,
+       round((count(*) - count(DISTINCT l_partkey)) / count(*)::DOUBLE, 9) AS duplicate_rate FROM lineitem GROUP BY 1""",
+)
+def q4_keyed(spark, sf_dir):
+    skus = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("sku"), F.col("l_returnflag").alias("flag"))
+    return qu.duplicate_sku_rate(skus, "flag").withColumn("duplicate_rate", F.round("duplicate_rate", 9))
+
+
+@query(
+    "q5_price_distribution_with_outliers",
+    """
+WITH lines AS (SELECT l_linestatus AS status, CASE WHEN l_orderkey % 1000 = 1 THEN 1e12 ELSE l_extendedprice END AS price FROM lineitem)
+SELECT status, count(*) AS priced, min(price) AS least, max(price) AS greatest,
+       list_sort(list(price))[CAST(ceil(count(*) * 0.25) AS INTEGER)] AS lower,
+       list_sort(list(price))[CAST(ceil(count(*) * 0.5) AS INTEGER)] AS middle,
+       list_sort(list(price))[CAST(ceil(count(*) * 0.75) AS INTEGER)] AS upper
+FROM lines GROUP BY 1""",
+)
+def q5_outliers(spark, sf_dir):
+    price = F.when(F.col("l_orderkey") % 1000 == 1, 1e12).otherwise(F.col("l_extendedprice"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), price.alias("price"))
+    found = qu.price_distribution(lines, "status")
+    return found.select(
+        "status", "priced", "least", "greatest",
+        *[F.element_at("quartiles", i).alias(n) for i, n in enumerate(("lower", "middle", "upper"), 1)],
+    )
+
+
+@query(
+    "q5_availability_by_priority",
+    "SELECT o_orderpriority AS priority, o_orderstatus AS availability, count(*) AS products FROM orders GROUP BY 1, 2",
+)
+def q5b_keyed(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("availability"), F.col("o_orderpriority").alias("priority"))
+    return qu.availability_distribution(rows, "priority")
+
+
+LEDGER_SQL = """
+WITH item AS (SELECT p_type AS category, CASE WHEN p_size > 20 THEN '2' ELSE '1' END AS parser_version, p_size FROM part)
+SELECT category, parser_version, CAST(count(*) AS DOUBLE) AS current_value,
+       CAST(count(*) FILTER (p_size > 45 OR p_size <= 3) AS DOUBLE) AS previous_value,
+       CAST(count(*) - count(*) FILTER (p_size > 45 OR p_size <= 3) AS DOUBLE) AS change
+FROM item GROUP BY 1, 2"""
+
+
+@query("q6_change_from_the_ledger", LEDGER_SQL)
+def q6_ledger(spark, sf_dir):
+    """Two runs are recorded; the change of the product counts comes from the ledger alone."""
+    sizes = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("sku"), "p_size")
+    version = F.when(F.col("p_size") > 20, "2").otherwise("1").alias("parser_version")
+    rows = products(spark, sf_dir).join(sizes, "sku").withColumn("parser_version", version)
+    root = scratch_path(spark, "ledger")
+    for some in (rows.filter("p_size > 45 or p_size <= 3"), rows):
+        ledger.record(spark, root, ledger.product_metrics(some))
+    return ledger.change(spark, root)
+
+
+@query(
+    "s13_metrics_of_a_run",
+    """
+SELECT 'products' AS metric, p_type AS category, CAST(count(*) AS DOUBLE) AS value FROM part GROUP BY ALL
+UNION ALL SELECT 'price_middle', p_type, list_sort(list(p_retailprice))[CAST(ceil(count(*) * 0.5) AS INTEGER)] FROM part GROUP BY ALL
+UNION ALL SELECT 'missing_rate:unit_pack_size', p_type, round(avg(CASE WHEN p_size > 45 THEN 0.0::DOUBLE ELSE 1 END), 9) FROM part GROUP BY ALL""",
+)
+def s13_metrics(spark, sf_dir):
+    root = scratch_path(spark, "ledger")
+    rows = products(spark, sf_dir).withColumn("parser_version", F.lit(schemas.PARSER_VERSION))
+    ledger.record(spark, root, ledger.product_metrics(rows))
+    wanted = F.col("metric").isin("products", "price_middle", "missing_rate:unit_pack_size")
+    return ledger.as_of(spark, root).where(wanted).select("metric", "category", F.round("value", 9).alias("value"))
+
+
 @query(
     "q6_count_change",
     """
