@@ -1,17 +1,23 @@
-"""Language-model scores by prediction by partial matching.
-
-A token is predicted by the longest history that knows it, with an escape to the next:
-
-1. the document so far (adaptive): a word counts by its occurrences before; the escape share
-   falls with the share of repeated tokens, and both predictions are added;
-2. the words of the training texts (pretrained), with escape estimation by half counts;
-3. a trie of byte contexts inside words: up to ``ORDER`` bytes back to the space that opens the
-   word, escape estimation by method C, each context without the symbols of the longer context
-   that escaped to it. As in partial matching with update exclusion, the trie learns each word
-   once, and the words known to step 2 are excluded from what it predicts.
-
-The end of a text is the empty word. What 2 and 3 give depends on the word alone, so each
-distinct word is scored once, in parallel, and documents are sums over their words.
+"""Language-model scores by prediction by partial matching over bytes.
+
+A text is a chain of bytes: its words in lower case, a space after each, and one more space for its
+end (the empty word). Every byte is predicted from the ``ORDER`` bytes before it, across words, and,
+if the trie of training contexts has not seen it there, from shorter contexts in turn:
+
+- escape estimation: of each symbol's count in a context, ``DISCOUNT`` is kept back; what is kept
+  back is the chance to escape to the next shorter context;
+- symbol exclusion: a context that is escaped to does not predict the symbols of the longer one;
+- update exclusion: the longest contexts count all occurrences, a shorter one counts a symbol
+  once for each longer context that has it, since only those lead to it;
+- after the empty context, all bytes that training never had are equally likely.
+
+Two modes: pretrained (``score``), with the trie of all training texts, and adaptive
+(``adaptive_scores``), where each document's trie starts empty and learns byte by byte.
+
+The trie is a table of (context and symbol, count) in Spark. A byte's probability depends on its
+context and itself only, so each distinct pair is scored once, by joins with the tables of one order
+after the other, and documents sum over their pairs. Pairs that make up a fixed share of all
+symbols are summed where the text is read; the others are joined.
 """
 
 from __future__ import annotations
@@ -24,345 +30,325 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from skuloom.llm.common import SLICE_ROWS, crc_remainder, lower_words, pick
+from skuloom.llm.common import SLICE_ROWS, append_result, crc_remainder, lower_words, pick, position_of, positions
 from skuloom.session import materialize
 
-# bytes of context, at most 6: with the symbol and their number they fit a 64-bit code
+# bytes of context, at most 6: with the symbol they fit a 64-bit code
 ORDER = 5
-# Contexts that predict less than this share of all training symbols are not kept: at most
-# (ORDER + 1) / SHARE contexts, whatever the size of the corpus. Texts in such contexts are
-# predicted from the shorter one.
-SHARE = 2.0**-22
-# Words of at least this share of all tokens are scored where the text is read (at most
-# 1 / HOT_SHARE words are broadcast); the others are joined with the scored words.
-HOT_SHARE = 2.0**-19
-# distinct words counted in a task before they are handed on
+# kept back from each count for the escape
+DISCOUNT = 0.25
+# Words, and pairs of context and symbol, that are at least this share of all are looked up where
+# the text is read: at most 1 / HOT_WORDS words and 1 / HOT_PAIRS numbers are broadcast, whatever
+# the corpus. The others are joined. The results do not depend on it.
+HOT_WORDS = 2.0**-19
+HOT_PAIRS = 2.0**-22
+# distinct words, and symbols, counted in a task before they are handed on
 FLUSH_WORDS = 500_000
-BATCH_WORDS = 100_000
-# taken from each word's count for the escape to the byte trie
-DISCOUNT = 0.5
-# share of the document's own history in a prediction, at most
-MOST_ADAPTIVE = 0.98
+FLUSH_SYMBOLS = 8_000_000
 
 
 # ---- codes -------------------------------------------------------------------------------
 
 
-def symbol_positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, prefix lengths, word numbers) of every symbol of the words.
+def chain(words: list[bytes], order: int) -> bytes:
+    """The text as bytes, after ``order`` spaces that stand for what was before."""
+    return b" " * order + b" ".join(words) + (b"  " if words else b" ")
+
+
+def pair_codes(text: bytes, order: int) -> np.ndarray:
+    """For each byte of a chain, the bytes of its context and itself as one number."""
+    data = np.frombuffer(text, dtype=np.uint8).astype(np.int64)
+    n = len(data) - order
+    codes = np.zeros(n, dtype=np.int64)
+    for k in range(order + 1):
+        codes = (codes << 8) | data[k : k + n]
+    return codes
+
+
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
-    The prefix length counts the bytes before the symbol, the opening space included.
-    """
-    text = np.frombuffer(b"".join(w + b" " for w in words), dtype=np.uint8).astype(np.uint64)
-    sizes = np.fromiter((len(w) + 1 for w in words), dtype=np.int64, count=len(words))
-    starts = np.cumsum(sizes) - sizes
-    number = np.repeat(np.arange(len(words)), sizes)
-    return text, np.arange(len(text)) - starts[number] + 1, number
-
-
-def contexts(symbols: np.ndarray, prefix: np.ndarray, order: int) -> list[np.ndarray]:
-    """Code of the context of k bytes before each symbol, for k up to ``order``: the bytes, and
-    the number k above them. Valid where the prefix has k bytes."""
-    out = [np.zeros(len(symbols), dtype=np.uint64)]
-    padded = np.concatenate([np.full(order, 32, dtype=np.uint64), symbols])
-    for k in range(1, order + 1):
-        # the byte k places before the symbol; before the first byte of a word stands a space
-        earlier = padded[order - k : order - k + len(symbols)]
-        earlier = np.where(prefix == k, np.uint64(32), earlier)
-        out.append(out[-1] + (earlier << np.uint64(8 * (k - 1))))
-    return [c | (np.uint64(k) << np.uint64(48)) for k, c in enumerate(out)]
-
-
-def count_codes(words: list[bytes], counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) codes of the words and their summed counts."""
-    symbols, prefix, number = symbol_positions(words)
-    codes, weights = [], []
-    for k, context in enumerate(contexts(symbols, prefix, order)):
-        at = prefix >= k
-        codes.append((context[at] << np.uint64(8)) | symbols[at])
-        weights.append(counts[number[at]])
-    codes, weights = np.concatenate(codes), np.concatenate(weights)
-    by_code = np.argsort(codes, kind="stable")
-    codes, weights = codes[by_code], weights[by_code]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[first], np.add.reduceat(weights, first)
-
-
-# ---- model -------------------------------------------------------------------------------
-
-
-class Model:
-    """Log10 probabilities from counts of (context, symbol) codes."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        by_code = np.argsort(codes)
-        self.order = order
-        self.codes = codes[by_code].astype(np.uint64)
-        self.counts = counts[by_code].astype(np.float64)
-        owner = self.codes >> np.uint64(8)
-        self.contexts, first = (
-            np.unique(owner, return_index=True) if len(owner) else (owner, np.zeros(0, dtype=np.int64))
-        )
-        total = np.add.reduceat(self.counts, first) if len(first) else np.zeros(0)
-        distinct = np.diff(np.append(first, len(owner))).astype(np.float64)
-        self.top = total + distinct  # denominator in the first context tried
-        self.top_escape = np.log10(distinct / self.top)
-        # the same in the next shorter context, without the symbols of this one
-        order_of = owner >> np.uint64(48)
-        inner = order_of > 0
-        k = order_of[inner]
-        kept = (owner[inner] & ((np.uint64(1) << (np.uint64(8) * (k - np.uint64(1)))) - np.uint64(1)))
-        shorter = kept | ((k - np.uint64(1)) << np.uint64(48))
-        symbol = self.codes[inner] & np.uint64(255)
-        found = np.searchsorted(self.codes, (shorter << np.uint64(8)) | symbol)
-        place = np.searchsorted(self.contexts, owner[inner])
-        hidden = np.bincount(place, weights=self.counts[found], minlength=len(self.contexts))
-        parent = np.zeros(len(self.contexts), dtype=np.int64)
-        parent[place] = np.searchsorted(self.contexts, shorter)
-        novel = distinct[parent] - distinct if len(parent) else distinct
-        self.rest = (total[parent] - hidden + novel) if len(parent) else total
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.rest_escape = np.where(self.rest > 0, np.log10(novel / self.rest), 0.0)
-        root = distinct[0] if len(distinct) else 0.0
-        self.unseen = -np.log10(256.0 - root) if root < 256 else 0.0
-
-    def _find(self, sorted_codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Index of each wanted code, -1 where there is none."""
-        if not len(sorted_codes):
-            return np.full(len(wanted), -1)
-        at = np.searchsorted(sorted_codes, wanted)
-        at[at == len(sorted_codes)] = 0
-        return np.where(sorted_codes[at] == wanted, at, -1)
-
-    def symbols(self, symbols: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        """Log10 probability of each symbol after its context."""
-        out = np.zeros(len(symbols))
-        child = np.full(len(symbols), -1)
-        open_ = np.arange(len(symbols))
-        for k, context in reversed(list(enumerate(contexts(symbols, prefix, self.order)))):
-            at = open_[prefix[open_] >= k]
-            here = self._find(self.contexts, context[at])
-            at, here = at[here >= 0], here[here >= 0]
-            entry = self._find(self.codes, (context[at] << np.uint64(8)) | symbols[at])
-            longer = child[at]
-            base = np.where(longer < 0, self.top[here], self.rest[longer])
-            escape = np.where(longer < 0, self.top_escape[here], self.rest_escape[longer])
-            hit = entry >= 0
-            out[at[hit]] += np.log10(self.counts[entry[hit]] / base[hit])
-            out[at[~hit]] += escape[~hit]
-            child[at[~hit]] = here[~hit]
-            done = np.zeros(len(symbols), dtype=bool)
-            done[at[hit]] = True
-            open_ = open_[~done[open_]]
-        out[open_] += self.unseen
-        return out
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """Log10 probability of each word."""
-        if not words:
-            return np.zeros(0)
-        symbols, prefix, number = symbol_positions(words)
-        return np.bincount(number, weights=self.symbols(symbols, prefix), minlength=len(words))
+
+def keys_of(codes: np.ndarray, order: int) -> pa.Array:
+    """Codes as binary keys: a space and the bytes, so that no word is among them."""
+    raw = np.empty((len(codes), order + 2), dtype=np.uint8)
+    raw[:, 0] = 32
+    raw[:, 1:] = codes.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 7 - order :]
+    offsets = np.arange(len(codes) + 1, dtype=np.int32) * (order + 2)
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(offsets), pa.py_buffer(raw.tobytes())])
+
+
+# ---- adaptive mode -----------------------------------------------------------------------
 
 
 def adaptive_code_length(text: str | None, order: int = ORDER) -> float:
-    """Log10 probability of one text under a model that starts empty and learns word by word.
+    """Log10 probability of one text under a trie that starts empty and learns byte by byte.
 
-    For texts without a trained model; linear in the text's bytes, in plain Python.
+    Linear in the text's bytes, in plain Python.
     """
     seen: dict[bytes, dict[int, int]] = {}
+    data = chain(lower_words(text), order)
     total = 0.0
-    for word in [*lower_words(text), b""]:
-        chain = b" " + word + b" "
-        for i in range(1, len(chain)):
-            symbol, hidden, p = chain[i], set(), 1.0
-            for k in range(min(order, i), -1, -1):
-                table = seen.get(chain[i - k : i], {}) if k else seen.get(b"", {})
-                left = {s: n for s, n in table.items() if s not in hidden}
-                if not left:
-                    continue
-                size = sum(left.values()) + len(left)
-                if symbol in left:
-                    p *= left[symbol] / size
-                    break
-                p *= len(left) / size
-                hidden |= set(left)
-            else:
-                p /= 256 - len(hidden)
-            total += float(np.log10(p))
-        for i in range(1, len(chain)):
-            for k in range(min(order, i) + 1):
-                table = seen.setdefault(chain[i - k : i] if k else b"", {})
-                table[chain[i]] = table.get(chain[i], 0) + 1
+    for i in range(order, len(data)):
+        symbol, hidden, p, found = data[i], set(), 1.0, -1
+        for k in range(order, -1, -1):
+            table = seen.get(data[i - k : i])
+            left = {s: n for s, n in table.items() if s not in hidden} if table else None
+            if not left:
+                continue
+            size = sum(left.values())
+            if symbol in left:
+                p *= (left[symbol] - DISCOUNT) / size
+                found = k
+                break
+            p *= DISCOUNT * len(left) / size
+            hidden |= set(left)
+        else:
+            p /= 256 - len(hidden)
+        total += math.log10(p)
+        # the context that knew the symbol learns it, and the longer ones; not the shorter ones
+        for k in range(max(found, 0), order + 1):
+            table = seen.setdefault(data[i - k : i], {})
+            table[symbol] = table.get(symbol, 0) + 1
     return total
 
 
-# ---- Spark -------------------------------------------------------------------------------
+def adaptive_scores(documents: DataFrame, text_column: str = "text", result: str = "adaptive_score", order: int = ORDER) -> DataFrame:
+    """``documents`` with the adaptive log10 probability of each text. Null texts count as empty;
+    repeated rows each get theirs; an empty table stays empty; other columns stay, whatever their names."""
+    schema = T.StructType([T.StructField("p", T.DoubleType())])
+    plain = positions(documents)
+    make = lambda: lambda texts: {"p": [adaptive_code_length(t, order) for t in texts]}
+    found = append_result(plain, [f"c{position_of(documents, text_column)}"], make, schema, "_adaptive_")
+    return found.select(*plain.columns, "_adaptive_.p").toDF(*documents.columns, result)
 
-WORDS = T.StructType(
-    [T.StructField("word", T.BinaryType()), T.StructField("train", T.LongType()), T.StructField("seen", T.LongType())]
-)
 
+# ---- counts ------------------------------------------------------------------------------
 
-def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type) for c, f in zip(columns, schema)], names=schema.names
-    )
+COUNTS = "word binary, code long, train long, seen long"
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(word, train, seen) of rows (text, held_out): occurrences in training texts and in all.
-
-    Every text ends with the empty word.
-    """
-    schema = pa.schema([("word", pa.binary()), ("train", pa.int64()), ("seen", pa.int64())])
+def counts(rows: DataFrame, order: int) -> DataFrame:
+    """(word or code, train, seen) of rows (text, held_out): how often each word, and each pair of
+    context and symbol, occurs in training texts and in all."""
+    schema = pa.schema([("word", pa.binary()), ("code", pa.int64()), ("train", pa.int64()), ("seen", pa.int64())])
 
     def run(batches):
-        counts = (Counter(), Counter())
-
-        def flush():
-            words = list({**counts[0], **counts[1]})
-            train = [counts[0][w] for w in words]
-            seen = [counts[0][w] + counts[1][w] for w in words]
-            counts[0].clear()
-            counts[1].clear()
-            return _batch(schema, words, train, seen)
+        words = (Counter(), Counter())
+        pairs: list[list[np.ndarray]] = [[], []]
+        waiting = 0
+        # distinct pairs so far with their counts in training and in all
+        known = (np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
+
+        def batch_of(word, code, numbers):
+            n = len(numbers)
+            word = pa.nulls(n, pa.binary()) if word is None else pa.array(word, pa.binary())
+            code = pa.nulls(n, pa.int64()) if code is None else pa.array(code)
+            return pa.RecordBatch.from_arrays([word, code, pa.array(numbers[:, 0]), pa.array(numbers[:, 1])], schema=schema)
+
+        def flush_words():
+            keys = list({**words[0], **words[1]})
+            numbers = np.array([(words[0][w], words[0][w] + words[1][w]) for w in keys], dtype=np.int64).reshape(-1, 2)
+            words[0].clear()
+            words[1].clear()
+            return batch_of(keys, None, numbers)
+
+        def gather(known):
+            codes, numbers = [known[0]], [known[1]]
+            for held, parts in enumerate(pairs):
+                if parts:
+                    code, n = np.unique(np.concatenate(parts), return_counts=True)
+                    codes.append(code)
+                    numbers.append(np.stack([n * (not held), n], axis=1))
+                    parts.clear()
+            code, both = np.concatenate(codes), np.concatenate(numbers)
+            return summed(code, both)
 
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                for text, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = lower_words(text)
-                    counts[held].update(words)
-                    counts[held][b""] += 1
-                if len(counts[0]) + len(counts[1]) > FLUSH_WORDS:
-                    yield flush()
-        yield flush()
+                for text, held in zip(*[c.to_pylist() for c in part.columns]):
+                    tokens = lower_words(text)
+                    words[held].update(tokens)
+                    words[held][b""] += 1
+                    codes = pair_codes(chain(tokens, order), order)
+                    pairs[held].append(codes)
+                    waiting += len(codes)
+                if len(words[0]) + len(words[1]) > FLUSH_WORDS:
+                    yield flush_words()
+                if waiting > FLUSH_SYMBOLS:
+                    known, waiting = gather(known), 0
+                    if len(known[0]) > FLUSH_SYMBOLS:
+                        yield batch_of(None, *known)
+                        known = (known[0][:0], known[1][:0])
+        yield flush_words()
+        yield batch_of(None, *gather(known))
 
-    found = rows.select("text", F.col("held_out").cast("int")).mapInArrow(run, WORDS)
-    return found.groupBy("word").agg(F.sum("train").alias("train"), F.sum("seen").alias("seen"))
+    found = rows.select("text", F.col("held_out").cast("int")).mapInArrow(run, COUNTS)
+    return found.groupBy("word", "code").agg(F.sum("train").alias("train"), F.sum("seen").alias("seen"))
 
 
-def train(words: DataFrame, order: int = ORDER, share: float = SHARE) -> Model:
-    """The byte trie of (word, train) rows: each word that occurs in training counts once."""
-    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+# ---- the trie ----------------------------------------------------------------------------
 
-    def run(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_WORDS):
-                part = batch.slice(start, BATCH_WORDS)
-                words = part.column(0).to_pylist()
-                codes, sums = count_codes(words, np.ones(len(words), dtype=np.int64), order)
-                yield _batch(schema, codes.astype(np.int64), sums)
-
-    known = words.where("train > 0").select("word")
-    coded = known.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    coded = materialize(coded, "ppm-codes")
-    symbols = coded.where(F.shiftright("code", 56) == 0).agg(F.sum("n")).first()[0] or 0
-    context = F.shiftright("code", 8)
-    kept = coded.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).where(
-        F.col("total") >= share * symbols
-    )
-    # bounded by the share: at most (order + 1) / share contexts of 256 symbols
-    wanted = coded.withColumn("context", context).join(kept, "context", "left_semi")
-    table = wanted.select("code", "n").toArrow()
-    return Model(table.column("code").to_numpy().astype(np.uint64), table.column("n").to_numpy(), order)
 
+def _low(code, size: int):
+    """The last ``size`` bytes of a code."""
+    return code.bitwiseAND(F.lit((1 << (8 * size)) - 1)) if size < 8 else code
 
-def score_words(words: DataFrame, model: Model) -> DataFrame:
-    """``words`` (word, train, seen) with ``spelled``, the trie's log10 probability."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast((model.codes, model.counts, model.order))
-    schema = pa.schema([*zip(("word", "train", "seen"), (pa.binary(), pa.int64(), pa.int64())), ("spelled", pa.float64())])
 
-    def run(batches):
-        own = Model(*shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_WORDS):
-                part = batch.slice(start, BATCH_WORDS)
-                spelled = own.words(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spelled)], names=schema.names)
+class Trie:
+    """The tables of all orders, from the counts (code, n) of the longest contexts.
 
-    out = T.StructType([*WORDS.fields, T.StructField("spelled", T.DoubleType())])
-    return words.select("word", "train", "seen").mapInArrow(run, out)
+    ``entries[k]``: (code, n) of contexts of k bytes with their symbol. ``contexts[k]``: (context,
+    total, distinct) and, of the next shorter context without this one's symbols, (rest, novel).
+    """
 
+    def __init__(self, pairs: DataFrame, order: int):
+        self.order = order
+        self.entries: dict[int, DataFrame] = {order: pairs}
+        self.contexts: dict[int, DataFrame] = {}
+        for k in range(order - 1, -1, -1):
+            shorter = self.entries[k + 1].groupBy(_low(F.col("code"), k + 1).alias("code")).agg(F.count("*").alias("n"))
+            self.entries[k] = materialize(shorter, "ppm-entries")
+        for k in range(order + 1):
+            owner = F.shiftright("code", 8).alias("context")
+            own = self.entries[k].groupBy(owner).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+            if k == 0:
+                none = F.lit(None).cast("long")
+                self.contexts[k] = materialize(own.withColumns({"rest": none, "novel": none}), "ppm-contexts")
+                continue
+            below = self.entries[k - 1].select(F.col("code").alias("low"), F.col("n").alias("low_n"))
+            hidden = (
+                self.entries[k].withColumn("low", _low(F.col("code"), k)).join(below, "low")
+                .groupBy(owner).agg(F.sum("low_n").alias("hidden"))
+            )
+            parent = self.contexts[k - 1].select(
+                F.col("context").alias("parent"), F.col("total").alias("p_total"), F.col("distinct").alias("p_distinct")
+            )
+            joined = own.join(hidden, "context").withColumn("parent", _low(F.col("context"), k - 1)).join(parent, "parent")
+            self.contexts[k] = materialize(
+                joined.select(
+                    "context", "total", "distinct",
+                    (F.col("p_total") - F.col("hidden")).alias("rest"), (F.col("p_distinct") - F.col("distinct")).alias("novel"),
+                ),
+                "ppm-contexts",
+            )
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        """(code, logp) of distinct codes that are not among the longest entries, by escapes."""
+        nothing = F.lit(None).cast("long")
+        open_ = pairs.select("code", F.lit(0.0).alias("logp"), nothing.alias("rest"), nothing.alias("novel"))
+        done = []
+        for k in range(self.order, -1, -1):
+            here = self.contexts[k].select(
+                "context", F.col("total"), F.col("distinct"), F.col("rest").alias("next_rest"), F.col("novel").alias("next_novel")
+            )
+            known = self.entries[k].select(F.col("code").alias("entry"), "n")
+            placed = open_.withColumns(
+                {"context": _low(F.shiftright("code", 8), k), "entry": _low(F.col("code"), k + 1)}
+            ).join(here, "context", "left").join(known, "entry", "left")
+            # from a longer context that was seen, only what it has not predicted is left
+            left, new = F.coalesce("rest", "total"), F.coalesce("novel", "distinct")
+            escape = F.when(F.col("total").isNotNull() & (new > 0), F.log10(F.lit(DISCOUNT) * new / left)).otherwise(0.0)
+            hit = F.log10((F.col("n") - F.lit(DISCOUNT)) / left)
+            tried = materialize(
+                placed.select(
+                    "code", "n", (F.col("logp") + F.when(F.col("n").isNotNull(), hit).otherwise(escape)).alias("logp"),
+                    F.when(F.col("total").isNotNull(), F.col("next_rest")).alias("rest"),
+                    F.when(F.col("total").isNotNull(), F.col("next_novel")).alias("novel"),
+                ),
+                "ppm-escapes",
+            )
+            done.append(tried.where("n is not null").select("code", "logp"))
+            open_ = tried.where("n is null").drop("n")
+        used = self.entries[0].count()  # one row per byte value at most
+        rest = open_.select("code", (F.col("logp") - math.log10(256 - used) if used < 256 else F.col("logp")).alias("logp"))
+        for part in done:
+            rest = rest.unionByName(part)
+        return rest
+
+
+def pair_scores(pairs: DataFrame, order: int) -> DataFrame:
+    """(code, seen, logp) of pairs (code, train, seen): the trie's log10 probability of each."""
+    trained = pairs.where("train > 0").select("code", F.col("train").alias("n"))
+    trie = Trie(trained, order)
+    totals = trie.contexts[order].select("context", "total")
+    known = pairs.where("train > 0").withColumn("context", F.shiftright("code", 8)).join(totals, "context").select(
+        "code", "seen", F.log10((F.col("train") - F.lit(DISCOUNT)) / F.col("total")).alias("logp")
+    )
+    others = pairs.where("train = 0").select("code", "seen")
+    escaped = others.join(trie.score(others), "code").select("code", "seen", "logp")
+    return known.unionByName(escaped)
 
-def history(words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words, their number at each place, whether new there, static share, adaptive part).
 
-    A token's probability is static share * p + adaptive part, with p of steps 2 and 3.
-    """
-    known: dict[bytes, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64)
-    place = np.arange(len(ids))
-    new = np.concatenate([[True], ids[1:] > np.maximum.accumulate(ids)[:-1]])
-    repeats = place - (np.cumsum(new) - new)
-    adaptive = np.minimum(MOST_ADAPTIVE, (repeats / (place + 1.0)) ** 2)
-    by_word = np.argsort(ids, kind="stable")
-    sizes = np.bincount(ids)
-    before = np.empty(len(ids), dtype=np.int64)
-    before[by_word] = place - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return list(known), ids, new, 1 - adaptive, adaptive * before / np.maximum(place, 1)
-
-
-def _lines(rows: DataFrame, hot: dict[bytes, tuple[bool, float, float]]) -> DataFrame:
+# ---- documents ---------------------------------------------------------------------------
+
+
+def _lines(rows: DataFrame, hot_words: dict, hot_pairs: tuple[np.ndarray, np.ndarray], order: int) -> DataFrame:
     """For each row of (row, text, id, held_out): one line with its tokens and what its frequent
-    words give, and one (word, n, shares and parts of its repeats) for each other word."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
-    doubles = T.ArrayType(T.DoubleType())
+    words and pairs give, and one (word, n) for each other word or pair."""
+    shared = rows.sparkSession.sparkContext.broadcast((hot_words, *hot_pairs))
     out_schema = T.StructType(
         [
             T.StructField("row", T.LongType()),
             T.StructField("id", rows.schema["id"].dataType),
             T.StructField("held_out", T.BooleanType()),
             T.StructField("word", T.BinaryType()),
-            T.StructField("shares", doubles),
-            T.StructField("parts", doubles),
             *[T.StructField(c, T.LongType()) for c in ("n", "n_tokens", "n_known")],
             *[T.StructField(c, T.DoubleType()) for c in ("base", "logp")],
         ]
     )
-    schema = to_arrow_schema(out_schema)
-
-    def document(row, text, doc_id, held, known, out):
-        words = lower_words(text)
-        words.append(b"")
-        distinct, ids, new, share, part = history(words)
-        entries = [known.get(w) for w in distinct]
-        counts = np.bincount(ids, minlength=len(distinct))
-        rare = np.array([e is None for e in entries])
-        p = np.array([0.0 if e is None else e[2] for e in entries])
-        base = np.array([0.0 if e is None else e[1] for e in entries])
-        n_known = sum(int(n) for e, n in zip(entries, counts) if e is not None and e[0])
-        at_rare = rare[ids]
-        static = np.log(share) + np.log(10.0) * p[ids]
-        with np.errstate(divide="ignore"):
-            either = np.where(part > 0, np.logaddexp(static, np.log(part)), static)
-        # of a rare word only the share is known here, and only its first place needs no more
-        logp = float(np.where(at_rare & ~new, 0.0, either).sum() / np.log(10.0))
-        repeats: dict[int, tuple[list, list]] = {}
-        for i in np.flatnonzero(at_rare & ~new):
-            both = repeats.setdefault(ids[i], ([], []))
-            both[0].append(share[i])
-            both[1].append(part[i])
-        for i in np.flatnonzero(rare):
-            shares, parts = repeats.get(i, (None, None))
-            out.append((row, None, None, distinct[i], shares, parts, int(counts[i]), 0, 0, 0.0, 0.0))
-        # the line break keeps this apart from all words and spreads the lines
-        own = b"\n%d" % row
-        out.append((row, doc_id, held, own, None, None, 0, len(words), n_known, float((base * counts).sum()), logp))
+    names = out_schema.names
 
     def run(batches):
-        known = shared.value
+        known, codes, scores = shared.value
+
+        def rare(row, words, n):
+            """Lines of words or pairs that are looked up by a join."""
+            size = len(row)
+            null = [pa.nulls(size, kind) for kind in (id_type, pa.bool_())]
+            zero = [pa.array(np.zeros(size, np.int64))] * 2 + [pa.array(np.zeros(size))] * 2
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *null, words, pa.array(n, pa.int64()), *zero], names=names)
+
         for batch in batches:
+            id_type = batch.schema.field("id").type
             for start in range(0, batch.num_rows, SLICE_ROWS):
-                out = []
-                columns = [c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns]
-                for row in zip(*columns):
-                    document(*row, known, out)
-                yield _batch(schema, *zip(*out))
+                part = batch.slice(start, SLICE_ROWS)
+                own, word_rows, words, word_counts = [], [], [], []
+                pair_rows, pairs, pair_counts = [], [], []
+                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    tokens = lower_words(text)
+                    base, n_known = 0.0, 0
+                    counted = Counter(tokens)
+                    counted[b""] += 1
+                    for word, n in counted.items():
+                        entry = known.get(word)
+                        if entry is None:
+                            word_rows.append(row)
+                            words.append(word)
+                            word_counts.append(n)
+                        else:
+                            base += n * entry[1]
+                            n_known += n * entry[0]
+                    code, n = np.unique(pair_codes(chain(tokens, order), order), return_counts=True)
+                    at = np.searchsorted(codes, code)
+                    at[at == len(codes)] = 0
+                    hot = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+                    logp = float((n[hot] * scores[at[hot]]).sum())
+                    pairs.append(code[~hot])
+                    pair_counts.append(n[~hot])
+                    pair_rows.append(np.full(len(pairs[-1]), row))
+                    # a line break is in no word and no pair; it spreads the lines
+                    own.append((b"\n%d" % row, 0, len(tokens) + 1, n_known, base, logp))
+                columns = [pa.array(c, type=k) for c, k in zip(zip(*own), (pa.binary(), *[pa.int64()] * 3, *[pa.float64()] * 2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *columns], names=names)
+                yield rare(word_rows, pa.array(words, pa.binary()), word_counts)
+                yield rare(np.concatenate(pair_rows), keys_of(np.concatenate(pairs), order), np.concatenate(pair_counts))
 
     return rows.select("row", "text", "id", "held_out").mapInArrow(run, out_schema)
 
@@ -373,60 +359,59 @@ def score(
     text_column: str = "text",
     held_out_modulus: int = 10,
     order: int = ORDER,
-    share: float = SHARE,
 ) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model and the base counts learn from all documents that are not held out (crc32 of the
-    id as text, modulo ``held_out_modulus``, is 0), whole. ``score`` is the log10 probability
-    of the text's tokens, its end included.
+    The trie and the base counts learn from all documents that are not held out (crc32 of the
+    id as text, modulo ``held_out_modulus``, is 0), whole. ``score`` is the trie's log10 probability
+    of the text's bytes, its end included.
 
     Null texts count as empty: one token, the end. Null ids count as empty text in the crc.
     Repeated rows each give a row and count each. Without training rows every byte is
     equally likely. An empty table gives no rows. Further columns are ignored.
     """
+    if not 1 <= order <= 6:
+        raise ValueError("order must be from 1 to 6")
     rows = pick(documents, id_column, text_column).toDF("id", "text")
     rows = rows.withColumn("held_out", crc_remainder(F.col("id"), held_out_modulus) == 0)
-    words = materialize(vocabulary(rows), "ppm-words")
+    counted = materialize(counts(rows, order), "ppm-counts")
+    words = counted.where("word is not null")
     tokens, distinct, seen = words.agg(
         F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0), F.coalesce(F.sum("seen"), F.lit(0))
     ).first()
-    model = train(words, order, share)
-    smooth = lambda c: F.log10((c + F.lit(0.1)) / F.lit(tokens + 0.1 * (distinct + 1)))
-    spelled = materialize(score_words(words, model), "ppm-spelled-words")
-    # what the trie gives to words that step 2 knows is excluded
-    known_mass = spelled.where("train > 0").agg(F.coalesce(F.sum(F.expr("pow(10D, spelled)")), F.lit(0.0))).first()[0]
-    if tokens:
-        novel = math.log10(DISCOUNT * distinct / tokens) - math.log10(max(1e-9, 1.0 - known_mass))
-        static = F.when(F.col("train") > 0, F.log10((F.col("train") - DISCOUNT) / tokens)).otherwise(
-            F.col("spelled") + novel
-        )
-    else:
-        static = F.col("spelled")
-    scored = spelled.select("word", "train", "seen", static.alias("logp"), smooth(F.col("train")).alias("base"))
-    hot_rows = scored.where(F.col("seen") >= HOT_SHARE * seen).select("word", F.col("train") > 0, "base", "logp").toArrow()
-    hot = {w: (k, b, p) for w, k, b, p in zip(*[c.to_pylist() for c in hot_rows.columns])}
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    lines = _lines(numbered, hot)
-    found = scored.select("word", F.col("train").alias("c"), F.col("base").alias("w_base"), F.col("logp").alias("w_logp"))
-    joined = lines.join(found, "word", "left")
+    smooth = F.log10((F.col("train") + F.lit(0.1)) / F.lit(tokens + 0.1 * (distinct + 1)))
+    word_scores = words.select("word", (F.col("train") > 0).alias("known"), smooth.alias("base"), "seen")
+    scored = materialize(pair_scores(counted.where("code is not null").select("code", "train", "seen"), order), "ppm-scores")
+    symbols = scored.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    # both are bounded by their share of all occurrences
+    hot = word_scores.where(F.col("seen") >= HOT_WORDS * seen).select("word", "known", "base").toArrow()
+    hot_words = {w: (k, b) for w, k, b in zip(*[c.to_pylist() for c in hot.columns])}
+    frequent = scored.where(F.col("seen") >= HOT_PAIRS * symbols).select("code", "logp").toArrow()
+    codes, logs = frequent.column("code").to_numpy(), frequent.column("logp").to_numpy()
+    by_code = np.argsort(codes)
+    lines = _lines(rows.withColumn("row", F.monotonically_increasing_id()), hot_words, (codes[by_code], logs[by_code]), order)
+
+    def run(batches):
+        for batch in batches:
+            keys = keys_of(batch.column(0).to_numpy(), order)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(np.zeros(n, bool)), pa.array(np.zeros(n)), batch.column(1)], names=["word", "c", "w_base", "w_logp"]
+            )
+
+    rare = scored.where(F.col("seen") < HOT_PAIRS * symbols).select("code", "logp")
+    found = word_scores.where(F.col("seen") < HOT_WORDS * seen).select(
+        "word", F.col("known").alias("c"), F.col("base").alias("w_base"), F.lit(0.0).alias("w_logp")
+    ).unionByName(rare.mapInArrow(run, "word binary, c boolean, w_base double, w_logp double"))
+    joined = lines.join(found.hint("shuffle_hash"), "word", "left")
     count = F.col("n")
-    static = lambda s: F.log10(s) + F.col("w_logp")
-    each = F.zip_with(
-        "shares",
-        "parts",
-        lambda s, p: F.when(p > 0, F.log10(s * F.expr("pow(10D, w_logp)") + p)).otherwise(static(s)),
-    )
-    repeated = F.when(F.col("shares").isNull(), 0.0).otherwise(
-        F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
-    )
     sums = joined.groupBy("row").agg(
         F.max("id").alias("id"),
         F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, count).otherwise(0)).alias("n_known"),
+        F.sum(F.col("n_known") + F.when(F.col("c"), count).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.coalesce(count * F.col("w_base"), F.lit(0.0))).alias("base_score"),
-        F.sum(F.col("logp") + F.coalesce(F.col("w_logp") + repeated, F.lit(0.0))).alias("score"),
+        F.sum(F.col("logp") + F.coalesce(count * F.col("w_logp"), F.lit(0.0))).alias("score"),
     )
     return sums.select(
         F.col("id").alias(id_column),
