@@ -7,11 +7,12 @@ winning path of its host.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,21 +46,43 @@ ENDED_BY = {
 }
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+# words for what is beside an article
 NOISE_WORDS = frozenset(
-    "ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay "
-    "cookie cookies consent gdpr notice notification alert comment comments disqus reply replies respond discussion "
-    "nav navigation navbar menu breadcrumb breadcrumbs sidebar side widget widgets footer footnav masthead "
-    "related recommended share sharing social newsletter subscribe subscription signup login search toolbar "
-    "pagination pager skip hidden".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion "
+    "banner banners popup modal overlay cookie cookies consent gdpr notice notices notification notifications alert alerts "
+    "nav navigation navbar menu menus breadcrumb breadcrumbs sidebar sidebars side widget widgets footer footnav masthead "
+    "related recommended recommendations share sharing social newsletter newsletters subscribe subscription signup login "
+    "search searchbox searchform toolbar pagination pager skip hidden".split()
+)
+# words for what readers wrote about it
+COMMENT_WORDS = frozenset(
+    "comment comments commentlist disqus reply replies respond response responses discussion discussions reaction reactions "
+    "feedback guestbook".split()
+)
+# With one of these in it, a class tells the state of the page or of what is around, not what it holds.
+STATE_WORDS = frozenset(
+    "no not non has have having with without is are in on off open opened closed close enabled enable disabled disable "
+    "allowed allow count counts number active toggled visible collapsed expanded free results result".split()
+)
+# words that only tell where or how something is laid out
+LAYOUT_WORDS = frozenset(
+    "list lists area areas box boxes wrap wrapper container holder section sections block blocks bar bars panel panels column col "
+    "left right top bottom middle inner outer main primary secondary first second third upper lower fixed sticky mobile desktop "
+    "content contents body text title item items entry entries row group card cards unit slot zone module region thread tree "
+    "links link form post posts article articles story stories page user users reader readers site global".split()
 )
 MAIN_WORDS = frozenset("article content main post entry story body text page".split())
-# labels of a path, counted from its container; deeper ones are not told apart
+# A container of more characters than this, and of more than this share of the page's, is not noise
+# for its classes' sake.
+LONG_PROSE, MOST_PROSE = 400, 0.8
+# labels that are spelled out at the end of a path; a hash tells deeper ones apart
 PATH_LABELS = 16
-# candidate paths a page votes for, and paths of a host tried on a page; both only order what
-# is tried first, a page without any of them uses its own best container
-VOTES, TRIED = 3, 5
+# votes of a single page for its best path; no other path of its own can have more
+ONE_PAGE = 1.0
 # Hosts with at least this share of the pages, at most 1 / HOT_SHARE, are not shuffled.
 HOT_SHARE = 2.0**-10
+# paths of a host that may be broadcast with it; hosts with more are joined
+HOT_PATHS = 256
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -68,21 +91,32 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Container:
-    """An open or closed container: its path, whether it is noise, and its blocks' numbers."""
+    """An open or closed container: its path, whether it is noise, and its blocks' numbers.
+
+    ``hard``: noise by its tag, role or style. ``soft``: noise by its classes; of these, ``comments``
+    tells what readers wrote.
+    """
 
-    __slots__ = ("first", "last", "links", "noise", "parent", "labels", "prior", "prose", "size", "tag")
+    __slots__ = (
+        "comments", "digest", "end", "first", "hard", "labels", "last", "links", "noise", "parent", "prior", "prose", "size", "soft", "tag",
+    )
 
-    def __init__(self, tag: str, parent: Container | None, label: str, noise: bool, prior: float, block: int):
-        self.tag, self.parent, self.noise, self.prior = tag, parent, noise, prior
+    def __init__(self, tag: str, parent: Container | None, label: str, noise: tuple[bool, bool, bool], prior: float, block: int):
+        self.tag, self.parent, self.prior = tag, parent, prior
+        self.hard, self.soft, self.comments = noise
+        self.noise = False
         self.labels = (*parent.labels, label)[-PATH_LABELS:] if parent else ("",)
+        # of the whole path, in constant time for each container
+        self.digest = hashlib.blake2b((parent.digest if parent else b"") + b"/" + label.encode("utf-8", "replace"), digest_size=8).digest()
         # inside an article or the main part
         self.prose = parent is not None and (parent.prose or parent.tag in ("article", "main"))
-        self.first, self.last = block, block
+        self.first, self.last, self.end = block, block, 0
         self.size = self.links = 0.0
 
     @property
     def path(self) -> str:
-        return "/".join(self.labels)
+        spelled = "/".join(self.labels)
+        return spelled if self.labels[0] == "" else f"{self.digest.hex()}/{spelled}"
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -106,16 +140,35 @@ def _cues(attributes: dict[str, str]) -> list[str]:
     return _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", text).lower())
 
 
-def _is_noise(tag: str, attributes: dict[str, str], inside_article: bool, by_words: bool = True) -> bool:
-    if tag in NOISE_TAGS or attributes.get("role", "").lower() in NOISE_ROLES:
-        return True
-    if tag == "header" and not inside_article:
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
-    return by_words and tag not in ("html", "body", "main", "article") and any(w in NOISE_WORDS for w in _cues(attributes))
+def _kind_of_class(token: str) -> str:
+    """What a class or id says: "noise", "comments" or nothing.
+
+    Its words count together. One that tells a state, as in ``no-sidebar`` or ``comments-closed``, says
+    nothing; otherwise the last word that is no mere layout decides, if all before it are layout or noise too.
+    """
+    words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+    if any(w in STATE_WORDS for w in words):
+        return ""
+    telling = [w for w in words if w not in LAYOUT_WORDS]
+    if not telling or any(w not in NOISE_WORDS and w not in COMMENT_WORDS for w in telling):
+        return ""
+    return "comments" if telling[-1] in COMMENT_WORDS else "noise"
+
+
+def _noise(tag: str, attributes: dict[str, str], inside_article: bool, by_words: bool = True) -> tuple[bool, bool, bool]:
+    """(noise by tag, role or style; noise by classes; of these, comments)."""
+    hard = (
+        tag in NOISE_TAGS
+        or attributes.get("role", "").lower() in NOISE_ROLES
+        or (tag == "header" and not inside_article)
+        or "hidden" in attributes
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) is not None
+    )
+    if hard or not by_words or tag in ("html", "body", "main", "article"):
+        return hard, False, False
+    kinds = {_kind_of_class(t) for t in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()}
+    return False, bool(kinds - {""}), "comments" in kinds
 
 
 class Page:
@@ -125,7 +178,7 @@ class Page:
     def __init__(self, text: str, by_words: bool = True):
         self.by_words = by_words
         self.blocks: list[tuple[str, Container]] = []
-        self.root = Container("", None, "", False, 0.0, 0)
+        self.root = Container("", None, "", (False, False, False), 0.0, 0)
         self.containers = [self.root]
         self._read(text)
 
@@ -264,7 +317,7 @@ class Page:
             if tag in CONTAINERS:
                 attributes = _attributes(rest)
                 inside = stack[-1].prose or stack[-1].tag in ("article", "main")
-                noise = stack[-1].noise or _is_noise(tag, attributes, inside, self.by_words)
+                noise = _noise(tag, attributes, inside, self.by_words)
                 prior = 1.0 + 0.5 * (tag in ("article", "main")) + 0.25 * any(w in MAIN_WORDS for w in _cues(attributes))
                 child = Container(tag, stack[-1], _label(tag, attributes), noise, prior, len(self.blocks))
                 self.containers.append(child)
@@ -274,14 +327,44 @@ class Page:
                 open_tags[tag] += 1
             elif rest and tag not in ("br", "hr", "img", "input", "meta", "link", "wbr"):
                 attributes = _attributes(rest)
-                if attributes and _is_noise(tag, attributes, True, self.by_words):
+                if attributes and any(_noise(tag, attributes, True, self.by_words)):
                     noise_inline.append(tag)
         flush()
         while stack:
             self._close(stack.pop())
+        self._settle()
 
     def _close(self, container: Container) -> None:
         container.last = len(self.blocks)
+        container.end = len(self.containers)
+
+    def _settle(self) -> None:
+        """Decide which containers are noise, once all are read.
+
+        One that only its classes call noise, and that does not hold comments, is none if it is long
+        and has most of the page's prose, and no article or main part with prose lies outside of it.
+        """
+        place = {id(c): i for i, c in enumerate(self.containers)}
+        left_out: list[bool] = []  # in noise by tag, or in comments
+        for c in self.containers:
+            out = c.hard or (c.soft and c.comments)
+            left_out.append(out or (c.parent is not None and left_out[place[id(c.parent)]]))
+        prose = [0.0 if out else c.size - c.links for c, out in zip(self.containers, left_out)]
+        for i in range(len(self.containers) - 1, 0, -1):
+            prose[place[id(self.containers[i].parent)]] += prose[i]
+        parts = [c.tag in ("article", "main") and prose[i] > 0 for i, c in enumerate(self.containers)]
+        upto = [0]
+        for part in parts:
+            upto.append(upto[-1] + part)
+        around: list[int] = []  # articles and main parts around a container
+        for i, c in enumerate(self.containers):
+            above = place[id(c.parent)] if c.parent is not None else None
+            around.append(0 if above is None else around[above] + parts[above])
+            soft = c.soft
+            if soft and not c.comments and prose[i] > max(MOST_PROSE * prose[0], LONG_PROSE):
+                inside = upto[c.end] - upto[i]
+                soft = upto[-1] - inside - around[i] > 0
+            c.noise = c.hard or soft or (c.parent is not None and c.parent.noise)
 
     def scores(self) -> list[tuple[str, float]]:
         """(path, score) of the containers that could hold the main text, best first.
@@ -303,7 +386,7 @@ class Page:
 
     def text(self, path: str) -> str:
         """Blocks inside the containers of a path, without those in noise, in page order."""
-        spans = sorted({(c.first, c.last) for c in self.containers if c.path == path and not c.noise})
+        spans = sorted({(c.first, c.last) for c in self.containers if not c.noise and c.path == path})
         out, done = [], 0
         for first, last in spans:
             for number in range(max(first, done), last):
@@ -335,7 +418,7 @@ def _vote():
         for page in pages:
             best = _read_page(page)[1] if page else []
             top = best[0][1] if best else 1.0
-            out.append([{"path": p, "score": s / top} for p, s in best[:VOTES]])
+            out.append([{"path": p, "score": s / top} for p, s in best])
         return {"votes": out}
 
     return votes
@@ -383,15 +466,21 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): the paths with the most votes per host, from pages (host, html)."""
+    """(host, paths): the paths of each host, most votes first, from pages (host, html).
+
+    Every page votes for all its paths, and takes the one of its own with the most votes. A page
+    gives its best path one vote and no other path more; so a path that no second page has, or
+    that has less than one vote, can win nowhere and is left out.
+    """
     voted = append_result(pages.select("host", "html"), ["html"], _vote, VOTES_SCHEMA, "vote")
     each = voted.select("host", F.explode("vote.votes").alias("v")).select("host", "v.path", "v.score")
     # a vote is the square of the share of the page's best score, so the best counts most
-    sums = each.groupBy("host", "path").agg(F.round(F.sum(F.col("score") * F.col("score")), 6).alias("votes"))
-    ranked = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    top = sums.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= TRIED)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
-    return top.groupBy("host").agg(ordered.alias("paths"))
+    sums = each.groupBy("host", "path").agg(
+        F.round(F.sum(F.col("score") * F.col("score")), 6).alias("votes"), F.count(F.lit(1)).alias("pages")
+    )
+    able = sums.where((F.col("votes") >= ONE_PAGE) & (F.col("pages") > 1))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("rank"), "path")))
+    return able.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("paths"))
 
 
 def extract(
@@ -417,7 +506,7 @@ def extract(
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = sizes.where(F.col("n") >= HOT_SHARE * total).select("host").join(winners, "host", "left").select(
         "host", F.coalesce("paths", F.array().cast("array<string>")).alias("hot_paths")
-    )
+    ).where(F.size("hot_paths") <= HOT_PATHS)
     marked = rows.join(F.broadcast(hot), "host", "left")
     columns = ["id", "url", "html"]
     here = marked.where(F.col("hot_paths").isNotNull()).select(*columns, F.col("hot_paths").alias("paths"))

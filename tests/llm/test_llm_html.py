@@ -1,7 +1,8 @@
 import random
 import time
+from collections import defaultdict
 
-import llm_samples as samples  # noqa: F401
+import pytest
 from skuloom.llm import html_main
 
 FURNITURE = (
@@ -130,3 +131,96 @@ def test_left_out_end_tags():
         page, _ = html_main._read_page(html)
         assert " ".join(b for b, owner in page.blocks if not owner.noise) == want, html
         assert html_main._extract()([html], [None])["text"][0]
+
+
+ARTICLE = "<h1>The title</h1><p>Some words of an article that go on for a while.</p><p>And a second paragraph with more of them.</p>"
+WANT = "The title Some words of an article that go on for a while. And a second paragraph with more of them."
+REMARK = "<p>I liked this a lot, and want to say so at some length, since nobody else has done it so far.</p>" * 3
+
+
+def wrapped(name, tag="div", attribute="class"):
+    return f"<body><nav><a href=/>Home</a></nav><{tag} {attribute}='{name}'>{ARTICLE}</{tag}><footer>Legal line here</footer></body>"
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "no-sidebar", "post hentry comments-closed", "wrap has-sidebar", "article-with-ads", "main-content has-search", "ad-free",
+        "is-open", "withoutComments", "page_has_nav", "comment-count-3 entry", "shareholder-report", "menuplan", "advertorial", "sidebyside",
+        "side-effects", "social-history", "cookie-recipes", "banner-of-heaven", "hidden-figures-review", "alerting", "content",
+        "newsletter", "sidebar", "search", "related", "widget-text", "ad", "notice", "modal-content",
+    ],
+)
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_classes_of_wrappers_hide_no_article(name, attribute):
+    for tag in ("div", "section"):
+        assert html_main._extract()([wrapped(name, tag, attribute)], [None])["text"] == [WANT]
+
+
+@pytest.mark.parametrize(
+    "beside",
+    [
+        f"<section class='user-responses'>{REMARK}</section>", f"<div id='comments'>{REMARK}</div>", f"<div class='reader-comments'>{REMARK}</div>",
+        f"<ol class='commentlist'><li>{REMARK}</ol>", f"<div class='commentThread'>{REMARK}</div>", f"<div id=disqus_thread>{REMARK}</div>",
+        f"<div class='guestbook entries'>{REMARK}</div>", f"<div class='ad'>{REMARK}</div>", f"<div class='sidebar-right'>{REMARK}</div>",
+        f"<div class='cookie-notice'>{REMARK}</div>", f"<div class='related-posts'>{REMARK}</div>", f"<div class='newsletterSignup'>{REMARK}</div>",
+        f"<aside>{REMARK}</aside>", f"<form>{REMARK}</form>", f"<div role=complementary>{REMARK}</div>", f"<div style='display: none'>{REMARK}</div>",
+        f"<div hidden>{REMARK}</div>", f"<div class='site-footer'>{REMARK}</div>", f"<div class='widget_area'>{REMARK}</div>", "<p class='share'>Tell all the others",
+    ],
+)
+def test_what_is_beside_an_article_goes_however_long(beside):
+    for article in (f"<article>{ARTICLE}</article>", f"<main><div>{ARTICLE}</div></main>"):
+        assert html_main._extract()([f"<body>{article}{beside}</body>"], [None])["text"] == [WANT]
+        assert html_main._extract()([f"<body class='home search-results-page'>{beside}{article}"], [None])["text"] == [WANT]
+
+
+@pytest.mark.parametrize("deep", [2, 15, 16, 17, 20, 60])
+def test_depth_does_not_matter(deep):
+    html = "<body>" + "<div>" * deep + ARTICLE + "</div>" * deep + "<div><p>Legal line here</p></div></body>"
+    assert html_main._extract()([html], [None])["text"] == [WANT]
+
+
+def test_all_votes_count(spark):
+    """The fourth path of every page of a host has more votes than any other, and wins."""
+    def body(i):
+        firsts = "".join(f"<div class='only{chr(97 + i)}{c}'><p>{'long and longer words ' * 9}</p></div>" for c in "xyz")
+        return f"<body>{firsts}<div class='common'><p>{'long and longer words ' * 8}</p></div></body>"
+
+    got = texts(spark, [(i, "http://v.example/", body(i)) for i in range(8)])
+    assert {r["path"] for r in got.values()} <= {"/body/div.common", "/body"} and len({r["path"] for r in got.values()}) == 1
+
+
+def chosen_by_hand(rows):
+    """Votes and texts with dictionaries, page by page."""
+    read = {}
+    votes = defaultdict(lambda: defaultdict(float))
+    for key, url, html in rows:
+        host = (url or "").split("://")[-1].split("/")[0].split("@")[-1].split(":")[0].lower() if "://" in (url or "") else ""
+        page, scores = html_main._read_page(html) if html else (None, [])
+        read[key] = host, page, scores
+        for path, score in scores:
+            votes[host][path] += (score / scores[0][1]) ** 2
+    out = {}
+    for key, (host, page, scores) in read.items():
+        text = ""
+        for path, _ in sorted(scores, key=lambda x: (-round(votes[host][x[0]], 6), x[0] != scores[0][0], x[0])):
+            if round(votes[host][path], 6) > 1 or path == scores[0][0]:
+                text = page.text(path)
+            if text:
+                break
+        out[key] = text
+    return out
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_votes_and_texts_by_brute_force(spark, sf_dir, monkeypatch, hot):
+    if not hot:
+        monkeypatch.setattr(html_main, "HOT_SHARE", 2.0)
+    rng = random.Random(9)
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for i in range(120):
+        parts = [f"<div class='{rng.choice('abcd')}'><p>{' '.join(rng.choice(['word', 'other', 'more']) for _ in range(rng.randint(1, 60)))}</p></div>" for _ in range(5)]
+        inside = rng.choice(["", "<article>", "<section class='no-sidebar'>"])
+        rows.append((10_000 + i, f"https://h{rng.randrange(5)}.example/{i}", f"<body>{inside}{''.join(parts)}"))
+    got = {i: r["text"] for i, r in texts(spark, rows).items()}
+    assert got == chosen_by_hand(rows)
