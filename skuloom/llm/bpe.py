@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from skuloom.llm.common import SLICE_ROWS, pick, position_of, positions
+from skuloom.llm.common import SLICE_ROWS, free_name, pick, position_of, positions
 
 # split pattern that goes with the vocabulary files (a fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -378,11 +378,12 @@ def _with_column(df: DataFrame, given: str, result: str, kind: T.DataType, make)
                     [*part.columns, function(part.column(at))], names=names
                 )
 
-    return plain.mapInArrow(run, out).toDF(*df.columns, result)
+    return plain.mapInArrow(run, out).toDF(*df.columns, free_name(df, result))
 
 
 def encode(documents: DataFrame, path: str, text_column: str = "text", result: str = "tokens") -> DataFrame:
-    """``documents`` with the token ids of the whole text as the array ``result``.
+    """``documents`` with the token ids of the whole text as the array ``result`` (with underscores
+    after the name if there is such a column).
 
     Special tokens are ordinary text. A null or empty text has no tokens (an empty array);
     repeated rows each get theirs; other columns stay, also with names that differ in case

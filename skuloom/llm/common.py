@@ -30,6 +30,14 @@ def position_of(df: DataFrame, name: str) -> int:
     raise ValueError(f"no column {name!r} among {df.columns}")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it as long as ``df`` has such a column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of ``df``, whatever else it carries."""
     plain = positions(df)

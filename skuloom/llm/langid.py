@@ -140,7 +140,7 @@ def domain_of(host: Column) -> Column:
 
 def suffix_of(address: Column) -> Column:
     """Last label of the host of an address, and a two-letter first path segment."""
-    host = F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)
+    host = F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     path = F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1)
     return F.concat_ws("/", F.regexp_extract(host, r"([^.]*)$", 1), F.lower(path))
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skuloom.llm.common import pick, positions, position_of
+from skuloom.llm.common import free_name, pick, position_of, positions
 from skuloom.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -175,9 +175,11 @@ def draw(
     repeats: int = MAX_REPEATS,
     copies_column: str = "copies",
 ) -> DataFrame:
-    """The documents (all columns) that the mix takes, with the number of copies.
+    """The documents (all columns) that the mix takes, with the number of copies in
+    ``copies_column`` (with underscores after the name if there is such a column).
 
-    Documents without words cost nothing and are left out.
+    Documents without words, so also those with null or empty texts, cost nothing and are left out.
+    Null ids and sources, repeated rows and long texts count as in ``mix``. An empty table stays empty.
     """
     names, plain = documents.columns, positions(documents)
     at = [f"c{position_of(documents, n)}" for n in (id_column, text_column, source_column)]
@@ -190,7 +192,7 @@ def draw(
     numbered = keyed.withColumn("same", F.row_number().over(equal))
     # the numbers are compared by two inequalities, so that the join uses the placement by key
     match = (F.col("key") == F.col("m_key")) & (F.col("same") >= F.col("m_same")) & (F.col("same") <= F.col("m_same"))
-    return numbered.join(mixed, match).select(*plain.columns, "copies").toDF(*names, copies_column)
+    return numbered.join(mixed, match).select(*plain.columns, "copies").toDF(*names, free_name(documents, copies_column))
 
 
 SQL = r"""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skuloom.llm.common import SLICE_ROWS, append_result, crc_remainder, lower_words, pick, position_of, positions
+from skuloom.llm.common import SLICE_ROWS, append_result, crc_remainder, free_name, lower_words, pick, position_of, positions
 from skuloom.session import materialize
 
 # bytes of context, at most 6: with the symbol they fit a 64-bit code
@@ -125,7 +125,7 @@ def adaptive_scores(documents: DataFrame, text_column: str = "text", result: str
     plain = positions(documents)
     make = lambda: lambda texts: {"p": [adaptive_code_length(t, order) for t in texts]}
     found = append_result(plain, [f"c{position_of(documents, text_column)}"], make, schema, "_adaptive_")
-    return found.select(*plain.columns, "_adaptive_.p").toDF(*documents.columns, result)
+    return found.select(*plain.columns, "_adaptive_.p").toDF(*documents.columns, free_name(documents, result))
 
 
 # ---- counts ------------------------------------------------------------------------------

@@ -62,16 +62,18 @@ class Hasher:
             codes = self.known[word] = (zlib.crc32(word.lower()), zlib.crc32(b"\x00" + _shape(word)))
         return codes
 
-    def grams(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets, counts) of a piece of text."""
-        codes = np.array([self._codes(w) for w in words], dtype=np.uint64)
+    def grams(self, words: list[bytes], before: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, counts) of a piece of text; ``before`` is the last word of the piece before it."""
+        carried = [] if before is None else [before]
+        codes = np.array([self._codes(w) for w in [*carried, *words]], dtype=np.uint64)
         lower, shape = codes[:, 0], codes[:, 1]
+        own = len(carried)
         kinds = [np.full(1, k, dtype=np.uint64) for k in range(6)]
         mix = lambda a, b: a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
         same = np.flatnonzero(lower[1:] == lower[:-1])
         found = [
-            mix(lower, kinds[1]),
-            mix(shape, kinds[2]),
+            mix(lower[own:], kinds[1]),
+            mix(shape[own:], kinds[2]),
             mix(mix(lower[:-1], lower[1:]), kinds[3]),
             mix(mix(shape[:-1], shape[1:]), kinds[4]),
             mix(np.zeros(len(same), dtype=np.uint64), kinds[5]),
@@ -88,9 +90,8 @@ class Hasher:
             index, count = self.grams(words)
         else:
             sums = np.zeros(self.buckets)
-            # the bigram over the border of two pieces is left out of the features
             for start in range(0, len(words), PIECE_WORDS):
-                at, n = self.grams(words[start : start + PIECE_WORDS])
+                at, n = self.grams(words[start : start + PIECE_WORDS], words[start - 1] if start else None)
                 sums[at] += n
             index = np.flatnonzero(sums)
             count = sums[index]

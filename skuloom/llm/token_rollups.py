@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skuloom.llm.common import append_result, pick, position_of, positions
+from skuloom.llm.common import append_result, free_name, pick, position_of, positions
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch_id long"
@@ -34,7 +34,9 @@ def bpe(path: str):
 
 
 def count_tokens(documents: DataFrame, text_column: str, result: str, path: str = TOKENIZER_FILE) -> DataFrame:
-    """``documents`` with the token count of the text as the column ``result`` (null: 0)."""
+    """``documents`` with the token count of the text as the column ``result`` (null: 0), which gets
+    underscores after its name if there is such a column. Rows are counted whole and each for itself;
+    an empty table stays empty."""
 
     def make():
         encoding = bpe(path)
@@ -44,7 +46,7 @@ def count_tokens(documents: DataFrame, text_column: str, result: str, path: str
     schema = T.StructType([T.StructField("n", T.LongType())])
     plain = positions(documents)
     counted = append_result(plain, [f"c{position_of(documents, text_column)}"], make, schema, "_count_")
-    return counted.select(*plain.columns, "_count_.n").toDF(*documents.columns, result)
+    return counted.select(*plain.columns, "_count_.n").toDF(*documents.columns, free_name(documents, result))
 
 
 def changes(rows: DataFrame, sign: int, tokenizer: Column, n_tokens: Column) -> DataFrame:

@@ -19,6 +19,9 @@ DOCUMENTS = T.StructType(
         T.StructField("size", T.StringType()),
         T.StructField("digest", T.StringType()),
         T.StructField("key", T.StringType()),
+        # names that operators give to their results
+        T.StructField("copies", T.StringType()),
+        T.StructField("Tokens", T.StringType()),
     ]
 )
 
@@ -39,7 +42,7 @@ TEXTS = [
 
 
 def hostile(spark):
-    rows = [(i, t, lang, s, len(t or ""), "decoy", "no", 7, "r", "s", "d", "k") for i, t, lang, s in TEXTS]
+    rows = [(i, t, lang, s, len(t or ""), "decoy", "no", 7, "r", "s", "d", "k", "c", "t") for i, t, lang, s in TEXTS]
     return spark.createDataFrame(rows, DOCUMENTS)
 
 

@@ -121,11 +121,11 @@ def test_an_edit_costs_its_surroundings(words, text):
 
 def test_tables_with_everything(spark, library):
     docs = hostile(spark)
-    rows = bpe.decode(bpe.encode(docs, PATH), PATH)
-    assert rows.columns == [*docs.columns, "tokens", "decoded"]
+    rows = bpe.decode(bpe.encode(docs, PATH), PATH, "tokens_")
+    assert rows.columns == [*docs.columns, "tokens_", "decoded"]
     for row in rows.collect():
         text = row[docs.columns.index("text")] or ""
-        assert row.tokens == library.encode_ordinary(text)
+        assert row.tokens_ == library.encode_ordinary(text)
         assert bytes(row.decoded) == text.encode("utf-8")
     assert bpe.encode(empty(spark), PATH).count() == 0
     assert bpe.decode(bpe.encode(empty(spark), PATH), PATH).count() == 0

@@ -98,5 +98,5 @@ def test_hostile_and_empty(spark):
     assert mixing.mix(samples.empty(spark)).collect() == []
     assert mixing.draw(samples.empty(spark)).collect() == []
     drawn = mixing.draw(samples.hostile(spark))
-    assert drawn.columns == [*samples.DOCUMENTS.names, "copies"] and drawn.count() > 0
+    assert drawn.columns == [*samples.DOCUMENTS.names, "copies_"] and drawn.count() > 0
     assert all(r["taken"] == 0 for r in mixing.mix(samples.documents(spark, [(1, None), (2, "")])).collect())

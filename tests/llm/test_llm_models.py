@@ -189,3 +189,20 @@ def test_no_address_is_no_evidence(spark):
     docs = samples.documents(spark, _in(RARE["en"], 60, 60, "en", 1) + _in(RARE["fi"], 60, 60, "fi", 2, 1000))
     run = lambda df, a: sorted(map(tuple, langid.identify(df, address_column=a).collect()))
     assert run(docs.withColumn("a", F.lit(None).cast("string")), "a") == run(docs, None)
+
+
+def test_pieces_of_long_texts_lose_nothing(monkeypatch):
+    """The same features in one piece and in many."""
+    import numpy as np
+
+    text = " ".join(f"w{i % 37} {'same same' if i % 5 == 0 else 'Other'}" for i in range(400))
+    whole = quality_model.Hasher().features(text)
+    for piece in (1, 2, 3, 100, 799, 800):
+        monkeypatch.setattr(quality_model, "PIECE_WORDS", piece)
+        parts = quality_model.Hasher().features(text)
+        assert np.array_equal(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+
+
+def test_addresses_with_user_data(spark):
+    rows = spark.createDataFrame([("http://user:pw@site.de/fr/x",), ("https://site.co.uk:8080/a",)], "url string")
+    assert [r[0] for r in rows.select(langid.suffix_of(rows.url)).collect()] == ["de/fr", "uk/"]

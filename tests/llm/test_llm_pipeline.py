@@ -83,5 +83,5 @@ def test_hostile_and_empty(spark, sf_dir):
     for df in (samples.hostile(spark), samples.empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, sf_dir)
-        assert df.columns == [*samples.DOCUMENTS.names, "copies"]
+        assert df.columns == [*samples.DOCUMENTS.names, "copies_"]
         df.collect()
