@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -61,6 +62,7 @@ if __name__ == "__main__":
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": f"file:{tempfile.mkdtemp(prefix='skuloom-oracle-')}",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

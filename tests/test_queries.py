@@ -15,7 +15,11 @@ def con(sf_dir):
 def test_query_equals_sql(spark, sf_dir, con, name):
     df = entry.queries()[name](spark, sf_dir)
     sql = entry.oracle_sql().get(name)
-    assert (oracle.difference(df, con, sql) if sql else None) is None
+    if sql:
+        assert oracle.difference(df, con, sql) is None
+    else:  # their results are tested beside the operators; here the whole query runs
+        rows = df.collect()
+        assert rows and len(set(df.columns)) == len(df.columns)
 
 
 def test_entry_has_rows(spark):
