@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skuloom import fixed_values as fv
 from skuloom.functions import fields
 from skuloom.functions import loose_json as lj
+from skuloom.functions.kept import kept
 from skuloom.functions.prices import nested_prices, scalar_price
 from skuloom.functions.text import (
     blank_to_null,
@@ -100,66 +101,72 @@ def _chosen(entry: Column) -> Column:
     )
 
 
+@kept
+def _read_columns() -> dict[str, Column]:
+    return {
+        "records": lj.ld_records(F.col("html")),
+        "map_text": lj.variant_map_text(F.col("html")),
+        "gallery": lj.initial_images(F.col("html")),
+        "no_page": F.col("html").isNull(),
+    }
+
+
+@kept
+def _parsed_columns() -> dict[str, Column]:
+    return {
+        "ld": lj.ld_of_type(F.col("records"), fv.LD_PRODUCT),
+        "crumbs": lj.ld_of_type(F.col("records"), fv.LD_BREADCRUMB),
+        "bad_map": F.col("map_text").isNotNull() & lj.parse_whole(F.col("map_text")).isNull(),
+        "variants": F.coalesce(
+            F.transform(lj.variant_entries(F.col("map_text")), _chosen),
+            F.array().cast(_VARIANTS_TYPE),
+        ),
+    }
+
+
 def _parse(df: DataFrame) -> DataFrame:
     """Everything read from the document itself; the document is dropped."""
-    return (
-        df.withColumns(
-            {
-                "records": lj.ld_records(F.col("html")),
-                "map_text": lj.variant_map_text(F.col("html")),
-                "gallery": lj.initial_images(F.col("html")),
-                "no_page": F.col("html").isNull(),
-            }
-        )
-        .drop("html")
-        .withColumns(
-            {
-                "ld": lj.ld_of_type(F.col("records"), fv.LD_PRODUCT),
-                "crumbs": lj.ld_of_type(F.col("records"), fv.LD_BREADCRUMB),
-                "bad_map": F.col("map_text").isNotNull()
-                & lj.parse_whole(F.col("map_text")).isNull(),
-                "variants": F.coalesce(
-                    F.transform(lj.variant_entries(F.col("map_text")), _chosen),
-                    F.array().cast(_VARIANTS_TYPE),
-                ),
-            }
-        )
-        .drop("records", "map_text")
-    )
+    return df.withColumns(_read_columns()).drop("html").withColumns(_parsed_columns()).drop("records", "map_text")
 
 
-def _page_values(df: DataFrame) -> DataFrame:
-    """Values of the page that no listing decides."""
+@kept
+def _page_columns() -> dict[str, Column]:
     ld = F.col("ld")
     offers = lj.field(ld, "offers")
-    return df.withColumns(
-        {
-            "offer": F.when(lj.kind(offers) == "OBJECT", offers),
-            "bad_crumbs": fields.bad_breadcrumb(F.col("crumbs")),
-            "ld_sku": fields.identifier(lj.field(ld, "sku")),
-            "texts": F.concat(
-                F.array(lj.text(lj.field(ld, "description"))),
-                F.transform("variants", lambda v: lj.text(v["description"])),
-            ),
-        }
-    )
+    return {
+        "offer": F.when(lj.kind(offers) == "OBJECT", offers),
+        "bad_crumbs": fields.bad_breadcrumb(F.col("crumbs")),
+        "ld_sku": fields.identifier(lj.field(ld, "sku")),
+        "texts": F.concat(
+            F.array(lj.text(lj.field(ld, "description"))),
+            F.transform("variants", lambda v: lj.text(v["description"])),
+        ),
+    }
+
+
+def _page_values(df: DataFrame) -> DataFrame:
+    """Values of the page that no listing decides."""
+    return df.withColumns(_page_columns())
+
+
+@kept
+def _family_columns() -> dict[str, Column]:
+    hit = F.col("hit")
+    return {
+        "page_images": fields.page_images(
+            lj.field(F.col("ld"), "image"), F.col("gallery"), hit["image_url"]
+        ),
+        "hierarchy": fields.category_hierarchy(F.col("crumbs"), F.col("category_path")),
+        "hit_sku": fields.first_sku(hit["sku"]),
+    }
 
 
 def _family_values(df: DataFrame) -> DataFrame:
     """Values of the page with the listing that is used (the last one if all fail), once per page."""
     used = F.get("listings", F.coalesce(F.col("chosen"), F.size("listings") - 1))
-    hit = F.col("hit")
     return (
         df.withColumns({"hit": used["hit"], "category_path": used["category_path"]})
-        .withColumns(
-            {
-                "page_images": fields.page_images(
-                    lj.field(F.col("ld"), "image"), F.col("gallery"), hit["image_url"]
-                ),
-                "hierarchy": fields.category_hierarchy(F.col("crumbs"), F.col("category_path")),
-                "hit_sku": fields.first_sku(hit["sku"]),
-            }
-        )
+        .withColumns(_family_columns())
         .drop("gallery", "crumbs", "category_path")
     )
 
@@ -187,12 +194,8 @@ def _with_prices(df: DataFrame) -> DataFrame:
     )
 
 
-def _choice(df: DataFrame) -> DataFrame:
-    """``errors``: why the page yields no rows with each listing (null for a good one), and
-    ``chosen``: the first listing without an error; null if there is none.
-
-    Only the price of a page without variants depends on the listing.
-    """
+@kept
+def _error_columns() -> list[dict[str, Column]]:
     bad = F.transform("prices", lambda p: p["bad"])
     any_bad = F.get(F.filter(bad, lambda b: b.isNotNull()), F.lit(0))
     has_variants = F.size("variants") > 0
@@ -233,12 +236,22 @@ def _choice(df: DataFrame) -> DataFrame:
         return F.coalesce(F.col("of_page"), F.concat(F.lit("price is not a number: "), bad_price))
 
     places = F.sequence(F.lit(0), F.size("listings") - 1)
-    return (
-        df.withColumn("of_page", of_page)
-        .withColumn("errors", F.transform("listings", error))
-        .withColumn("chosen", F.get(F.filter(places, lambda i: F.get("errors", i).isNull()), F.lit(0)))
-        .drop("no_page", "bad_map", "bad_crumbs", "of_page")
-    )
+    return [
+        {"of_page": of_page},
+        {"errors": F.transform("listings", error)},
+        {"chosen": F.get(F.filter(places, lambda i: F.get("errors", i).isNull()), F.lit(0))},
+    ]
+
+
+def _choice(df: DataFrame) -> DataFrame:
+    """``errors``: why the page yields no rows with each listing (null for a good one), and
+    ``chosen``: the first listing without an error; null if there is none.
+
+    Only the price of a page without variants depends on the listing.
+    """
+    for columns in _error_columns():
+        df = df.withColumns(columns)
+    return df.drop("no_page", "bad_map", "bad_crumbs", "of_page")
 
 
 def _any_not_text(*values: Column) -> Column:
@@ -248,9 +261,8 @@ def _any_not_text(*values: Column) -> Column:
     return result
 
 
-def _explode(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row per listing that failed, then one per variant of the page with the listing that
-    did not, or one for the page if it has no variants."""
+@kept
+def _items() -> Column:
     nothing = F.lit(None)
     n_failed = F.coalesce(F.col("chosen"), F.size("listings"))
 
@@ -285,10 +297,16 @@ def _explode(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     good = F.when(F.col("chosen").isNull(), F.slice(page, 1, 0)).otherwise(
         F.when(F.size("variants") > 0, variants).otherwise(page)
     )
+    return F.concat(failed, good)
+
+
+def _explode(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """One row per listing that failed, then one per variant of the page with the listing that
+    did not, or one for the page if it has no variants."""
     # The array is never empty; the outer form keeps the optimizer from adding
     # an emptiness filter that would evaluate the parsing again.
     return (
-        df.withColumn("item", F.explode_outer(F.concat(failed, good)))
+        df.withColumn("item", F.explode_outer(_items()))
         .withColumns(
             {
                 "page_text": F.get("plain", F.lit(0)),
@@ -302,7 +320,8 @@ def _explode(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _project(df: DataFrame, source: str, keep: tuple[str, ...]) -> DataFrame:
+@kept
+def _product_columns(source: str) -> list[Column]:
     """Column rules of variant rows and of page rows."""
     v, ld, hit = F.col("variant"), F.col("ld"), F.col("hit")
     is_variant = v.isNotNull()
@@ -366,9 +385,11 @@ def _project(df: DataFrame, source: str, keep: tuple[str, ...]) -> DataFrame:
         ),
         "scraped_at": F.col("scraped_at"),
     }
-    return df.select(
-        *keep, "page_error", "ordinal", *[values[name].alias(name) for name in PRODUCT_COLUMNS]
-    )
+    return [values[name].alias(name) for name in PRODUCT_COLUMNS]
+
+
+def _project(df: DataFrame, source: str, keep: tuple[str, ...]) -> DataFrame:
+    return df.select(*keep, "page_error", "ordinal", *_product_columns(source))
 
 
 def _entry(key: str, value: Column) -> Column:
