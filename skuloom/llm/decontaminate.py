@@ -11,15 +11,16 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuloom.llm.common import pick, position_of, positions, without
+from skuloom.llm.common import pick, position_of, positions, sieved, without
 from skuloom.session import materialize
 
 # words of text whose A-Z are in lower case: ASCII letters and digits, and all beyond ASCII
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-# Benchmark windows up to this number are broadcast (about 200 bytes each); beyond, Spark
-# joins by shuffle.
+# Benchmark windows up to this number, and of at most so many bytes with their items, are
+# broadcast; beyond, Spark joins by shuffle.
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 200_000_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -66,7 +67,8 @@ def find_windows(rows: DataFrame, windows: DataFrame, window: int = WINDOW) -> D
     of words) one line with ``at`` = -1, and one for each place where a window occurs."""
     # widths below the full one exist only for items of fewer words: at most window - 1
     short = [r[0] for r in windows.where(F.col("width") < window).select("width").distinct().collect()]
-    n_windows = windows.count()
+    weight = F.octet_length("window") + F.aggregate("items", F.lit(64), lambda acc, x: acc + F.octet_length(x) + 8)
+    n_windows, n_bytes = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
     kept = [c for c in rows.columns if c != "w"]
     base = rows.withColumn("n_words", F.size("w").cast("long"))
     each = base.select("*", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at"))
@@ -87,18 +89,31 @@ def find_windows(rows: DataFrame, windows: DataFrame, window: int = WINDOW) -> D
     known = windows.select(
         F.col("width").alias("width"), F.col("hash").alias("b_hash"), F.col("window").alias("b_window"), "items"
     )
-    if n_windows <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    # Two inequalities, so that the words are joined to text only where the hash is equal.
     found = F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.col("k")))
-    joined = each.join(
-        known,
-        (F.col("h") == F.col("b_hash"))
-        & (F.col("k") == F.col("width"))
-        & (F.col("b_window") >= found)
-        & (F.col("b_window") <= found),
-        "left",
-    )
+    if n_windows <= BROADCAST_WINDOWS and n_bytes <= BROADCAST_BYTES:
+        # Two inequalities, so that the words are joined to text only where the hash is equal.
+        joined = each.join(
+            F.broadcast(known),
+            (F.col("h") == F.col("b_hash"))
+            & (F.col("k") == F.col("width"))
+            & (F.col("b_window") >= found)
+            & (F.col("b_window") <= found),
+            "left",
+        )
+    else:
+        # Only places whose hash a bitmap of fixed size has go on, with the words there as text; the
+        # array of all words stays. First lines go by a hash of their own, as no window can match them.
+        first = F.col("at") == -1
+        if short:
+            first = first & (F.col("k") == window)
+        lines = sieved(each.where(first | F.col("h").isNotNull()), "h", windows.select("hash"), "may_match")
+        lines = lines.where(first | F.col("may_match")).select(
+            *kept, "n_words", "at", "k",
+            F.coalesce("h", F.xxhash64("n_words", *kept)).alias("h"), F.when(~first, found).alias("found"),
+        )
+        joined = lines.join(
+            known, (F.col("h") == F.col("b_hash")) & (F.col("k") == F.col("width")) & (F.col("found") == F.col("b_window")), "left"
+        )
     base_line = F.col("at") == -1
     if short:
         base_line = base_line & (F.col("k") == window)

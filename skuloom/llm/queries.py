@@ -89,21 +89,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_delta_token_rollups")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: every document with two tokenizers; the even ids revised
-    (one word less) and each seventh deleted; the first batch once more, as after a failure."""
-    counted = token_rollups.count_tokens(
-        table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "text", "bpe"
-    )
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    rows = materialize(counted.withColumn("words", n_words).drop("text"), "token-counts")
+    (without their first word, counted again) and each seventh deleted; the first batch once more, as
+    after a failure."""
+
+    def counted(docs: DataFrame, name: str) -> DataFrame:
+        n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+        rows = token_rollups.count_tokens(docs, "text", "bpe").withColumn("words", n_words)
+        return materialize(rows.drop("text"), name)
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    rows = counted(documents, "token-counts")
     both = lambda df, sign: token_rollups.changes(
         df, sign, F.lit("bpe-50k/1"), F.col("bpe")
     ).unionByName(token_rollups.changes(df, sign, F.lit("words/1"), F.col("words")))
     first = both(rows, 1)
     gone = F.col("doc_id") % 7 == 0
-    revised = rows.where((F.col("doc_id") % 2 == 0) & ~gone)
-    # a revised document is counted without its first word
-    after = revised.withColumns({c: F.greatest(F.col(c) - 1, F.lit(0)) for c in ("bpe", "words")})
-    second = both(rows.where(gone), -1).unionByName(both(revised, -1)).unionByName(both(after, 1))
+    revised = (F.col("doc_id") % 2 == 0) & ~gone
+    cut = F.regexp_replace("text", r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "")
+    after = counted(documents.where(revised).withColumn("text", cut), "revised-counts")
+    second = both(rows.where(gone), -1).unionByName(both(rows.where(revised), -1)).unionByName(both(after, 1))
     root = scratch_path(spark, "token-rollups")
     token_rollups.commit(spark, root, 1, first)
     token_rollups.commit(spark, root, 2, second)

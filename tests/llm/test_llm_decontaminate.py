@@ -61,8 +61,34 @@ def test_join_without_broadcast_gives_the_same(spark, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     run = lambda: sorted(map(tuple, decontaminate.scan(samples.documents(spark, rows), benchmark).drop("spans").collect()), key=repr)
     first = run()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 10)
+    assert run() == first
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     assert run() == first
+    clean = lambda: sorted((r["doc_id"], r["text"] or "") for r in decontaminate.remove(samples.documents(spark, rows), benchmark, mode="spans").collect())
+    second = clean()
+    monkeypatch.undo()
+    assert clean() == second
+
+
+def test_no_words_of_documents_are_shuffled(spark, monkeypatch):
+    """Beyond the broadcast: exchanges carry single windows, and none has rows without a key."""
+    rows, items = tables(spark)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "WINDOW", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = decontaminate.scan(samples.documents(spark, rows), benchmark)
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sections = [s for s in text.split("\n\n") if re.match(r"\(\d+\) Exchange", s.strip())]
+    assert sections
+    for section in sections:
+        inputs = re.search(r"Input \[\d+\]: \[(.*)\]", section)[1]
+        assert not re.search(r"\bw#", inputs), section
+    assert "CartesianProduct" not in text
 
 
 def test_remove_documents_and_spans(spark):
