@@ -9,7 +9,7 @@ from test_listings import category_page, response, responses
 
 from skuloom import schemas
 from skuloom.plans import catalog
-from skuloom.sources import readers, state
+from skuloom.sources import ledger, readers, state
 from skuloom.streaming import incremental
 from skuloom.session import shared_dir
 
@@ -111,6 +111,31 @@ def test_full_run_resume_and_fresh(spark, inputs, tmp_path):
         state.begin(spark, root, "other")
 
 
+def test_a_plugged_in_model_and_the_ledger(spark, inputs, tmp_path):
+    """A model inside the job: a second run from the start asks it nothing new; both runs are on record."""
+    root = str(tmp_path / "out")
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            said = {"tags": json.dumps({"product_type": "lamp", "attributes": ["amber"]}), "pack_size": json.dumps({"pack_size": None})}
+            yield batch.assign(payload=batch["kind"].map(said))[["sku", "kind", "payload"]]
+
+    given = {k: v for k, v in inputs.items() if k != "model_responses"}
+    catalog.run(spark, root, scraped_at=STAMP, model=model, **given)
+    asked, rows = seen.value, exported(root)
+    assert asked > 9 and rows[0]["normalized_tags"] == ["lamp", "amber"]
+    some = {**given, "pages": given["pages"].filter("url <> 'u4'")}
+    catalog.run(spark, root, scraped_at=STAMP, model=model, mode="fresh", **some)
+    assert seen.value == asked and len(exported(root)) == 7
+    assert ledger.runs(spark, root) == [0, 1]
+    changed = {r.category: r.change for r in ledger.change(spark, root).collect()}
+    assert sum(changed.values()) == -2
+    whole = {(r.run, r.metric): r.value for r in ledger.read(spark, root).where("category is null and parser_version is null").collect()}
+    assert whole[0, "product_rows_exported"] == 9 and whole[1, "product_rows_exported"] == 7
+
+
 def test_batch_rerun_replaces_itself_and_last_row_wins(spark, tmp_path):
     root = str(tmp_path)
     schema = state.TABLES["products"]
@@ -121,7 +146,7 @@ def test_batch_rerun_replaces_itself_and_last_row_wins(spark, tmp_path):
         for sku, name, pos in items:
             values = dict.fromkeys(names)
             values.update(sku=sku, product_name=name)
-            data.append((*values.values(), (0, 0, pos), 0))
+            data.append((*values.values(), (0, 0, pos), 0, None))
         return spark.createDataFrame(data, schema)
 
     assert state.latest_products(spark, root).count() == 0 and not state.has_rows(spark, root)
