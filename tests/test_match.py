@@ -3,7 +3,7 @@ import random
 import duckdb
 import pytest
 
-from skuloom.operators.match import similar_products
+from skuloom.operators.match import _Search, similar_products
 from workload.standins import MATCH_SQL
 
 COLUMNS = (
@@ -189,3 +189,22 @@ def test_features_with_one_crowded_tag_in_common_do_not_meet(spark):
     found = similar_products(rows).select("sku", F.size("alternative_products").alias("n"), "alternative_products.score")
     scores = found.groupBy("n", "score").count().collect()
     assert [(r.n, r.score, r["count"]) for r in scores] == [(3, [0.5667] * 3, n)]
+
+
+def test_few_candidates_of_a_key_leave_it(spark):
+    """Sixty products of one brand and category: a key hands on what one list can hold, not all pairs."""
+    products = [(f"S{i:02}", f"n{i}", f"u{i // 2}", "A", ["rakes"], ["steel", "long", "red", f"t{i}"]) for i in range(60)]
+    search = _Search(spark.createDataFrame(products, COLUMNS), 2, 0.45)
+    rows = search._tag_candidates(search.features, 0.7, 1.0001).groupBy("fid").count().collect()
+    assert len(rows) == 60
+    assert max(r["count"] for r in rows) <= 2 * search.total  # two prefix tags at most; 59 partners each
+    assert matched(spark, products, 2, 0.45) == expected(products, 2, 0.45)
+
+
+def test_crowded_pages_are_capped_as_a_whole(spark):
+    """A page with more good partners than a list holds does not crowd out those of other pages."""
+    products = [
+        (f"S{i:02}", f"n{i}", "one-page" if i < 40 else f"u{i}", "A", ["rakes"], ["steel", "long", f"c{i % 3}", f"t{i}"])
+        for i in range(60)
+    ]
+    assert matched(spark, products, 3, 0.45) == expected(products, 3, 0.45)
