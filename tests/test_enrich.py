@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from skuloom import schemas
 from skuloom.functions import text as tx
 from skuloom.operators import enrich as en
@@ -154,3 +155,24 @@ def test_tag_request_after_the_pack_size_holds_its_evidence(spark):
     specs = json.loads(request.input_text)["specifications"]
     assert list(specs.items()) == [("b", "2"), ("pack_size_confidence", 0.923), ("pack_size_evidence", PROSE), ("z", "1")]
     assert [r.kind for r in en.pack_size_requests(df).collect()] == ["pack_size"]
+
+
+def test_claims_read_their_text_once(spark):
+    rows = spark.createDataFrame([("24 gloves/box, box of 24, 1.50 ml",), ("",), (None,)], "text string")
+    found = rows.select("text", tx.pack_claims(tx.match_text(F.col("text"))).alias("claims"))
+    assert [[tuple(c) for c in r.claims] if r.claims is not None else None for r in found.collect()] == [
+        [("count", "24", "box"), ("measure", "1.5", "ml")], [], None,
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(regexp_replace(") == 1, plan
+
+
+@pytest.mark.parametrize("name", ["x18_match_text", "x19_pack_claims", "x20_evidence_supported", "u2_common_claims"])
+def test_heavy_text_work_is_not_left_in_the_tasks_that_read(spark, tmp_path, name):
+    spark.range(40).selectExpr(
+        "id as p_partkey", "'red pot' as p_name", "'PROMO' as p_type", "'B' as p_brand", "cast(id as int) as p_size",
+        "1.0D as p_retailprice",
+    ).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = queries()[name](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert found.count() == 40

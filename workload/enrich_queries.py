@@ -12,7 +12,7 @@ from skuloom.functions import text as tx
 from skuloom.operators import enrich as en
 from skuloom.session import materialize, scratch_path
 from skuloom.sources import readers
-from workload.registry import query, table
+from workload.registry import query, spread, table
 
 # Pack size, evidence and source text of a part, as SQL both engines read. ``said`` is the size
 # on even parts and one more on odd ones, so what agrees follows from the table's values.
@@ -212,7 +212,7 @@ def x18(spark, sf_dir):
         F.lit("&quot;/BX (.5CC) 2  Gloves per cs"),
     )
     return (
-        table(spark, sf_dir, "part")
+        spread(table(spark, sf_dir, "part"))
         .select("p_partkey", F.array(text).alias("texts"))
         .withColumn("decoded", tx.decode_entities(F.col("texts")))
         .select("p_partkey", tx.match_text(F.get("decoded", F.lit(0))).alias("comparable"))
@@ -236,7 +236,7 @@ def x19(spark, sf_dir):
         tx.pack_claims(tx.match_text(text)),
         lambda c: F.concat_ws(":", c["kind"], c["quantity"], c["unit"]),
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         "p_partkey", F.array_join(F.sort_array(claims), "|").alias("claims")
     )
 
@@ -244,7 +244,7 @@ def x19(spark, sf_dir):
 @query("x20_evidence_supported", CASE_SQL + "SELECT p_partkey, supported FROM item")
 def x20(spark, sf_dir):
     return tx.with_evidence_check(
-        cases(spark, sf_dir), "pack", "evidence", "source", "supported"
+        spread(cases(spark, sf_dir)), "pack", "evidence", "source", "supported"
     ).select("p_partkey", "supported")
 
 
@@ -256,19 +256,19 @@ def u2(spark, sf_dir):
     claims = tx.Evidence(
         *[tx.pack_claims(tx.match_text(F.col(c))) for c in ("pack", "evidence", "source")]
     )
-    return cases(spark, sf_dir).select("p_partkey", tx.claims_agree(claims).alias("agree"))
+    return spread(cases(spark, sf_dir)).select("p_partkey", tx.claims_agree(claims).alias("agree"))
 
 
 @query("x21_verbal_evidence", CASE_SQL + "SELECT p_partkey, verbal FROM item")
 def x21(spark, sf_dir):
     verbal = tx.is_verbal_evidence(tx.match_text(F.col("evidence")))
-    return cases(spark, sf_dir).select("p_partkey", verbal.alias("verbal"))
+    return spread(cases(spark, sf_dir)).select("p_partkey", verbal.alias("verbal"))
 
 
 @query("x22_pack_descriptor", CASE_SQL + "SELECT p_partkey, descriptor FROM item")
 def x22(spark, sf_dir):
     descriptor = tx.is_pack_descriptor(tx.match_text(F.col("pack")))
-    return cases(spark, sf_dir).select("p_partkey", descriptor.alias("descriptor"))
+    return spread(cases(spark, sf_dir)).select("p_partkey", descriptor.alias("descriptor"))
 
 
 @query(
