@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skuloom import fixed_values as fv
 from skuloom.functions.loose_json import kind
+from skuloom.functions.text import by_element
 
 PRICE_TYPE = "array<struct<amount:double,bad:string>>"
 
@@ -66,14 +67,8 @@ def _object_reader():
                         return {"amount": None, "bad": captured}
         return {"amount": None, "bad": None}
 
-    def read_all(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda row: None
-            if row is None
-            else [None if text is None else read(text) for text in row]
-        )
-
-    return F.pandas_udf(read_all, PRICE_TYPE).asNondeterministic()
+    price = pa.struct([("amount", pa.float64()), ("bad", pa.string())])
+    return F.arrow_udf(by_element(read, price), PRICE_TYPE).asNondeterministic()
 
 
 def nested_prices(values: Column) -> Column:

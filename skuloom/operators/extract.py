@@ -171,8 +171,8 @@ def _family_values(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_prices(df: DataFrame) -> DataFrame:
-    """``prices``: one per variant, or, for a page without variants, one per listing."""
+def _asked(df: DataFrame) -> DataFrame:
+    """``asked``: what is given as the price of each variant, or, for a page without variants, of each listing."""
     parents = F.transform(
         "listings",
         lambda x: lj.first_truthy(
@@ -180,18 +180,23 @@ def _with_prices(df: DataFrame) -> DataFrame:
         ),
     )
     own = F.transform("variants", lambda v: v["asked"])
-    return (
-        df.withColumn("asked", F.when(F.size("variants") > 0, own).otherwise(parents))
-        .withColumn("nested", nested_prices(F.col("asked")))
-        .withColumn(
-            "prices",
-            F.transform(
-                "asked",
-                lambda value, i: F.coalesce(F.get(F.col("nested"), i), scalar_price(value)),
-            ),
-        )
-        .drop("asked", "nested")
-    )
+    return df.withColumn("asked", F.when(F.size("variants") > 0, own).otherwise(parents))
+
+
+def _plain_text(df: DataFrame) -> DataFrame:
+    """The texts and the nested prices: what takes Python, side by side in one worker per task."""
+    return with_plain_text(df, "texts", "decoded", "plain", nested=nested_prices(F.col("asked"))).drop("texts")
+
+
+def _with_prices(df: DataFrame) -> DataFrame:
+    """``prices``: one per variant, or, for a page without variants, one per listing."""
+    return df.withColumn(
+        "prices",
+        F.transform(
+            "asked",
+            lambda value, i: F.coalesce(F.get(F.col("nested"), i), scalar_price(value)),
+        ),
+    ).drop("asked", "nested")
 
 
 @kept
@@ -438,8 +443,8 @@ def extract_listed(
         pages.select("product_url", "html", "listings", stamp.cast("timestamp").alias("scraped_at"))
         .transform(_parse)
         .transform(_page_values)
-        .transform(with_plain_text, "texts", "decoded", "plain")
-        .drop("texts")
+        .transform(_asked)
+        .transform(_plain_text)
         .transform(_with_prices)
         .transform(_choice)
         .transform(_family_values)

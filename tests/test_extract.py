@@ -1,12 +1,16 @@
 import copy
 import datetime
+import re
 
 from page_samples import LAMP_CRUMBS, LAMP_LD, LAMP_PAGE, LAMP_URL, LAMP_VARIANTS, page
 from pyspark.sql import functions as F
 
+from skuloom.functions import text as tx
+from skuloom.functions.prices import nested_prices
 from skuloom.operators import extract as ex
 from skuloom.operators import validate as va
 from skuloom.schemas import HIT
+from workload.standins import extracted
 
 HIT_FIELDS = [f.split()[0] for f in HIT.split(", ")]
 
@@ -168,3 +172,40 @@ def test_latest_page_per_url(spark):
         "u": "new",
         "v": None,
     }
+
+
+def test_a_page_task_has_one_python_worker(spark, sf_dir):
+    """The texts and the nested prices go to Python side by side, in one step of the plan."""
+    plan = extracted(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\b(?:ArrowEvalPython|BatchEvalPython|ArrowAggregatePython)\b", plan)) == 1, plan
+
+
+def test_texts_and_prices_of_a_batch_keep_their_places(spark):
+    """More texts than are converted at a time; rows that are null, empty, or hold nulls."""
+    many = [f"<b>{i}</b> &amp;lt; &lt;i&gt;x&lt;/i&gt;  y" for i in range(2_345)]
+    rows = [(0, many), (1, None), (2, []), (3, [None, "a  b", "&nbsp;"]), (4, ["plain <u>text</u>", None]), (5, many[:3])]
+    df = spark.createDataFrame(rows, "id int, texts array<string>").coalesce(1)
+    out = {r.id: r for r in tx.with_plain_text(df, "texts", "decoded", "plain").collect()}
+    assert [len(out[i].plain) for i in (0, 5)] == [2_345, 3]
+    assert (out[0].decoded[2_344], out[0].plain[2_344]) == ("<b>2344</b> &lt; <i>x</i>  y", "2344 < x y")
+    assert out[5].plain == out[0].plain[:3]
+    assert (out[1].decoded, out[1].plain, out[2].decoded, out[2].plain) == (None, None, [], [])
+    assert (out[3].decoded, out[3].plain) == ([None, "a  b", "\xa0"], [None, "a b", None])
+    assert (out[4].decoded, out[4].plain) == (["plain <u>text</u>", None], ["plain text", None])
+    asked = spark.createDataFrame([(0, '{"USD": {"default": 2.5}}'), (1, '"$3"'), (2, None), (3, '{"price": "$1.2.3"}')], "id int, json string")
+    values = F.array(F.try_parse_json("json"), F.try_parse_json("json"))
+    found = asked.coalesce(1).select("id", nested_prices(values).alias("p")).collect()
+    assert {r.id: r.p and [tuple(x) for x in r.p] for r in found} == {
+        0: [(2.5, None)] * 2, 1: None, 2: None, 3: [(None, "1.2.3")] * 2,
+    }
+
+
+def test_markup_goes_alike_with_and_without_entities(spark):
+    """Texts beside an entity are cleaned in Python, others in the JVM."""
+    texts = [
+        "a<!-- x > y\n-->b", "<a title=\"p > q\" b='r > s'>t</a>", "<p title=\"open>u", "1 < 2 > 0", "<", "<br/>x<BR>", "a<!b>c</ d>e",
+        "<a 'b\"c>d' e\"f>g\">h", "x<!-- never closed", "<é>ü</é>", "\U0001f600<b\n>\x1cy z</b>", "<a b=\"\n>\">c", "", " \n",
+    ]
+    df = spark.createDataFrame([(0, texts), (1, [*texts, "&"])], "id int, texts array<string>")
+    out = {r.id: r.plain for r in tx.with_plain_text(df, "texts", "decoded", "plain").collect()}
+    assert out[1][:-1] == out[0] and out[1][-1] == "&"
