@@ -57,7 +57,7 @@ def _writer_of(spark: SparkSession, checkpoint: str) -> str:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
     name = f"stream-{uuid.uuid4().hex}"
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
+    spark.range(1).select(F.lit(name).alias("value")).coalesce(1).write.text(path)
     return name
 
 
@@ -113,7 +113,7 @@ def process_pending(
 ) -> None:
     """Take up pages that waited for their listing, when listings came but no pages."""
     batch = state.begin_batch(spark, root, "pending")
-    none = spark.createDataFrame([], schemas.PAGE)
+    none = spark.read.schema(schemas.PAGE).parquet()
     save_pages(
         none, families, root, batch, model_responses=model_responses, source=source, scraped_at=scraped_at
     )

@@ -1,7 +1,9 @@
 import copy
 import datetime
 import re
+import tracemalloc
 
+import pyarrow as pa
 from page_samples import LAMP_CRUMBS, LAMP_LD, LAMP_PAGE, LAMP_URL, LAMP_VARIANTS, page
 from pyspark.sql import functions as F
 
@@ -209,3 +211,16 @@ def test_markup_goes_alike_with_and_without_entities(spark):
     df = spark.createDataFrame([(0, texts), (1, [*texts, "&"])], "id int, texts array<string>")
     out = {r.id: r.plain for r in tx.with_plain_text(df, "texts", "decoded", "plain").collect()}
     assert out[1][:-1] == out[0] and out[1][-1] == "&"
+
+
+def test_long_texts_become_python_objects_a_few_at_a_time():
+    texts = ["", None, "short", *["\U0001f600" + "x" * 100_000] * 60, "y" * 3_000_000, "", "z", None]
+    rows = pa.array([["before"], texts[:20], None, [], texts[20:], ["after"]], pa.list_(pa.string())).slice(1, 4)
+    run = tx.by_element(lambda t: str(len(t)) + t[:1], pa.string())
+    tracemalloc.start()
+    found = run(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expected = [None if t is None else f"{len(t)}{t[:1]}" for t in texts]
+    assert found.to_pylist() == [expected[:20], None, [], expected[20:]]
+    assert peak < 10_000_000, peak  # all of them take 27 MB
